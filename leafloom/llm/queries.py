@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafloom.llm import bpe, ogg, token_counts
+from leafloom.llm import bpe, ogg, token_counts, toxicity
 from leafloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_facts(ogg.media_column(table(spark, sf_dir, "documents")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -25,6 +29,6 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_ogg_media, op9_token_counts, op10_bpe_round_trip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_ogg_media, op6_toxicity, op9_token_counts, op10_bpe_round_trip)}
 
 ORACLES: dict[str, str] = {}
