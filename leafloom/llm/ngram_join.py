@@ -365,3 +365,14 @@ def ngram_components(documents: DataFrame, share: int = 80) -> DataFrame:
         labelled = labelled.select("cls", F.col("doc_id").alias("component_id"))
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return known.join(labelled, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, share: int = 80) -> DataFrame:
+    """The rows of the smallest id of each group, with all their columns; rows without an id stay; rows equal in id and text count once."""
+    found = written(ngram_components(documents, share), "components")
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    facts = found.agg(F.count("doc_id").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    named = documents.where("doc_id is not null").join(F.broadcast(kept) if facts.ids <= BROADCAST else kept, "doc_id", "left_semi")
+    if facts.rows > facts.ids:
+        named = named.dropDuplicates(["doc_id", "text"])
+    return named.select(*documents.columns).union(documents.where("doc_id is null"))

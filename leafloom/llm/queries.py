@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafloom.llm import ann, bpe, chat, extract, ngram_join, ogg, pii, token_counts, toxicity
+from leafloom.llm import ann, bpe, chat, extract, mixing, ngram_join, ogg, pii, token_counts, toxicity
 from leafloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+#: Target weights of documents of high quality, of low quality, and toxic ones.
+MIXTURE = (0.6, 0.3, 0.1)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIXTURE)
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -56,7 +64,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_ngram_join, op4_nearest, op5_ogg_media, op6_toxicity, op7_chat_format, op8_pii_spans, op9_token_counts, op10_bpe_round_trip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_ngram_join, op3_mixing, op4_nearest, op5_ogg_media, op6_toxicity, op7_chat_format, op8_pii_spans, op9_token_counts, op10_bpe_round_trip)}
 
 _TURNS = f"""(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL VALUES (-1, 0, 'user', '{HOSTILE}'), (-1, 1, 'assistant', '{HOSTILE}'))"""
