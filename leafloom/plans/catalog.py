@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from leafloom.plans import prose
+
+FLAGSHIP = "typed_blocks"
+_ALL = [prose.R]
+QUERIES = {name: q for r in _ALL for name, q in r.queries.items()}
+ORACLES = {name: s for r in _ALL for name, s in r.oracles.items()}
