@@ -201,11 +201,11 @@ def rejection(before: Column, n: Column) -> Column:
 
 
 def escape_tags(c: Column) -> Column:
-    return F.regexp_replace(c, r"<(?=[A-Za-z/!?])", r"\\\\<")
+    return F.regexp_replace(c, r"<(?=[A-Za-z/!?])", r"\\<")
 
 
 def escape_opening(c: Column) -> Column:
-    return F.when(c.rlike(r"^[#>\-+*]"), F.concat(F.lit("\\"), c)).otherwise(F.regexp_replace(c, r"^([0-9]+)(?=[.)])", r"$1\\\\"))
+    return F.when(c.rlike(r"^[#>\-+*]"), F.concat(F.lit("\\"), c)).otherwise(F.regexp_replace(c, r"^([0-9]+)(?=[.)])", r"$1\\"))
 
 
 def escape_cell(c: Column) -> Column:

@@ -74,12 +74,15 @@ def page_findings(pages: DataFrame) -> DataFrame:
     pages: doc_id, page, words, unmapped, hidden_chars, visible_chars, clipped, overprinted, image_ratio.
     """
     ocr = (F.col("hidden_chars") * 2 >= F.col("hidden_chars") + F.col("visible_chars")) & (F.col("hidden_chars") > 0) & (F.col("image_ratio") >= 0.5)
+    def say(code: str, severity: str) -> Column:
+        return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))
+
     found = F.array(
-        F.when((F.col("words") == 0) & (F.col("image_ratio") > 0), F.struct(F.lit("no_text_layer").alias("code"), F.lit("error").alias("severity"))).when(F.col("words") == 0, F.struct(F.lit("blank_page"), F.lit("info"))),
-        F.when((F.col("words") > 0) & (F.col("unmapped") > 0), F.struct(F.lit("partial_text_layer"), F.lit("warning"))),
-        F.when(ocr, F.struct(F.lit("ocr_text_layer"), F.lit("warning"))).when(F.col("hidden_chars") > 0, F.struct(F.lit("hidden_text"), F.lit("warning"))),
-        F.when(F.col("clipped") > 0, F.struct(F.lit("clipped_text"), F.lit("info"))),
-        F.when(F.col("overprinted") > 0, F.struct(F.lit("overprinted_text"), F.lit("info"))),
+        F.when((F.col("words") == 0) & (F.col("image_ratio") > 0), say("no_text_layer", "error")).when(F.col("words") == 0, say("blank_page", "info")),
+        F.when((F.col("words") > 0) & (F.col("unmapped") > 0), say("partial_text_layer", "warning")),
+        F.when(ocr, say("ocr_text_layer", "warning")).when(F.col("hidden_chars") > 0, say("hidden_text", "warning")),
+        F.when(F.col("clipped") > 0, say("clipped_text", "info")),
+        F.when(F.col("overprinted") > 0, say("overprinted_text", "info")),
     )
     return pages.select("doc_id", "page", F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f")).select("doc_id", "page", "f.code", "f.severity")
 
