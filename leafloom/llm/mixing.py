@@ -197,8 +197,10 @@ def fit(documents: DataFrame, labels: DataFrame, shares: tuple[float, ...], doma
 
 def mix(documents: DataFrame, labels: DataFrame, shares: tuple[float, ...], domain: F.Column) -> DataFrame:
     """The documents that are drawn, each with its rate (1 at most) as probability, by a hash of id and text; all columns."""
-    keyed = documents.withColumn("_key", F.xxhash64("doc_id", "text"))
-    fitted_rates = fit(keyed.select(F.col("_key").alias("doc_id"), "text"), keyed.join(labels, "doc_id").select(F.col("_key").alias("doc_id"), "quality", "toxic"), shares, domain, most=1.0)
+    key = F.xxhash64("doc_id", "text")
+    plain = documents.select(key.alias("k"), "doc_id", "text")
+    named = labels.select("doc_id", "quality", "toxic")
+    fitted_rates = fit(plain.select(F.col("k").alias("doc_id"), "text"), plain.select("doc_id", "k").join(named, "doc_id").select(F.col("k").alias("doc_id"), "quality", "toxic"), shares, domain, most=1.0)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
-    drawn = fitted_rates.groupBy("doc_id").agg(F.max("rate").alias("rate")).where(draw < F.col("rate")).select(F.col("doc_id").alias("_key"))
-    return keyed.join(drawn, "_key", "left_semi").select(*documents.columns)
+    drawn = fitted_rates.groupBy("doc_id").agg(F.max("rate").alias("rate")).where(draw < F.col("rate")).select(F.col("doc_id").alias("k"))
+    return documents.join(drawn, key == drawn["k"], "left_semi")
