@@ -123,7 +123,7 @@ def graph(text: str) -> Graph:
     tokens = [text[a:b] for a, b in found]
     shapes = [shape(t.strip(EDGE) or t) for t in tokens]
     chain = [(i, i + 1) for i in range(len(found) - 1) if text[found[i][1] : found[i + 1][0]].isspace() and found[i + 1][0] - found[i][1] <= 2]
-    before, after = {b for _, b in chain}, {a for a, _ in chain}
+    linked, before, after = set(chain), {b for _, b in chain}, {a for a, _ in chain}
     features = []
     for i, t in enumerate(tokens):
         digits = "".join(c for c in t if "0" <= c <= "9")
@@ -140,7 +140,7 @@ def graph(text: str) -> Graph:
     skip = []
     for i, t in enumerate(tokens):
         if len(k := key(t)) >= 4:
-            if k in last and last[k] != i - 1:
+            if k in last and (last[k], i) not in linked:
                 skip.append((last[k], i))
             last[k] = i
     return Graph(found, features, chain, skip)
