@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from leafloom.llm.common import texts
 
@@ -35,6 +36,10 @@ SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 
 
+#: From here on Unicode versions differ in what is a letter; such texts are normalised and split by the library itself.
+BEYOND = regex.compile("[^\\x00-\\u052f]")
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies: itself if printable, else from 256 on."""
     kept = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -76,12 +81,7 @@ class Memo(dict):
     def __missing__(self, chunk: str) -> bytes:
         out = self.older.get(chunk)
         if out is None:
-            pieces = [chunk] if chunk.isalpha() and "'" not in chunk else self.bpe.pattern.findall(chunk)
-            if len(pieces) == 1:
-                ids = self.bpe.encode_word(pieces[0])
-                out = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                out = b"".join([self[p] for p in pieces])
+            out = self.bpe.encode_chunk(chunk)
         if len(chunk) <= self.LONGEST:
             if len(self) >= self.MOST:
                 self.older = dict(self)
@@ -100,6 +100,7 @@ class WordBpe:
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"] or model["type"] != "BPE" or spec["decoder"] is not None:
             raise ValueError(f"{path}: only word-end BPE with NFC, folded white space and lower case is supported")
+        self.library = Tokenizer.from_file(path)
         self.suffix = model["end_of_word_suffix"]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(split.replace("\\s", SPACE))
@@ -162,10 +163,23 @@ class WordBpe:
                 return k, found
         return None
 
-    def encode_word(self, piece: str) -> list[int]:
-        if not piece:
+    def encode_chunk(self, chunk: str) -> bytes:
+        """Packed ids of a normalised text without white space."""
+        if chunk.isascii() and chunk.isalpha():
+            ids = self.encode_word(chunk)
+        elif BEYOND.search(chunk):
+            ids = [i for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk) for i in self.encode_word(piece)]
+        else:
+            pieces = self.pattern.findall(chunk)
+            if len(pieces) > 1:
+                return b"".join([self.memo[p] if p.isalpha() else self.encode_chunk(p) for p in pieces])
+            ids = [i for p in pieces for i in self.encode_word("".join([self.letters[b] for b in p.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_word(self, letters: str) -> list[int]:
+        """Ids of one piece, given as the letters of its bytes."""
+        if not letters:
             return []
-        letters = piece if piece.isascii() and piece.isalpha() else "".join([self.letters[b] for b in piece.encode()])
         word = letters[:-1] + self.closed[letters[-1]]
         n = len(word)
         longest: list = [None] * n
@@ -197,6 +211,8 @@ class WordBpe:
         return out
 
     def _plain(self, text: str) -> bytes:
+        if BEYOND.search(text):
+            return b"".join(map(self.memo.__getitem__, self.library.normalizer.normalize_str(text).split(" ")))
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
