@@ -32,8 +32,10 @@ from leafloom.llm.common import texts, written
 from leafloom.llm.components import components
 from leafloom.llm.shingles import mixed, sets
 
-RANGE = 2_000_000  # shingles in a hash range or fragment
+RANGE = 2_000_000  # shingles in a hash range
+ENTRIES = 250_000  # of prefixes in a fragment
 BLOCK = 512  # texts in a block
+LEVELS = 32  # of frequency
 PAIRS = 500_000  # candidate pairs that are counted together
 BROADCAST = 1_000_000  # ids that may be broadcast, 8 bytes each
 
@@ -165,7 +167,7 @@ def block_sets(documents: DataFrame, chosen: DataFrame, n_chosen: int) -> DataFr
 
 
 def prefixes(blocks: DataFrame, total: int, share: int) -> DataFrame:
-    """cls, n, keys, often: of each set the shingles of its prefix that another set has, too, and how many sets have them.
+    """cls, n, held, keys, often: of each set how many shingles other sets have, too; those of its prefix, and how many sets have them.
 
     Frequencies are counted exactly, by hash range, and go back to the blocks in the order of the blocks' distinct hashes.
     """
@@ -188,7 +190,7 @@ def prefixes(blocks: DataFrame, total: int, share: int) -> DataFrame:
         return pa.table({"block": rows["block"], "part": rows["part"], "often": pa.array([often[e - len(x) : e].tobytes() for e, x in zip(ends, each, strict=True)], pa.binary())})
 
     def take(block: pa.Table, counted: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"cls": [], "n": [], "keys": [], "often": []}
+        out: dict[str, list] = {"cls": [], "n": [], "held": [], "keys": [], "often": []}
         if block.num_rows:
             rows = sorted(zip(counted["part"].to_pylist(), counted["often"].to_pylist(), strict=True))
             often = np.concatenate([np.frombuffer(x, np.uint32) for _, x in rows])
@@ -204,75 +206,137 @@ def prefixes(blocks: DataFrame, total: int, share: int) -> DataFrame:
                 o = np.lexsort((s, f))[:long]
                 o = o[f[o] > 1]
                 if len(o):
-                    for name, x in (("cls", cls), ("n", n), ("keys", s[o].tobytes()), ("often", f[o].tobytes())):
+                    for name, x in (("cls", cls), ("n", n), ("held", int((f > 1).sum())), ("keys", s[o].tobytes()), ("often", f[o].tobytes())):
                         out[name].append(x)
-        return pa.table({"cls": pa.array(out["cls"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "often": pa.array(out["often"], pa.binary())})
+        return pa.table({"cls": pa.array(out["cls"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "held": pa.array(out["held"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "often": pa.array(out["often"], pa.binary())})
 
     counted = blocks.select("block", "hashes").mapInArrow(cut, "part long, block long, hashes binary, counts binary").groupBy("part").applyInArrow(add, "block long, part long, often binary")
-    return blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(take, "cls long, n long, keys binary, often binary")
+    return blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(take, "cls long, n long, held long, keys binary, often binary")
 
 
-def candidates(prefix: DataFrame, share: int, fragments: int, turn: str) -> DataFrame:
-    """u, v: candidate pairs, each fragment of the global order apart. prefix: cls, n, keys, often, root.
+def level(often: np.ndarray) -> np.ndarray:
+    """The global order's levels: shingles by their frequency's power of two, rare ones first."""
+    return np.minimum(LEVELS - 1, np.log2(often).astype(np.int64))
 
-    turn "near": neighbours in the lists, by size and by chance; "all": every pair of different roots.
+
+def level_ranges(prefix: DataFrame) -> list[int]:
+    """Into how many hash ranges each level is cut, by how many entries it has."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(LEVELS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                n += np.bincount(level(np.frombuffer(x.as_py(), np.uint32)), minlength=LEVELS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS)), pa.array(n)], ["level", "n"])
+
+    found = {r.level: r.n for r in prefix.select("often").mapInArrow(count, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()}
+    return [max(1, math.ceil(found.get(k, 0) / ENTRIES)) for k in range(LEVELS)]
+
+
+def candidates(prefix: DataFrame, share: int, ranges: list[int], turn: str) -> DataFrame:
+    """u, v: candidate pairs, each fragment of the global order apart. prefix: cls, n, held, keys, often, root.
+
+    turn "near": neighbours in the lists, by size and by chance, and the two sets of a list that share most, with all of it;
+    "all": every pair of different roots. Pairs that can't link are no candidates: for their sizes, because too few of their
+    shingles occur anywhere else, or because of the overlap of their prefixes: it is counted for the fragment, and for the
+    others bounded by how many entries both sets have in each level.
     """
+    begin_of = np.concatenate([[0], np.cumsum(ranges)])
+    parts = np.array(ranges)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(2)]
-            often = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in b.column(3)])
-            sizes = np.array([len(k) for k in keys])
+            keys = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(3)]
+            row = np.repeat(np.arange(b.num_rows), [len(k) for k in keys])
             key = np.concatenate(keys)
-            # a place in the order: by frequency's size first, then by hash
-            level = np.minimum(31, np.log2(often).astype(np.int64))
-            place = level * fragments + _ranges(key, fragments)
-            row = np.repeat(np.arange(b.num_rows), sizes)
+            at_level = level(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in b.column(4)]))
+            place = begin_of[at_level] + ((key >> np.uint64(32)) * parts[at_level].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            levels = np.bincount(row * LEVELS + at_level, minlength=b.num_rows * LEVELS).astype(np.int32).reshape(-1, LEVELS)
             o = np.argsort(place, kind="stable")
             found, at = np.unique(place[o], return_index=True)
-            at = [*at.tolist(), len(o)]
-            columns = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4)]
-            cuts = [o[i:j] for i, j in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([key[c].tobytes() for c in cuts], pa.binary()), *(pa.array([x[row[c]].astype(np.int64).tobytes() for c in cuts], pa.binary()) for x in columns)], ["fragment", "keys", "cls", "n", "root"])
+            columns = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 5)], 1)
+            out: list[list] = [[], [], [], [], []]
+            for f, x, y in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(o)], strict=True):
+                c = o[x:y]
+                docs, counts = np.unique(row[c], return_counts=True)
+                for held, v in zip(out, (f, key[c].tobytes(), counts.tobytes(), columns[docs].tobytes(), levels[docs].tobytes()), strict=True):
+                    held.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], ["fragment", "keys", "counts", "sets", "levels"])
 
     def pairs(rows: pa.Table) -> pa.Table:
-        key = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in rows["keys"]])
-        cls, n, root = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows[c]]) for c in ("cls", "n", "root"))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def fits(i: np.ndarray, j: np.ndarray) -> None:
-            ok = 100 * np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])
-            left.append(np.minimum(cls[i], cls[j])[ok])
-            right.append(np.maximum(cls[i], cls[j])[ok])
+        def whole(name: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x.as_py(), kind) for x in rows[name]])
+
+        key, counts = whole("keys", np.uint64), whole("counts", np.int64)
+        cls, n, held, root = whole("sets", np.int64).reshape(-1, 4).T
+        levels = whole("levels", np.int32).reshape(-1, LEVELS)
+        here = int(np.searchsorted(begin_of, rows["fragment"][0].as_py(), "right")) - 1
+        apart = levels.copy()
+        apart[:, here] -= counts.astype(np.int32)  # entries outside this fragment
+        rest = (share * n + 99) // 100 - 1  # shingles after the prefix
+        d = len(cls)
+        member = np.repeat(np.arange(d), counts)
+        codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        waiting: list[np.ndarray] = []
+
+        def sized(i: np.ndarray, j: np.ndarray) -> None:
+            most = np.minimum(np.minimum(held[i], held[j]), np.minimum(n[i], n[j]))  # of shingles that both can have
+            ok = 100 * most >= share * (n[i] + n[j] - most)
+            waiting.append(np.minimum(i, j)[ok] * d + np.maximum(i, j)[ok])
+
+        def settle() -> None:
+            nonlocal codes, times
+            every = np.concatenate([codes, *waiting])
+            number = np.concatenate([times, np.ones(len(every) - len(codes), np.int64)])
+            waiting.clear()
+            codes, place = np.unique(every, return_inverse=True)
+            times = np.bincount(place, number, len(codes)).astype(np.int64)
 
         if turn == "near":
             for by in (n, mixed(cls.view(np.uint64) + np.uint64(1)), mixed(cls.view(np.uint64) + np.uint64(2))):
-                o = np.lexsort((cls, by, key))
+                o = np.lexsort((cls[member], by[member], key))
                 same = np.flatnonzero(key[o][1:] == key[o][:-1])
-                fits(o[same], o[same + 1])
+                sized(member[o[same]], member[o[same + 1]])
+            o = np.lexsort((cls[member], (-held / n)[member], key))
+            k, m = key[o], member[o]
+            first = np.concatenate([[True], k[1:] != k[:-1]])
+            begin = np.flatnonzero(first)[np.cumsum(first) - 1]
+            for hub in (begin, np.minimum(begin + 1, len(o) - 1)):
+                other = np.flatnonzero((k[hub] == k) & (m[hub] != m))
+                sized(m[hub[other]], m[other])
+            settle()
         else:
-            o = np.lexsort((cls, n, root, key))
-            k, r = key[o], root[o]
+            o = np.lexsort((cls[member], n[member], root[member], key))
+            k, m = key[o], member[o]
             runs = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             for a, b in zip(runs.tolist(), [*runs[1:].tolist(), len(o)], strict=True):
-                if r[a] == r[b - 1]:
+                if root[m[a]] == root[m[b - 1]]:
                     continue
-                where = o[a:b]
-                sized = where[np.argsort(n[where], kind="stable")]
-                sizes = n[sized]
+                where = m[a:b]
+                by_size = where[np.argsort(n[where], kind="stable")]
+                sizes = n[by_size]
                 for i in where.tolist():
-                    # sets of other components, not smaller than this one, and of a size that fits
+                    # sets of other components, not smaller than this one (of equal ones the later), and of a size that fits
                     low, high = np.searchsorted(sizes, n[i], "left"), np.searchsorted(sizes, 100 * n[i] // share, "right")
-                    others = sized[low:high]
-                    others = others[root[others] != root[i]]
+                    others = by_size[low:high]
+                    others = others[(root[others] != root[i]) & ((n[others] > n[i]) | (others > i))]
                     if len(others):
-                        fits(np.full(len(others), i), others)
-        both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        return pa.table({"u": pa.array(both[:, 0].copy(), pa.int64()), "v": pa.array(both[:, 1].copy(), pa.int64())})
-
-    cuts = prefix.select("cls", "n", "keys", "often", "root").mapInArrow(cut, "fragment long, keys binary, cls binary, n binary, root binary")
+                        sized(np.full(len(others), i), others)
+                if sum(map(len, waiting)) > 4_000_000:
+                    settle()
+            settle()
+            kept = []
+            for x in range(0, len(codes), 1_000_000):
+                i, j = codes[x : x + 1_000_000] // d, codes[x : x + 1_000_000] % d
+                most = times[x : x + 1_000_000] + np.minimum(apart[i], apart[j]).sum(1) + np.maximum(rest[i], rest[j])
+                kept.append(100 * most >= share * (n[i] + n[j] - most))
+            codes = codes[np.concatenate(kept)] if kept else codes
+        u, v = cls[codes // d], cls[codes % d]
+        return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+
+    cuts = prefix.select("cls", "n", "held", "keys", "often", "root").mapInArrow(cut, "fragment long, keys binary, counts binary, sets binary, levels binary")
     return cuts.groupBy("fragment").applyInArrow(pairs, "u long, v long").distinct()
 
 
@@ -344,8 +408,7 @@ def ngram_components(documents: DataFrame, share: int = 80) -> DataFrame:
         if facts.k:
             blocks = written(block_sets(documents, near.select("doc_id", "cls"), facts.k), "blocks")
             prefix = written(prefixes(blocks, facts.n, share), "prefixes")
-            entries = prefix.agg(F.sum(F.octet_length("keys")) / 8).first()[0] or 0
-            fragments = max(4, math.ceil(entries / RANGE))
+            fragments = level_ranges(prefix)
             first = written(candidates(prefix.withColumn("root", F.col("cls")), share, fragments, "near"), "pairs")
             links = written(linked(first, blocks, facts.n, share, first.count()), "links")
             found = components(links)
