@@ -31,6 +31,7 @@ SAMPLE = 12_000
 STEPS = 60
 STEPS_HELD = 15
 PULL = 1e-5
+LEAST = 0.8  # of all tokens are aimed at, even where a scarce domain can't reach its share of them
 CLOSE = 1e-4  # largest relative miss of a target that ends the fit
 
 #: Domains of the labelled table: documents of high quality, of low quality, and toxic ones.
@@ -138,7 +139,8 @@ class Steps:
 def rates(featured: DataFrame, shares: tuple[float, ...], most: float | None = None, tokens: float | None = None, id_column: str = "doc_id") -> DataFrame:
     """featured (written posteriors) with rate. shares: target weights of the domains; most: upper bound of a rate; tokens: the total aimed at.
 
-    Without ``tokens``, the total is that of all documents, or with ``most`` the largest that its expected domain totals allow.
+    Without ``tokens``, the total is that of all documents, or with ``most`` the largest that the expected domain totals
+    allow, but no less than ``LEAST`` of all: a domain that is nearly absent then falls short of its target.
     """
     kinds = len(shares)
     names = [f"a{d}" for d in range(kinds)]
@@ -152,7 +154,7 @@ def rates(featured: DataFrame, shares: tuple[float, ...], most: float | None = N
     share = share / share.sum()
     if tokens is None:
         on = share > 0
-        tokens = n if most is None else min(n * most, float((there[on] * most / share[on]).min()))
+        tokens = n if most is None else max(LEAST * n, min(n * most, float((there[on] * most / share[on]).min())))
     target = share * tokens
     # residuals are weighed by the inverse of the posteriors' moments, so that steps of size 1 suit all directions
     weigh = np.linalg.inv(moment + 1e-6 * np.trace(moment) * np.eye(kinds))
