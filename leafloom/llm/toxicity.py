@@ -183,8 +183,9 @@ def chosen_stems(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int,
 
     good = sorted((s for s in toxic if log_ratio(s) >= math.log(t.ratio)), key=lambda s: (-told(s), len(s), s))
     kept: dict[str, float] = {}
+    least = 12.0 if n1 >= 40 else 4 + 2 * math.log(max(1, len(toxic)))  # of few rows, more than chance gives the best of so many stems
     for s in good:
-        if len(kept) >= t.entries or told(s) < 12:
+        if len(kept) >= t.entries or told(s) < least:
             break
         if not any(s.startswith(k) or k.startswith(s) for k in kept):
             kept[s] = log_ratio(s)
@@ -192,20 +193,22 @@ def chosen_stems(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int,
     return kept, exceptions
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and bias by Newton steps; rows of either label weigh alike."""
-    weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, even: bool = True) -> tuple[float, float]:
+    """Slope and bias by Newton steps; even: rows of either label weigh alike, unless rows without a hit would then count as toxic."""
+    weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) if even else np.full(len(y), 1.0 / max(1, len(y)))
     scale = float(np.abs(x).max()) or 1.0
     a = np.stack([x / scale, np.ones_like(x)], 1)
     w = np.zeros(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (weight * (p - y)) + ridge * w * [0.01, 0.01]
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + np.eye(2) * ridge * 0.01
+        g = a.T @ (weight * (p - y)) + ridge * w * [0.01, 0.0]
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag([ridge * 0.01, 1e-9])
         step = np.linalg.solve(h, g)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
+    if even and w[1] > -0.5:
+        return logistic(x, y, ridge, even=False)
     return float(max(0.0, w[0]) / scale), float(w[1])
 
 
