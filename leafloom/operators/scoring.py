@@ -52,3 +52,21 @@ def best_match(truth: DataFrame, found: DataFrame) -> DataFrame:
     w = F.least("x1", "fx1") - F.greatest("x0", "fx0")
     h = F.least("y1", "fy1") - F.greatest("y0", "fy0")
     return truth.join(f, ["doc", "page"]).withColumn("area", w * h).where((w > 0) & (h > 0)).groupBy("doc", "t").agg(F.max_by("f", F.struct(F.col("area"), -F.col("f"))).alias("f"))
+
+
+def top_of_group(rows: DataFrame, group: str, *order: Column) -> DataFrame:
+    """The first row of each group."""
+    from pyspark.sql import Window
+
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def character_errors(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """doc, t, chars, errors: the least edit distance, at most the text's length, from each true text to a found one of its document's matched table.
+
+    truth: doc, tbl, t, text; found: doc, tbl, text.
+    """
+    glyphs = lambda c: F.regexp_replace(c, r"(?U)\s", "")
+    pairs = truth.join(found.select("doc", "tbl", F.col("text").alias("other")), ["doc", "tbl"], "left")
+    long = F.length(glyphs("text"))
+    return pairs.groupBy("doc", "t").agg(F.max(long).cast("long").alias("chars"), F.min(F.least(F.coalesce(F.levenshtein(glyphs("text"), glyphs("other")), long), long)).cast("long").alias("errors"))

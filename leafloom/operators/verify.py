@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,16 @@ def cuts(cells: DataFrame, rules: DataFrame, words: DataFrame, edge: float = 2.0
     hit = cells.join(v, "tbl").where((F.col("rule_at") > F.col("x0") + margin) & (F.col("rule_at") < F.col("x1") - margin) & (F.col("start") <= F.col("y0") + edge) & (F.col("end") >= F.col("y1") - edge)).select("tbl", "row", "col", "rule_at")
     sides = hit.join(words.select("tbl", "row", "col", ((F.col("x0") + F.col("x1")) / 2).alias("cx")), ["tbl", "row", "col"]).groupBy("tbl", "row", "col", "rule_at")
     return sides.agg(F.count_if(F.col("cx") < F.col("rule_at")).alias("l"), F.count_if(F.col("cx") > F.col("rule_at")).alias("r")).where("l > 0 and r > 0").select("tbl", "row", "col").distinct()
+
+
+def char_kind(code: Column, generated: Column, hyphen: Column, map_error: Column) -> Column:
+    """Precedence: generated, hyphen, unmapped, space, invisible, ink."""
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (
+        F.when(generated, "generated")
+        .when(hyphen | ((code == 2) & ~map_error), "hyphen")
+        .when((map_error & ~code.isin(9, 10, 13, 32, 160)) | (code == 0) | code.between(128, 159), "unmapped")
+        .when(char.rlike(r"(?U)^[\s\x1c-\x1f]\z"), "space")
+        .when(char.rlike(r"^[\p{Cc}\p{Cf}\p{Co}\p{Cn}]\z"), "invisible")
+        .otherwise("ink")
+    )

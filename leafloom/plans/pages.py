@@ -246,3 +246,28 @@ def table_match_topk(spark, sf):
     t = table(spark, sf, "part").select((p % 50).alias("doc"), F.col("p_size").alias("page"), p.alias("t"), (p % 100).cast("double").alias("x0"), (p % 60).cast("double").alias("y0"), (p % 100 + 40).cast("double").alias("x1"), (p % 60 + 40).cast("double").alias("y1"))
     f = t.select("doc", "page", F.col("t").alias("f"), (F.col("x0") + 7).alias("x0"), (F.col("y0") + 5).alias("y0"), (F.col("x1") + 7).alias("x1"), (F.col("y1") + 5).alias("y1"))
     return scoring.best_match(t, f)
+
+
+@R.add("""SELECT source, doc_id, numbers FROM (SELECT source, doc_id, len(regexp_extract_all(text, '[0-9]+')) AS numbers, row_number() OVER (PARTITION BY source ORDER BY len(regexp_extract_all(text, '[0-9]+')) DESC, length(text) DESC, doc_id) AS n FROM documents) WHERE n = 1""")
+def most_numeric(spark, sf):
+    """Of each source the document with the most numbers, then the longest, then the first."""
+    d = table(spark, sf, "documents").select("source", "doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), 0)).cast("long").alias("numbers"), F.length("text").alias("long"))
+    return scoring.top_of_group(d, "source", F.desc("numbers"), F.desc("long"), F.col("doc_id")).select("source", "doc_id", "numbers")
+
+
+@R.add("""WITH t AS (SELECT p_size AS doc, p_partkey % 3 AS tbl, p_partkey AS t, p_name AS text FROM part), f AS (SELECT doc, tbl, replace(text, 'a', 'e') AS other FROM t)
+    SELECT doc, t, max(length(replace(text, ' ', ''))) AS chars, min(least(levenshtein(replace(text, ' ', ''), replace(other, ' ', '')), length(replace(text, ' ', '')))) AS errors FROM t JOIN f USING (doc, tbl) GROUP BY 1, 2""")
+def cer_counts(spark, sf):
+    t = table(spark, sf, "part").select(F.col("p_size").alias("doc"), (F.col("p_partkey") % 3).alias("tbl"), F.col("p_partkey").alias("t"), F.col("p_name").alias("text"))
+    return scoring.character_errors(t, t.select("doc", "tbl", F.replace("text", F.lit("a"), F.lit("e")).alias("text")))
+
+
+_CODES = "c AS (SELECT event_id, (event_id * 7919 % 1200)::INT AS code, event_id % 11 = 0 AS generated, event_id % 13 = 0 AS hyphen, event_id % 17 = 0 AS map_error FROM events)"
+
+
+@R.add(f"""WITH {_CODES} SELECT event_id, code, CASE WHEN generated THEN 'generated' WHEN hyphen OR (code = 2 AND NOT map_error) THEN 'hyphen' WHEN (map_error AND code NOT IN (9, 10, 13, 32, 160)) OR code = 0 OR code BETWEEN 128 AND 159 THEN 'unmapped' WHEN code IN (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160) THEN 'space' WHEN code < 32 OR code = 127 OR code = 173 THEN 'invisible' ELSE 'ink' END AS kind FROM c WHERE code < 888""")
+def char_kinds(spark, sf):
+    """What a drawn character is, in the order in which its facts decide. Codes whose assignment depends on the Unicode version are left aside."""
+    e = F.col("event_id")
+    c = table(spark, sf, "events").select("event_id", (e * 7919 % 1200).cast("int").alias("code"), (e % 11 == 0).alias("generated"), (e % 13 == 0).alias("hyphen"), (e % 17 == 0).alias("map_error"))
+    return c.where("code < 888").select("event_id", "code", verify.char_kind(F.col("code"), F.col("generated"), F.col("hyphen"), F.col("map_error")).alias("kind"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafloom.functions import tokens as tk
-from leafloom.operators import export, tables
+from leafloom.operators import export, tables, verify
 from leafloom.plans.registry import Registry, table
 from leafloom.sources import typeset as ts
 
@@ -157,3 +157,12 @@ def chart_bars(spark, sf):
 def value_cells(spark, sf):
     """The distinct value cells by column: counts, money and shares."""
     return cells(spark, sf).where("row > 0").where(tk.is_value(F.col("text"))).select("col", "text").distinct()
+
+
+@R.add(f"""{W} SELECT tbl, "row", 0::BIGINT AS col FROM cells WHERE tbl % 4 = 1 AND col = 3""")
+def verify_vrule(spark, sf):
+    """Cells made of two neighbouring ones: in every fourth table a drawn rule runs through the first, with words on either side."""
+    w = words(spark, sf).withColumn("col", F.when(F.col("col") < 2, F.lit(0)).otherwise(F.col("col")).cast("long"))
+    c = w.groupBy("tbl", "row", "col").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    drawn = c.where("tbl % 4 = 1").groupBy("tbl").agg(F.min("y0").alias("start"), F.max("y1").alias("end")).select("tbl", F.lit("v").alias("axis"), F.lit(180.0).alias("at"), "start", "end")
+    return verify.cuts(c, drawn, w)
