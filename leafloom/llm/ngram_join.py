@@ -311,9 +311,22 @@ def candidates(prefix: DataFrame, share: int, ranges: list[int], turn: str) -> D
             o = np.lexsort((cls[member], n[member], root[member], key))
             k, m = key[o], member[o]
             runs = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            for a, b in zip(runs.tolist(), [*runs[1:].tolist(), len(o)], strict=True):
-                if root[m[a]] == root[m[b - 1]]:
-                    continue
+            ends = np.concatenate([runs[1:], [len(o)]])
+            roots = root[m]
+            apart_runs = np.minimum.reduceat(roots, runs) != np.maximum.reduceat(roots, runs) if len(runs) else np.zeros(0, bool)
+            runs, ends = runs[apart_runs], ends[apart_runs]
+            short = ends - runs <= 32
+            # short lists all at once: each place with the one a step further, step by step
+            sizes = (ends - runs)[short]
+            at = np.repeat(runs[short] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            until = np.repeat(ends[short], sizes)
+            for step in range(1, 32):
+                at, until = at[at + step < until], until[at + step < until]
+                if not len(at):
+                    break
+                i, j = m[at], m[at + step]
+                sized(i[root[i] != root[j]], j[root[i] != root[j]])
+            for a, b in zip(runs[~short].tolist(), ends[~short].tolist(), strict=True):
                 where = m[a:b]
                 by_size = where[np.argsort(n[where], kind="stable")]
                 sizes = n[by_size]
