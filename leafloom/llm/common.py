@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def reachable(spark: SparkSession) -> None:
+    """Python workers started from now on find this package, wherever the driver was started."""
+    root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in held.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        held["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,4 +61,5 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Only the id and the text, null texts as empty ones; extra columns never reach a worker."""
+    reachable(df.sparkSession)
     return df.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias(text_column))
