@@ -1,10 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-Every page becomes a tree of labelled elements in which runs of like siblings are one node. Trees of one host are aligned
-by simple tree matching and merged into the host's wrapper, of which each node counts the pages it stood in and the texts
-that recurred there. Texts that stand at one node in half of a host's pages (3 at least) are template; what varies is
-content. Wrappers are merged inside each partition, then over salted groups, then by host, so that a host with a third of
-all pages is never gathered in one task, and all pages count.
+Every page becomes a tree of labelled elements in which runs of like siblings are one node. The different trees of one host
+are aligned by simple tree matching and merged into the host's wrapper, over salted groups and then by host, the most common
+first, so that neither the order of pages nor their partitions matter and no host is gathered in one task. Then every page
+is aligned with its host's wrapper, and an ordinary aggregation counts the pages of each node and of each text at a node.
+What a full wrapper has no room for is counted too, by its labels below the node that it hangs on. Texts that stand at one
+node in half of its pages (3 at least) are template; what varies is content. Pages of equal content count once.
 
 Elements that say what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles,
 hidden ones) are left out whether or not they vary. Where a page marks its article, only that is taken, and its own
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -48,8 +50,7 @@ OUT_NAMES = frozenset(
 )
 MAIN_NAMES = frozenset("articlebody article-body article-content entry-content post-content main-content story-body post-body".split())
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]+|[A-Z]+(?![a-z])")
-MOST_NODES = 400  # of a wrapper; what comes later is content
-COUNTERS = 8  # recurring texts that a node of a wrapper follows
+MOST_NODES = 400  # of a wrapper; what comes later is told by its labels
 SHARE, LEAST = 0.5, 3
 
 
@@ -211,11 +212,12 @@ def parse(source: str) -> tuple[Node, list[Block]]:
     return root, [b for b in blocks if b.text]
 
 
-def text_key(text: str) -> str:
-    return blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+def text_key(text: str, rest: str = "") -> str:
+    """Of a text at a node, or below it where ``rest`` has the labels."""
+    return blake2b((f"{rest}\0{text}" if rest else text).encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
-# A wrapper's node: [label, pages, {text key: pages}, children]
+# A wrapper's node: [label, pages, {text key: pages}, children]; the key of an empty text has the pages of what is below the node
 
 
 def matching(a: list, b: list, label, below) -> list[tuple[int, int]]:
@@ -252,12 +254,7 @@ def wrapper_of(root: Node, blocks: list[Block]) -> list:
         texts.setdefault(id(b.node), {})[text_key(b.text)] = 1
 
     def node(x: Node) -> list:
-        # a page's own varying paragraphs can't all be followed: the first ones and the last ones are
-        own = texts.get(id(x), {})
-        if len(own) > COUNTERS:
-            keys = list(own)
-            own = dict.fromkeys(keys[: COUNTERS // 2] + keys[-COUNTERS // 2 :], 1)
-        return [x.label, 1, own, [node(c) for c in x.children]]
+        return [x.label, 1, texts.get(id(x), {}), [node(c) for c in x.children]]
 
     return node(root)
 
@@ -278,13 +275,6 @@ def merge(a: list, b: list, room: list[int]) -> None:
     counts = a[2]
     for k, n in b[2].items():
         counts[k] = counts.get(k, 0) + n
-    while len(counts) > 4 * COUNTERS:  # recurring texts outlive the rest
-        least = sorted(counts.values())[-COUNTERS] if len(counts) > COUNTERS else 0
-        kept = {k: n for k, n in counts.items() if n > least} or dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:COUNTERS])
-        if len(kept) == len(counts):
-            break
-        counts.clear()
-        counts.update(kept)
     pairs = matching(a[3], b[3], lambda x, _: x[0], tree_size)
     for i, j in pairs:
         merge(a[3][i], b[3][j], room)
@@ -310,32 +300,57 @@ def merged(wrappers: Iterator[list]) -> list | None:
     return out
 
 
-def template(root: Node, blocks: list[Block], wrapper: list | None) -> list[bool]:
-    """Whether each block stands in the wrapper as a recurring text."""
-    if not wrapper or wrapper[1] < LEAST:
-        return [False] * len(blocks)
-    place: dict[int, list] = {}
+def in_order(w: list) -> list[list]:
+    """A wrapper's nodes, parents first."""
+    return [w, *(x for c in w[3] for x in in_order(c))]
+
+
+def places(root: Node, wrapper: list) -> dict[int, tuple[int, str]]:
+    """By a page's node: the number of the wrapper's node that it is aligned with, or else that of the next aligned one above and the labels from there."""
+    number = {id(w): k for k, w in enumerate(in_order(wrapper))}
+    out: dict[int, tuple[int, str]] = {}
 
     def size(w: list, p: Node) -> int:
         return sum(1 + size(w[3][i], p.children[j]) for i, j in matching(w[3], p.children, lambda x, side: x.label if side else x[0], size))
 
-    def align(w: list, p: Node) -> None:
-        place[id(p)] = w
-        for i, j in matching(w[3], p.children, lambda x, side: x.label if side else x[0], size):
-            align(w[3][i], p.children[j])
+    def align(w: list, p: Node, rest: str) -> None:
+        out[id(p)] = number[id(w)], rest
+        pairs = {} if rest else {j: i for i, j in matching(w[3], p.children, lambda x, side: x.label if side else x[0], size)}
+        for j, c in enumerate(p.children):
+            if j in pairs:
+                align(w[3][pairs[j]], c, "")
+            else:
+                align(w, c, f"{rest} {c.label}")
 
-    align(wrapper, root)
+    align(wrapper, root, "")
+    return out
+
+
+def template(root: Node, blocks: list[Block], wrapper: list | None) -> list[bool]:
+    """Whether each block stands in the wrapper as a recurring text."""
+    if not wrapper:
+        return [False] * len(blocks)
+    held, place = in_order(wrapper), places(root, wrapper)
     out = []
     for b in blocks:
-        w = place.get(id(b.node))
-        out.append(bool(w) and w[2].get(text_key(b.text), 0) >= max(LEAST, SHARE * w[1]))
+        at, rest = place[id(b.node)]
+        _, pages, counts, _ = held[at]
+        if rest:
+            pages = counts.get(text_key("", rest), 0)
+        out.append(counts.get(text_key(b.text, rest), 0) >= max(LEAST, SHARE * pages))
     return out
 
 
+def telling(blocks: list[Block]) -> list[Block]:
+    """The blocks that can be content: those of the marked article, if there is one."""
+    article = any(b.main and not b.out for b in blocks)
+    return [b for b in blocks if not b.out and (b.main or not article)]
+
+
 def content(source: str, wrapper: list | None) -> str:
     root, blocks = parse(source)
     article = any(b.main and not b.out for b in blocks)
-    rest = [b for b in blocks if not b.out and (b.main or not article)]
+    rest = telling(blocks)
     if not article:
         fixed = {id(b) for b, t in zip(blocks, template(root, blocks, wrapper), strict=True) if t}
         rest = [b for b in rest if id(b) not in fixed and b.links <= 0.6 * max(1, sum(map(len, b.parts)))]
@@ -348,69 +363,117 @@ def host(url: str = "url"):
 
 
 def wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
-    """host, pages, wrapper (JSON): all pages of each host aligned and merged, in three steps."""
+    """host, wrapper (JSON): the different trees of each host's pages, aligned and merged; no texts yet."""
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[list, list[int]]] = {}
+        held: Counter[tuple[str, str]] = Counter()
 
         def out() -> pa.RecordBatch:
-            rows = [(h, json.dumps(w)) for h, (w, _) in held.items()]
+            rows = [(*k, n) for k, n in held.items()]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["host", "wrapper"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["host", "wrapper", "pages"])
 
         for batch in batches:
             for h, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                root, blocks = parse(source.as_py())
-                w = wrapper_of(root, [b for b in blocks if not b.out])
-                if h in held:
-                    merge(held[h][0], w, held[h][1])
-                else:
-                    held[h] = w, [MOST_NODES - nodes(w)]
-                if len(held) > 5_000:  # a worker holds so many wrappers at most
+                held[h, json.dumps(wrapper_of(parse(source.as_py())[0], []))] += 1
+                if len(held) > 5_000:  # a worker holds so many trees at most
                     yield out()
         yield out()
 
     def together(frame: pd.DataFrame) -> pd.DataFrame:
-        w = merged(map(json.loads, frame.wrapper))
-        return pd.DataFrame({"host": [frame.host.iloc[0]], "wrapper": [json.dumps(w)]})
+        frame = frame.sort_values(["pages", "wrapper"], ascending=[False, True])
+        return pd.DataFrame({"host": [frame.host.iloc[0]], "wrapper": [json.dumps(merged(map(json.loads, frame.wrapper)))], "pages": [frame.pages.sum()]})
 
-    kind = "host string, wrapper string"
-    parts = pages.mapInArrow(inside, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    salted = parts.groupBy("host", "salt").applyInPandas(lambda f: together(f), kind)
-    return salted.groupBy("host").applyInPandas(together, kind)
+    kind = "host string, wrapper string, pages long"
+    trees = pages.mapInArrow(inside, kind).groupBy("host", "wrapper").agg(F.sum("pages").alias("pages")).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
+    salted = trees.groupBy("host", "salt").applyInPandas(lambda f: together(f), kind)
+    return salted.groupBy("host").applyInPandas(together, kind).select("host", "wrapper")
 
 
-def extract(pages: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
-    """page_id, url, text, n_chars. Wrappers of up to ``most_bytes`` in all are broadcast, more are joined by host."""
-    spark = pages.sparkSession
-    plain = pages.select("page_id", "url", host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    found = written(wrappers(plain.select("host", "html")), "wrappers")
+def beside(pages: DataFrame, found: DataFrame, most_bytes: int, keep: list[str], run, schema) -> DataFrame:
+    """``run(part, sources, wrappers)`` over all pages, 256 at a time, each beside its host's wrapper. part has the host and the columns of ``keep``."""
     bytes_ = found.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 64)).first()[0] or 0
     small = bytes_ <= most_bytes
-    held = spark.sparkContext.broadcast({r.host: r.wrapper for r in found.collect()}) if small else None
+    held = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in found.collect()}) if small else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, list | None] = ("", None)
         read: dict[str, list | None] = {}
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                out = []
-                for i, (h, source) in enumerate(zip(part.column(2).to_pylist(), part.column(3), strict=True)):
+                own = []
+                for i, h in enumerate(part.column("host").to_pylist()):
                     if held is not None:
                         if h not in read:
                             if len(read) > 2_000:
                                 read.clear()
                             read[h] = json.loads(held.value[h]) if h in held.value else None
-                        w = read[h]
+                        own.append(read[h])
                     else:
                         if last[0] != h or last[1] is None:
-                            stored = part.column(4)[i].as_py()
+                            stored = part.column("wrapper")[i].as_py()
                             last = h, json.loads(stored) if stored else None
-                        w = last[1]
-                    out.append(content(source.as_py(), w))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                        own.append(last[1])
+                yield run(part, part.column("html").to_pylist(), own)
+
+    columns = [*keep, "host", "html"]
+    given = pages.select(*columns) if small else pages.join(found, "host", "left").select(*columns, "wrapper")
+    return given.mapInArrow(each, schema)
+
+
+def counted(pages: DataFrame, found: DataFrame, most_bytes: int) -> DataFrame:
+    """host, wrapper (JSON): with the exact counts of the texts that recur. Pages of equal content are one."""
+
+    def seen(part: pa.RecordBatch, sources: list[str], own: list) -> pa.RecordBatch:
+        rows = []
+        for h, source, w in zip(part.column("host").to_pylist(), sources, own, strict=True):
+            root, blocks = parse(source)
+            page = int(text_key("\n".join(b.text for b in telling(blocks))), 16) - 2**63
+            place = places(root, w)
+            stood = {(*at, text_key("", at[1])) for at in place.values()}
+            texts = {(*place[id(b.node)], text_key(b.text, place[id(b.node)][1])) for b in blocks if not b.out}
+            rows += [(h, *x, page) for x in stood | texts]
+        types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["host", "node", "rest", "key", "page"])
+
+    at = ["host", "node", "rest"]
+    rows = beside(pages, found, most_bytes, [], seen, "host string, node int, rest string, key string, page long")
+    often = written(rows.distinct().groupBy(*at, "key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST), "wrapper-texts")
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for stored, texts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                w = json.loads(stored)
+                held = in_order(w)
+                for t in texts or []:
+                    x = held[t["node"]]
+                    if t["rest"]:
+                        x[2][text_key("", t["rest"])] = t["pages"]
+                    else:
+                        x[1] = t["pages"]
+                    x[2][t["key"]] = t["n"]
+                out.append(json.dumps(w))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["host", "wrapper"])
+
+    # an empty text's key is that of the place itself
+    keys = F.udf(lambda rest: text_key("", rest), "string")
+    stood = often.withColumn("own", F.when(F.col("rest") == "", F.lit(text_key(""))).otherwise(keys("rest"))).where("key = own").select(*at, F.col("n").alias("pages"), "own")
+    texts = often.join(stood, at).where((F.col("key") != F.col("own")) & (F.col("n") >= SHARE * F.col("pages")))
+    by_host = texts.groupBy("host").agg(F.collect_list(F.struct("node", "rest", "key", "n", "pages")).alias("texts"))
+    return found.join(by_host, "host", "left").select("host", "wrapper", "texts").mapInArrow(filled, "host string, wrapper string")
+
+
+def extract(pages: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """page_id, url, text, n_chars. Wrappers of up to ``most_bytes`` in all are broadcast, more are joined by host."""
+    plain = pages.select("page_id", "url", host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    found = written(wrappers(plain.select("host", "html")), "wrappers")
+    found = written(counted(plain, found, most_bytes), "wrappers")
+
+    def run(part: pa.RecordBatch, sources: list[str], own: list) -> pa.RecordBatch:
+        out = list(map(content, sources, own))
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    given = plain if small else plain.join(found, "host", "left").select("page_id", "url", "host", "html", "wrapper")
     out = T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return given.mapInArrow(run, out)
+    return beside(plain, found, most_bytes, ["page_id", "url"], run, out)

@@ -255,6 +255,29 @@ def test_pages_give_their_articles(spark, data):
         assert found[r.page_id] == "\n".join(b for b in blocks if b)
 
 
+def test_all_recurring_texts_of_a_list_are_counted(spark):
+    notes = "".join(f"<li>Fixed line {k}</li>" for k in range(20))
+    rows = [(i, "http://h/", f"<body><ul>{notes}</ul><p>Story {i}</p></body>") for i in range(6)]
+    found = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Story {i}" for i in range(6)}
+
+
+def test_a_full_wrapper_loses_no_template(spark):
+    large = "".join(f"<div class=c{k}><p>Own {k}</p></div>" for k in range(300))
+    rows = [(0, "http://h/", f"<body>{large}</body>")] + [(i, "http://h/", f"<body><table><tr><td>Read our paper daily<td>Cell {i}</table></body>") for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for given in (df.coalesce(1), df.orderBy(F.desc("page_id")).coalesce(1), df.repartition(3)):
+        found = {r.page_id: r.text for r in extract.extract(given).where("page_id > 0").collect()}
+        assert found == {i: f"Cell {i}" for i in range(1, 6)}
+
+
+def test_what_a_wrapper_has_no_room_for_is_counted_by_its_labels(spark, monkeypatch):
+    monkeypatch.setattr(extract, "MOST_NODES", 0)
+    rows = [(i, "http://h/", f"<body><{'ul' if i % 2 else 'ol'}><li>Kind {i % 2}<li>Item {i}</body>") for i in range(8)]
+    found = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Item {i}" for i in range(8)}
+
+
 def test_awkward_pages(spark):
     df = spark.createDataFrame([(1, None, None), (2, "x", ""), (None, "http://h/", "<p>a"), (3, "http://h/", "<p>a"), (3, "http://h/", "<p>a"), (4, "http://h/", "<p>" * 2000)], "page_id long, url string, html string").withColumn("host", F.lit("q")).withColumn("text", F.lit("z"))
     found = Counter((r.page_id, r.text, r.n_chars) for r in extract.extract(df).collect())
