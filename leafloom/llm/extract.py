@@ -8,8 +8,8 @@ What a full wrapper has no room for is counted too, by its labels below the node
 node in half of its pages (3 at least) are template; what varies is content. Pages of equal content count once.
 
 Elements that say what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles,
-hidden ones) are left out whether or not they vary. Where a page marks its article, only that is taken, and its own
-paragraphs are never template (copies of a page would else erase each other); elsewhere blocks that are mostly links go.
+hidden ones) are left out whether or not they vary. Where a page marks its article, only that is taken, less the template
+in it (copies of a page don't erase each other, as equal content counts once); elsewhere blocks that are mostly links go.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own; broken markup is read as far
 as it goes (an unclosed tag ends with its parent, a ``<`` that opens no tag is text); repeated rows stay; an empty table
@@ -350,10 +350,10 @@ def telling(blocks: list[Block]) -> list[Block]:
 def content(source: str, wrapper: list | None) -> str:
     root, blocks = parse(source)
     article = any(b.main and not b.out for b in blocks)
-    rest = telling(blocks)
+    fixed = {id(b) for b, t in zip(blocks, template(root, blocks, wrapper), strict=True) if t}
+    rest = [b for b in telling(blocks) if id(b) not in fixed]
     if not article:
-        fixed = {id(b) for b, t in zip(blocks, template(root, blocks, wrapper), strict=True) if t}
-        rest = [b for b in rest if id(b) not in fixed and b.links <= 0.6 * max(1, sum(map(len, b.parts)))]
+        rest = [b for b in rest if b.links <= 0.6 * max(1, sum(map(len, b.parts)))]
     return "\n".join(b.text for b in rest)
 
 

@@ -278,6 +278,15 @@ def test_what_a_wrapper_has_no_room_for_is_counted_by_its_labels(spark, monkeypa
     assert found == {i: f"Item {i}" for i in range(8)}
 
 
+def test_template_inside_articles_goes_and_copies_stay(spark):
+    make = lambda i: f"<body><article><p>Share this story now</p><p>Story {i} begins</p><p>and {i} ends</p><div class=bio><p>Written by our staff</p></div></article></body>"
+    rows = [(i, f"http://h/{i}", make(i)) for i in range(4)] + [(10 + i, f"http://h/copy{i}", make(0)) for i in range(20)] + [(40 + i, "http://g/", make(7)) for i in range(9)]
+    found = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Story {i} begins\nand {i} ends" for i in range(4))
+    assert all(found[10 + i] == found[0] for i in range(20))
+    assert all(found[40 + i].count("\n") == 3 for i in range(9))  # copies alone tell nothing
+
+
 def test_awkward_pages(spark):
     df = spark.createDataFrame([(1, None, None), (2, "x", ""), (None, "http://h/", "<p>a"), (3, "http://h/", "<p>a"), (3, "http://h/", "<p>a"), (4, "http://h/", "<p>" * 2000)], "page_id long, url string, html string").withColumn("host", F.lit("q")).withColumn("text", F.lit("z"))
     found = Counter((r.page_id, r.text, r.n_chars) for r in extract.extract(df).collect())
