@@ -11,7 +11,7 @@ Largest inner product becomes smallest distance by one more component that bring
 Over the cluster the tree's upper levels, fitted on at most ``SAMPLE`` projections, part all rows into cells, and cells
 into blocks of about ``BLOCK`` rows by a hash; the lower levels are built in each block. A query first searches a block of
 its own cell, which gives an upper bound of its 20th distance; then all blocks of the cells that the chi-square test can't
-rule out. Blocks meet groups of queries of bounded size.
+rule out. Both turns' finds count. Blocks meet groups of queries of bounded size.
 
 Of equal vectors only the 21 smallest ids can ever be among a query's 20 nearest, so the others aren't searched; equal
 queries are searched once.
@@ -118,6 +118,11 @@ def box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return np.einsum("ijk,ijk->ij", gap, gap)
 
 
+def reach(bound: np.ndarray, norm: float, quantile: float) -> np.ndarray:
+    """The squared projected distance up to which the test can't rule out a larger inner product than ``bound``, or an equal one."""
+    return np.maximum(0.0, 2 * norm * norm - 2 * bound) * quantile + 1e-9 * norm * norm
+
+
 def search(qx: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, p: np.ndarray, k: int, norm: float, quantile: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of queries (vectors brought to ``norm``, projections, least inner product worth finding): (query number, candidate row, score).
 
@@ -135,8 +140,7 @@ def search(qx: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, ids
         live = np.arange(len(q))
         for step in range(len(groups)):
             leaf = order[live, step]
-            reach = np.maximum(0.0, 2 * norm * norm - 2 * best[live]) * quantile
-            on = near[live, leaf] < reach
+            on = near[live, leaf] <= reach(best[live], norm, quantile)
             live, leaf = live[on], leaf[on]
             if not len(live):
                 break
@@ -233,8 +237,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_i
                         block = np.zeros(len(x), np.int64)
                     else:
                         bound = part.column(2).to_numpy(zero_copy_only=False)
-                        reach = np.maximum(0.0, 2 * norm * norm - 2 * bound) * quantile
-                        i, j = np.nonzero(near < reach[:, None])
+                        i, j = np.nonzero(near <= reach(bound, norm, quantile)[:, None])
                         n_parts = parts[j]
                         block = np.arange(n_parts.sum()) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
                         i, j = np.repeat(i, n_parts), np.repeat(j, n_parts)
@@ -274,13 +277,15 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_i
 
     n_asked = asked_vectors.count()
     groups = max(1, math.ceil(n_asked / QUERIES))
+    best = Window.partitionBy("query").orderBy(F.desc("near"), "id")
     first = meet(asked_vectors.mapInArrow(aimed(True), kind), groups)
-    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "id")))
+    ranked = written(first.withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * k + 2), "ann-first")
     bounds = ranked.where(F.col("n") == k + 1).select("query", F.col("near").alias("bound"))
     again = asked_vectors.join(bounds, "query", "left").select("query", "x", F.coalesce("bound", F.lit(-norm * norm)).alias("bound"))
     second = meet(again.mapInArrow(aimed(False), kind), groups)
     # scores come from the original vectors, component by component in order, so that equal pairs have equal scores
-    nearby = second.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "id"))).where(F.col("n") <= 2 * k + 2).drop("n")
+    both = second.union(ranked.drop("n")).groupBy("query", "id").agg(F.max("near").alias("near"))  # what the first turn found stays
+    nearby = both.withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * k + 2).drop("n")
     vectors = kept.select("id", F.col("x").alias("y"))
     exact = (
         nearby.join(vectors, "id")

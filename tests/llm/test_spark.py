@@ -160,6 +160,18 @@ def test_equal_vectors_and_few_rows(spark):
     assert [r.vec_id for r in ann.nearest(df.where("vec_id in (0, 1)")).collect()] == [1]
 
 
+def test_equal_vectors_of_the_largest_norm(spark):
+    r = np.random.default_rng(5)
+    unit = r.standard_normal((4, 16))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    for copied, others in (([1.0, 0.0], [[0.5, 0.5]] * 3), (unit[0].tolist(), unit[1:].tolist())):
+        df = spark.createDataFrame([(i, copied) for i in range(60)] + [(61 + i, v) for i, v in enumerate(others)], "vec_id long, embedding array<double>")
+        found = defaultdict(list)
+        for x in sorted(ann.nearest(df).collect(), key=lambda x: (x.query_id, x.rank)):
+            found[x.query_id].append(x.vec_id)
+        assert found == {0: list(range(1, 21)), 20: list(range(20)), 40: list(range(20))}
+
+
 def test_cells_and_blocks_change_nothing_that_counts(spark, data, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 64)
     monkeypatch.setattr(ann, "QUERIES", 8)
