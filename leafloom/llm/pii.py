@@ -7,8 +7,8 @@ notation, or the name part of an address), however far away. Loopy sum-product m
 label that is certain in one place to the places that look less sure. Runs of nodes labelled alike become spans where no
 base span stands already.
 
-The potentials are counts, learned from the base labels of at most ``SAMPLE`` documents that hold a digit or ``@``, chosen
-by a hash of the text (that bound is a parameter). Texts without such a character have no nodes and no spans.
+The potentials are counts, learned from the base labels of all documents that hold a digit or ``@``; copies count each.
+Texts without such a character have no nodes and no spans.
 
 Defined results: a null text counts as an empty one and has no spans; repeated rows get equal results; offsets are code
 points, ends exclusive; an empty table gives an empty result; other columns are ignored (``redact`` keeps them).
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafloom.llm.common import texts, written
+from leafloom.llm.common import texts
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 4_000
+HELD = 100_000  # counts that a worker holds at most
 SURE = 0.9  # belief from which a node's label is taken
 ROUNDS = 10
 
@@ -209,15 +209,18 @@ def _normal(logs: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True) if len(logs) else p
 
 
-def learn(documents: DataFrame, sample: int = SAMPLE) -> Field:
-    told = texts(documents).select("text", F.xxhash64("text").alias("h")).where(F.col("text").rlike("[0-9@]"))
-    bound = told.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if bound is None:
-        return Field()
-    rows = written(told.where(F.col("h") <= bound).dropDuplicates(["h"]).select("text"), "pii-sample")
+def learn(documents: DataFrame) -> Field:
+    rows = texts(documents).select("text").where(F.col("text").rlike("[0-9@]"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) if found else [(), (), (), ()]
+            n = list(found.values())
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(n, pa.int64())], ["what", "feature", "a", "b", "n"])
+
         for b in batches:
             for text in b.column(0).to_pylist():
                 g = graph(text)
@@ -229,11 +232,12 @@ def learn(documents: DataFrame, sample: int = SAMPLE) -> Field:
                 for kind, edges in (("chain", g.chain), ("skip", g.skip)):
                     for i, j in edges:
                         found[kind, "", labels[i], labels[j]] += 1
-        columns = list(zip(*found, strict=True)) if found else [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(list(found.values()), pa.int64())], ["what", "feature", "a", "b", "n"])
+                if len(found) > HELD:
+                    yield out()
+        yield out()
 
     counts = rows.mapInArrow(count, "what string, feature string, a int, b int, n long").groupBy("what", "feature", "a", "b").agg(F.sum("n").alias("n"))
-    return fitted(counts.where("what <> 'node' or n >= 2").orderBy(F.desc("n"), "what", "feature", "a", "b").limit(20_000).collect())
+    return fitted(counts.collect())  # as many rows as there are kinds of features
 
 
 def fitted(counts: list) -> Field:
@@ -254,7 +258,7 @@ def fitted(counts: list) -> Field:
         both = n / n.sum()
         lift = np.clip(np.log(both / (both.sum(1, keepdims=True) * both.sum(0, keepdims=True))), -3, 3)
         setattr(out, name, lift)
-    np.fill_diagonal(out.skip, np.maximum(np.diag(out.skip), level))  # repeats share a label, however few the sample has
+    np.fill_diagonal(out.skip, np.maximum(np.diag(out.skip), level))  # repeats share a label, however few the documents have
     return out
 
 

@@ -203,6 +203,16 @@ def test_rates_meet_their_targets(spark):
             assert abs(at.sum() / t.sum() - 1) < 2e-3
 
 
+# --- personal data ---
+
+
+def test_potentials_are_counted_in_all_documents(spark):
+    tokens = [f"1{chr(0x2190 + i // 70)}1{chr(0x2500 + i % 70)}1" for i in range(4_500)]
+    df = spark.createDataFrame([(i, f"{t} and {t}") for i, t in enumerate(tokens)], "doc_id long, text string")
+    known = pii.learn(df).node
+    assert all("shape " + pii.shape(t) in known for t in tokens)
+
+
 # --- counts, media, chat, toxicity, extraction ---
 
 
