@@ -31,7 +31,6 @@ SAMPLE = 12_000
 STEPS = 60
 STEPS_HELD = 15
 PULL = 1e-5
-LEAST = 0.8  # of all tokens are aimed at, even where a scarce domain can't reach its share of them
 CLOSE = 1e-4  # largest relative miss of a target that ends the fit
 
 #: Domains of the labelled table: documents of high quality, of low quality, and toxic ones.
@@ -136,11 +135,12 @@ class Steps:
         return r, v
 
 
-def rates(featured: DataFrame, shares: tuple[float, ...], most: float | None = None, tokens: float | None = None, id_column: str = "doc_id") -> DataFrame:
+def rates(featured: DataFrame, shares: tuple[float, ...], most: float | None = None, tokens: float | None = None, id_column: str = "doc_id", least: float = 0.0) -> DataFrame:
     """featured (written posteriors) with rate. shares: target weights of the domains; most: upper bound of a rate; tokens: the total aimed at.
 
     Without ``tokens``, the total is that of all documents, or with ``most`` the largest that the expected domain totals
-    allow, but no less than ``LEAST`` of all: a domain that is nearly absent then falls short of its target.
+    allow, so that the weights are met, but no less than the part ``least`` of all: with that floor a scarce domain falls
+    short of its target.
     """
     kinds = len(shares)
     names = [f"a{d}" for d in range(kinds)]
@@ -154,7 +154,7 @@ def rates(featured: DataFrame, shares: tuple[float, ...], most: float | None = N
     share = share / share.sum()
     if tokens is None:
         on = share > 0
-        tokens = n if most is None else max(LEAST * n, min(n * most, float((there[on] * most / share[on]).min())))
+        tokens = n if most is None else max(least * n, min(n * most, float((there[on] * most / share[on]).min())))
     target = share * tokens
     # residuals are weighed by the inverse of the posteriors' moments, so that steps of size 1 suit all directions
     weigh = np.linalg.inv(moment + 1e-6 * np.trace(moment) * np.eye(kinds))
@@ -191,18 +191,18 @@ def rates(featured: DataFrame, shares: tuple[float, ...], most: float | None = N
     return state.mapInArrow(moved, state.schema).drop("next")
 
 
-def fit(documents: DataFrame, labels: DataFrame, shares: tuple[float, ...], domain: F.Column | None = None, most: float | None = None) -> DataFrame:
+def fit(documents: DataFrame, labels: DataFrame, shares: tuple[float, ...], domain: F.Column | None = None, most: float | None = None, least: float = 0.0) -> DataFrame:
     """doc_id, n_tokens, p, rate for every document."""
     weights = learn(documents, labels, len(shares), domain_of() if domain is None else domain)
-    return rates(written(posteriors(documents, weights, len(shares)), "posteriors"), shares, most)
+    return rates(written(posteriors(documents, weights, len(shares)), "posteriors"), shares, most, least=least)
 
 
-def mix(documents: DataFrame, labels: DataFrame, shares: tuple[float, ...], domain: F.Column) -> DataFrame:
+def mix(documents: DataFrame, labels: DataFrame, shares: tuple[float, ...], domain: F.Column, least: float = 0.0) -> DataFrame:
     """The documents that are drawn, each with its rate (1 at most) as probability, by a hash of id and text; all columns."""
     key = F.xxhash64("doc_id", "text")
     plain = documents.select(key.alias("k"), "doc_id", "text")
     named = labels.select("doc_id", "quality", "toxic")
-    fitted_rates = fit(plain.select(F.col("k").alias("doc_id"), "text"), plain.select("doc_id", "k").join(named, "doc_id").select(F.col("k").alias("doc_id"), "quality", "toxic"), shares, domain, most=1.0)
+    fitted_rates = fit(plain.select(F.col("k").alias("doc_id"), "text"), plain.select("doc_id", "k").join(named, "doc_id").select(F.col("k").alias("doc_id"), "quality", "toxic"), shares, domain, most=1.0, least=least)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
     drawn = fitted_rates.groupBy("doc_id").agg(F.max("rate").alias("rate")).where(draw < F.col("rate")).select(F.col("doc_id").alias("k"))
     return documents.join(drawn, key == drawn["k"], "left_semi")

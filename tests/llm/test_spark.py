@@ -203,6 +203,18 @@ def test_rates_meet_their_targets(spark):
             assert abs(at.sum() / t.sum() - 1) < 2e-3
 
 
+def test_a_scarce_domain_meets_its_weight_unless_a_floor_is_given(spark):
+    df = spark.createDataFrame([(i, 10, [0.9, 0.1] if i % 2 else [0.1, 0.9]) for i in range(400)], "doc_id long, n_tokens long, p array<double>")
+    reached = {}
+    for least in (0.0, 0.8):
+        given = {"least": least} if least else {}
+        found = mixing.rates(df, (0.85, 0.15), 1.0, **given).collect()
+        at = np.sum([[x.n_tokens * x.rate * v for v in x.p] for x in found], 0)
+        reached[least] = at[0] / at.sum()
+    # the total that soft domains allow is a bound from above: 0.845 is reached
+    assert abs(reached[0.0] - 0.85) < 0.01 and reached[0.8] < 0.835
+
+
 # --- personal data ---
 
 
