@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -176,16 +177,47 @@ def test_folding_and_exceptions():
 # --- extraction ---
 
 
+def plain_wrapper(pages):
+    """A wrapper with its counts, page by page."""
+    wrapper = extract.merged(extract.tree_of(extract.parse(p)[0]) for p in pages)
+    held = extract.in_order(wrapper)
+    for w in held:
+        w[1] = 0
+    for p in pages:
+        root, blocks = extract.parse(p)
+        place = extract.places(root, wrapper)
+        for at, rest in set(place.values()):
+            held[at][1] += not rest
+        for at, key in {(place[id(b.node)][0], str(extract.text_key(b.text, place[id(b.node)][1]))) for b in blocks}:
+            held[at][2][key] = held[at][2].get(key, 0) + 1
+    return wrapper
+
+
+@pytest.mark.parametrize("page", ["<a" * 10**6, "<a '" * 10**5, "<a '>'" * 10**5, "<div>" * 10**5 + "x", "<div>" * 10**5 + "</x>" * 10**5, "<i><div>" + "<b>" * 10**5 + "</i>" * 10**5, "<blockquote>" * 10**5, "<!" * 10**5, "<![CDATA[" * 10**5, "&#" + "9" * 10**5 + ";", "".join(f"<div class=c{i}>{i}</div>" for i in range(30_000)), "<p>x<h2>y" * 30_000, "<p><table>" * 30_000], ids=range(13))
+def test_hostile_pages_take_time_in_proportion(page):
+    began = time.time()
+    root, _ = extract.parse(page)
+    extract.places(root, extract.tree_of(root))
+    assert time.time() - began < 5
+
+
+def test_references_and_links():
+    assert extract.content("<p>&#65;&#x00041;&#0;&#xffffffffff;&nbsp;b &lt;&copy;", None)[0] == "AA\ufffd\ufffd b <\xa9"
+    menu = "<ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul>"
+    assert extract.content(f"{menu}<p><a>All of this paragraph is a link</a>", None)[0] == "All of this paragraph is a link"
+    assert extract.content(f"<article>{menu}</article>", None)[0] == "One\nTwo\nThree"
+
+
 def test_article_without_what_stands_around():
     page = "<header><h1>Site</h1></header><nav><a href=x>Home</a></nav><div class='cookie-notice'>ok?</div><article><header><h1>T &amp; U</h1></header><p>One <b>two</b>&nbsp;three<p>4 < 5<script>var a='</p>'</script><div class=comments><p>no</p></div></article><form>f</form><aside>s</aside><footer>e</footer>"
-    assert extract.content(page, None) == "T & U\nOne two three\n4 < 5"
+    assert extract.content(page, None) == ("T & U\nOne two three\n4 < 5", 0)
 
 
 def test_recurring_texts_are_template():
     make = lambda i: f"<body><div class=top><p>Read our paper daily</p></div><div><p>Story {i} begins</p><p>and {i} ends</p></div><p>Share this now</p></body>"
-    wrapper = extract.merged(extract.wrapper_of(*extract.parse(make(i))) for i in range(6))
-    assert extract.content(make(9), wrapper) == "Story 9 begins\nand 9 ends"
-    assert extract.content(make(9), None).count("\n") == 3
+    wrapper = plain_wrapper([make(i) for i in range(6)])
+    assert extract.content(make(9), wrapper) == ("Story 9 begins\nand 9 ends", 2)
+    assert extract.content(make(9), None)[0].count("\n") == 3
 
 
 @pytest.mark.parametrize("page", ["", "<", "<p", "a<b", "<!--", "<script>", "</div></p>", "<p>" * 3000, "<table><tr><td>a<td>b<tr>", "<a href='x>y"])

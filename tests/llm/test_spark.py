@@ -321,6 +321,17 @@ def test_template_inside_articles_goes_and_copies_stay(spark):
     assert all(found[40 + i].count("\n") == 3 for i in range(9))  # copies alone tell nothing
 
 
+def test_many_trees_of_a_host_and_hot_hosts_change_nothing(spark, monkeypatch):
+    rows = [(i, f"http://{'h' if i % 3 else 'g'}/", f"<body><article><h1>T {i}</h1>{'<p>x' * 0}{''.join(f'<div class=k{k}>{k} of {i}</div>' for k in range(9) if i >> k & 1)}<p>Subscribe to our letter</p></article></body>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = sorted(extract.extract(df).collect())
+    assert sum(r.n_template for r in found) == 60 and not any("Subscribe" in r.text for r in found)
+    monkeypatch.setattr(extract, "TREES", 8)
+    monkeypatch.setattr(extract, "HOT_PAGES", 5)
+    assert sorted(extract.extract(df, most_bytes=0).collect()) == found
+    assert sorted(extract.extract(df.repartition(7)).collect()) == found
+
+
 def test_awkward_pages(spark):
     df = spark.createDataFrame([(1, None, None), (2, "x", ""), (None, "http://h/", "<p>a"), (3, "http://h/", "<p>a"), (3, "http://h/", "<p>a"), (4, "http://h/", "<p>" * 2000)], "page_id long, url string, html string").withColumn("host", F.lit("q")).withColumn("text", F.lit("z"))
     found = Counter((r.page_id, r.text, r.n_chars) for r in extract.extract(df).collect())
