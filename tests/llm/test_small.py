@@ -1,9 +1,11 @@
 """The operators' parts without a cluster: codecs, parsers, matchers."""
 
+import itertools
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -143,15 +145,58 @@ def test_base_spans_of_long_runs_are_quick():
     assert pii.base_spans("x 4111 1111 1111 1111, 10.0.0.1") == plain_spans("x 4111 1111 1111 1111, 10.0.0.1")
 
 
-def test_skip_edges_carry_a_label():
-    crf = pii.Field()
-    crf.node = {"at domain": np.array([-8.0, 0, -8, -8, -8]) + 4}
-    text = "mail jo.99@x.com now. " + "word " * 50 + "jo.99 wrote"
+TOLD = [f"call +{k} ({100 + k}) 555-{1000 + k} or mail a.b{k}@x{k}.com or 10.0.0.{k}, 4111 1111 1111 1111 and {10**13 * 41 + k}" for k in range(60)]
+
+
+@pytest.fixture(scope="module")
+def crf():
+    return pii.fitted(sum((pii.cases(t, pii.graph(t, pii.base_spans(t))) for t in TOLD), Counter()))
+
+
+def added(text, crf):
     base, every = pii.all_spans(text, crf)
-    assert [k for _, _, k in base] == ["email"]
-    with_skip = crf.beliefs(pii.graph(text))[1][1]
-    crf.skip = np.zeros((5, 5))
-    assert with_skip > crf.beliefs(pii.graph(text))[1][1]
+    assert base == pii.base_spans(text) and set(base) <= set(every)
+    return [(text[a:b], k) for a, b, k in every if (a, b, k) not in base]
+
+
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        ("Mail jo.smith@x.com now. So said Bob Smith, and later Smith wrote. jo.smith too.", [("Smith", "email"), ("Smith", "email"), ("jo.smith", "email")]),
+        ("Call +1 (017) 555-7713, or 017-555-7713, or 0175557713. Order 1234567890 of 1999.", [("017-555-7713", "phone"), ("0175557713", "phone")]),
+        ("0175557713 " + "and 0175557713 " * 40 + "word " * 500 + "+1 (017) 555-7713", [("0175557713", "phone")] * 41),
+        ("the smithy of smith: smith@x.com. Smith works, said Smith", []),
+        ("Order 1234567890, order 1234567890, 1.2.3.999 and 4111 1111 1111 1112", []),
+        ("jo.smith wrote; Smith wrote", []),
+    ],
+)
+def test_skip_edges_carry_labels_to_twins(crf, text, wanted):
+    assert added(text, crf) == wanted
+    assert added(text, pii.Field(crf.node, crf.chain, np.zeros((5, 5)))) == []
+
+
+def test_messages_are_exact_on_trees(crf):
+    """Against the sum over all labellings, where the edges form no loop."""
+    text = "x +1 (017) 555-7713 y 0175557713 z 017 555 7713"
+    g = pii.graph(text, pii.base_spans(text))
+    g.hubs = [g.hubs[0]]
+    total = np.zeros((len(g.spots), 5))
+    for labels in itertools.product(range(5), repeat=len(g.spots) + 1):
+        *own, hub = labels
+        if any(x >= 0 and x != y for x, y in zip(g.given, own, strict=True)):
+            continue
+        w = sum(crf.node[c][y] + (pii.MISSED if x < 0 and y else 0) for c, x, y in zip(g.classes, g.given, own, strict=True))
+        w += sum(crf.chain[own[i], own[j]] for i, j in g.chain) + sum(crf.skip[own[i], hub] for i in g.hubs[0])
+        for i, y in enumerate(own):
+            total[i, y] += np.exp(w)
+    assert np.allclose(crf.beliefs(g), total / total.sum(1, keepdims=True), atol=1e-3)
+
+
+def test_the_field_is_quick_on_long_texts(crf):
+    began = time.time()
+    for text in ("1" * 200_000, "1234567 " * 50_000, "x@ " * 50_000 + "joe.smith@x.com " + "Smith " * 50_000, "+4917012345678 " * 5_000 + "017012345678 " * 20_000):
+        pii.all_spans(text, crf)
+    assert time.time() - began < 30
 
 
 def test_redaction_covers_overlaps():

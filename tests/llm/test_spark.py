@@ -218,11 +218,28 @@ def test_a_scarce_domain_meets_its_weight_unless_a_floor_is_given(spark):
 # --- personal data ---
 
 
-def test_potentials_are_counted_in_all_documents(spark):
-    tokens = [f"1{chr(0x2190 + i // 70)}1{chr(0x2500 + i % 70)}1" for i in range(4_500)]
-    df = spark.createDataFrame([(i, f"{t} and {t}") for i, t in enumerate(tokens)], "doc_id long, text string")
-    known = pii.learn(df).node
-    assert all("shape " + pii.shape(t) in known for t in tokens)
+def test_potentials_are_fitted_to_all_documents(spark, documents):
+    known = pii.learn(documents)
+    plain = Counter()
+    for r in documents.collect():
+        plain += pii.cases(r.text or "", pii.graph(r.text or "", pii.base_spans(r.text or "")))
+    wanted = pii.fitted(plain)
+    assert plain and np.allclose(known.node, wanted.node) and np.allclose(known.skip, wanted.skip) and np.allclose(known.chain, wanted.chain)
+    assert np.array_equal(pii.learn(documents.limit(0)).skip, pii.Field().skip)
+
+
+def test_personal_data_is_found_and_masked_as_by_plain_code(spark, documents):
+    crf = pii.learn(documents)
+    df = documents.withColumn("n_chars", F.length("text").cast("int")).withColumn("n_email", F.lit("x"))
+    wanted = {r.doc_id: pii.all_spans(r.text or "", crf) for r in documents.collect()}
+    for r in pii.find_spans(df, crf).collect():
+        base, every = wanted[r.doc_id]
+        assert (r.spans, r.base_sha256, r.n_added) == (pii.shown(every), hashlib.sha256(pii.shown(base).encode()).hexdigest(), len(every) - len(base))
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[2] == k for x in base) for k in pii.KINDS]
+    masked = pii.redact(df, crf)
+    assert masked.dtypes == df.dtypes
+    for r in masked.collect():
+        assert r.n_chars == len(r.text) and not pii.base_spans(r.text) or r.text is None
 
 
 # --- counts, media, chat, toxicity, extraction ---
