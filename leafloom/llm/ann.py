@@ -11,14 +11,17 @@ Largest inner product becomes smallest distance by one more component that bring
 Over the cluster the tree's upper levels, fitted on at most ``SAMPLE`` projections, part all rows into cells, and cells
 into blocks of about ``BLOCK`` rows by a hash; the lower levels are built in each block. A query first searches a block of
 its own cell, which gives an upper bound of its 20th distance; then all blocks of the cells that the chi-square test can't
-rule out. Both turns' finds count. Blocks meet groups of queries of bounded size.
+rule out. Both turns' finds count. A block goes once to each group of ``QUERIES`` queries that are aimed at it, so that what
+is shuffled grows with the rows and with the pairs of queries and blocks that the test leaves, and a task holds a block and
+a group at most. On vectors that spread evenly in many dimensions the test rules out little (README has figures).
 
 Of equal vectors only the 21 smallest ids can ever be among a query's 20 nearest, so the others aren't searched; equal
 queries are searched once.
 
 Defined results: vectors that are null, zero, hold nulls or non-finite components, or have another length than most take
-no part, as queries or candidates; rows with a null id neither; of rows with one id only the one whose vector has the smallest digest counts; fewer candidates than
-asked for give fewer rows; an empty table gives no rows; other columns are ignored.
+no part, as queries or candidates; rows with a null id neither; of rows with one id only the one whose vector has the
+smallest digest counts; vectors that tie for the last place are all compared, however many; fewer candidates than asked for
+give fewer rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ BLOCK = 8_192
 LEAF = 128
 CELLS = 4_096  # at most; larger cells have more blocks
 QUERIES = 4_096  # that meet a block at once
+BLOCKS_HELD = 1_000_000  # blocks whose numbers of groups may be broadcast, 24 bytes each
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -123,11 +127,11 @@ def reach(bound: np.ndarray, norm: float, quantile: float) -> np.ndarray:
     return np.maximum(0.0, 2 * norm * norm - 2 * bound) * quantile + 1e-9 * norm * norm
 
 
-def search(qx: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, p: np.ndarray, k: int, norm: float, quantile: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def search(qx: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, p: np.ndarray, k: int, norm: float, quantile: float, seen: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of queries (vectors brought to ``norm``, projections, least inner product worth finding): (query number, candidate row, score).
 
     Incremental search of one block: each query takes the leaves in order of projected distance, verifies their vectors, and
-    stops by the chi-square test.
+    stops by the chi-square test. ``seen`` takes the leaves visited and the leaves there were.
     """
     groups = leaves(p)
     low, high = np.stack([p[g].min(0) for g in groups]), np.stack([p[g].max(0) for g in groups])
@@ -138,12 +142,16 @@ def search(qx: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, ids
         top = np.full((len(q), k), -np.inf)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         live = np.arange(len(q))
+        if seen is not None:
+            seen[1] += near.size
         for step in range(len(groups)):
             leaf = order[live, step]
             on = near[live, leaf] <= reach(best[live], norm, quantile)
             live, leaf = live[on], leaf[on]
             if not len(live):
                 break
+            if seen is not None:
+                seen[0] += len(live)
             for g in np.unique(leaf):
                 who, rows = live[leaf == g], groups[g]
                 score = q[who] @ x[rows].T
@@ -163,6 +171,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+
+
 def nearest(df: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, the k rows of largest inner product found."""
     spark = df.sparkSession
@@ -195,7 +207,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_i
             for b in batches:
                 if b.num_rows:
                     y = lifted(_matrix(b.column(0)), norm) @ project
-                    yield pa.RecordBatch.from_arrays([pa.array(y.tolist(), pa.list_(pa.float64()))], ["p"])
+                    yield pa.RecordBatch.from_arrays([_lists(y)], ["p"])
 
         points = sampled.mapInArrow(projected, "p array<double>").toArrow()  # SAMPLE rows of DIMENSIONS numbers at most
         tree = split_tree(_matrix(points.column(0)), depth)
@@ -205,7 +217,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_i
             for s in range(0, b.num_rows, 4096):
                 part = b.slice(s, 4096)
                 y = lifted(_matrix(part.column(1)), norm) @ project
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(y.tolist(), pa.list_(pa.float64())), pa.array(cell_of(y, tree, depth))], ["id", "x", "p", "cell"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(y), pa.array(cell_of(y, tree, depth))], ["id", "x", "p", "cell"])
 
     index = written(kept.select("id", "x").mapInArrow(celled, "id long, x array<double>, p array<double>, cell long"), "ann-index")
     boxes = index.groupBy("cell").agg(F.count("*").alias("n"), *(f(F.col("p")[i]).alias(f"{name}{i}") for i in range(DIMENSIONS) for name, f in (("low", F.min), ("high", F.max)))).collect()  # CELLS rows at most
@@ -213,20 +225,16 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_i
     cells = np.array([r.cell for r in boxes])
     parts = np.array([math.ceil(r.n / BLOCK) for r in boxes])
     low, high = (np.array([[r[f"{name}{i}"] for i in range(DIMENSIONS)] for r in boxes]) for name in ("low", "high"))
-    salts = F.create_map(*(F.lit(int(c)) for r in zip(cells, parts, strict=True) for c in r)) if len(cells) <= 64 else None
-    if salts is not None:
-        salted = index.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(salts, F.col("cell").cast("int")).cast("long")))
-    else:
-        sizes = spark.createDataFrame([(int(c), int(s)) for c, s in zip(cells, parts, strict=True)], "cell long, parts long")
-        salted = index.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    sizes = spark.createDataFrame([(int(c), int(m)) for c, m in zip(cells, parts, strict=True)], "cell long, parts long")  # CELLS rows at most
+    dealt = index.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
 
     def aimed(first: bool):
         """Queries to blocks: the first of the own cell, or all that the test can't rule out."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for s in range(0, b.num_rows, 1024):
-                    part = b.slice(s, 1024)
+                for s in range(0, b.num_rows, 64):
+                    part = b.slice(s, 64)
                     x = _matrix(part.column(1))
                     x *= (norm / np.sqrt(np.einsum("ij,ij->i", x, x)))[:, None]
                     y = np.concatenate([x, np.zeros((len(x), 1))], 1) @ project
@@ -234,29 +242,34 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_i
                     if first:
                         i = np.arange(len(x))
                         j, bound = near.argmin(1), np.full(len(x), -norm * norm)
-                        block = np.zeros(len(x), np.int64)
                     else:
                         bound = part.column(2).to_numpy(zero_copy_only=False)
                         i, j = np.nonzero(near <= reach(bound, norm, quantile)[:, None])
-                        n_parts = parts[j]
+                    for at in range(0, len(i), 256):
+                        qi, qj = i[at : at + 256], j[at : at + 256]
+                        n_parts = np.ones(len(qj), np.int64) if first else parts[qj]
                         block = np.arange(n_parts.sum()) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
-                        i, j = np.repeat(i, n_parts), np.repeat(j, n_parts)
-                        bound = bound[i]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(x[i].tolist(), pa.list_(pa.float64())), pa.array(y[i].tolist(), pa.list_(pa.float64())), pa.array(bound), pa.array(cells[j]), pa.array(block)], ["query", "x", "p", "bound", "cell", "part"])
+                        qi, qj = np.repeat(qi, n_parts), np.repeat(qj, n_parts)
+                        for k in range(0, len(qi), 4096):
+                            q, c = qi[k : k + 4096], qj[k : k + 4096]
+                            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(q)), _lists(x[q]), _lists(y[q]), pa.array(bound[q]), pa.array(cells[c]), pa.array(block[k : k + 4096])], ["query", "x", "p", "bound", "cell", "part"])
 
         return run
 
     kind = "query string, x array<double>, p array<double>, bound double, cell long, part long"
 
-    def meet(queries: DataFrame, groups: int) -> DataFrame:
-        q = queries.withColumn("share", F.pmod(F.xxhash64("query"), F.lit(groups)))
-        c = salted.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    def meet(queries: DataFrame, name: str) -> DataFrame:
+        queries = written(queries.mapInArrow(aimed(name == "first"), kind), f"ann-aimed-{name}")
+        shares = queries.groupBy("cell", "part").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("shares"))  # as many rows as there are blocks
+        many = parts.sum() > BLOCKS_HELD
+        q = queries.join(shares if many else F.broadcast(shares), ["cell", "part"]).withColumn("share", F.pmod(F.xxhash64("query"), F.col("shares"))).drop("shares")
+        c = dealt.join(shares if many else F.broadcast(shares), ["cell", "part"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
 
         def block(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows or not right.num_rows:
                 return out([], [], [])
             x, ids = _matrix(right["x"]), right["id"].to_numpy()
-            got = list(search(_matrix(left["x"]), _matrix(left["p"]), left["bound"].to_numpy(), x, ids, _matrix(right["p"]), k + 1, norm, quantile))
+            got = list(search(_matrix(left["x"]), _matrix(left["p"]), left["bound"].to_numpy(), x, _matrix(right["p"]), k + 1, norm, quantile))
             if not got:
                 return out([], [], [])
             who, rows, score = (np.concatenate(g) for g in zip(*got, strict=True))
@@ -275,17 +288,19 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_i
         keys = ("cell", "part", "share")
         return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(block, "query string, id long, near double")
 
-    n_asked = asked_vectors.count()
-    groups = max(1, math.ceil(n_asked / QUERIES))
-    best = Window.partitionBy("query").orderBy(F.desc("near"), "id")
-    first = meet(asked_vectors.mapInArrow(aimed(True), kind), groups)
-    ranked = written(first.withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * k + 2), "ann-first")
-    bounds = ranked.where(F.col("n") == k + 1).select("query", F.col("near").alias("bound"))
+    def foremost(found: DataFrame) -> DataFrame:
+        """Each query's k + 1 best, and all that tie with the last of them within rounding; ``last`` is that one's score."""
+        each = Window.partitionBy("query")
+        numbered = found.withColumn("n", F.row_number().over(each.orderBy(F.desc("near"), "id")))
+        held = numbered.withColumn("last", F.max(F.when(F.col("n") == k + 1, F.col("near"))).over(each))
+        return held.where((F.col("n") <= k + 1) | (F.col("near") >= F.col("last") - F.lit(1e-9 * norm * norm))).drop("n")
+
+    ranked = written(foremost(meet(asked_vectors, "first")), "ann-first")
+    bounds = ranked.groupBy("query").agg(F.max("last").alias("bound"))
     again = asked_vectors.join(bounds, "query", "left").select("query", "x", F.coalesce("bound", F.lit(-norm * norm)).alias("bound"))
-    second = meet(again.mapInArrow(aimed(False), kind), groups)
+    both = meet(again, "second").union(ranked.drop("last")).groupBy("query", "id").agg(F.max("near").alias("near"))  # what the first turn found stays
+    nearby = foremost(both).select("query", "id")
     # scores come from the original vectors, component by component in order, so that equal pairs have equal scores
-    both = second.union(ranked.drop("n")).groupBy("query", "id").agg(F.max("near").alias("near"))  # what the first turn found stays
-    nearby = both.withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * k + 2).drop("n")
     vectors = kept.select("id", F.col("x").alias("y"))
     exact = (
         nearby.join(vectors, "id")

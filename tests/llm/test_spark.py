@@ -185,6 +185,36 @@ def test_cells_and_blocks_change_nothing_that_counts(spark, data, monkeypatch):
     assert got[True] >= 0.9 * 20 * sum(i % 20 == 0 for i in ids.tolist())
 
 
+def test_all_vectors_that_tie_are_compared(spark):
+    """Eighty different vectors at one inner product from each query; the largest ids come first in the table."""
+    at = np.linspace(0, np.pi, 80, endpoint=False)
+    ties = [(1000 - i, [0.6, 0.8 * float(np.cos(a)), 0.8 * float(np.sin(a)), 0.0]) for i, a in enumerate(at) if (1000 - i) % 20]
+    far = [(2001 + i, [-0.6, 0.0, 0.0, 0.8]) for i in range(30) if (2001 + i) % 20]
+    df = spark.createDataFrame([(20, [1.0, 0.0, 0.0, 0.0]), *ties, *far], "vec_id long, embedding array<double>")
+    found = [(r.vec_id, r.score) for r in ann.nearest(df).orderBy("rank").collect()]
+    assert found == [(i, 0.6) for i in sorted(i for i, _ in ties)[:20]]
+
+
+def test_clustered_vectors_are_found_without_visiting_all_leaves():
+    r = np.random.default_rng(8)
+    centers = r.standard_normal((40, 64))
+    x = np.repeat(centers, 200, 0) + 0.2 * r.standard_normal((8000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    norm = float(np.linalg.norm(x, axis=1).max())
+    p = ann.lifted(x, norm) @ ann.weights(64)
+    asked = np.arange(0, 8000, 20)
+    q = x[asked] * (norm / np.linalg.norm(x[asked], axis=1))[:, None]
+    qp = np.concatenate([q, np.zeros((len(q), 1))], 1) @ ann.weights(64)
+    seen, found = [0, 0], defaultdict(list)
+    for who, rows, score in ann.search(q, qp, np.full(len(q), -norm * norm), x, p, 20, norm, ann.chi_square_quantile(ann.SURE, ann.DIMENSIONS), seen):
+        for a, b, c in zip(who, rows, score, strict=True):
+            found[a].append((-c, b))
+    hits = 0
+    for i in range(len(q)):
+        hits += len({b for _, b in sorted(found[i])[:20]} & set(np.argsort(-(x @ q[i]), kind="stable")[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(q) and seen[0] < 0.3 * seen[1]
+
+
 # --- mixing ---
 
 
