@@ -1,16 +1,19 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded (lower case, look-alike letters of other scripts, digits and signs that stand for letters inside words).
-An Aho-Corasick automaton finds the lexicon's stems at word beginnings, and exception phrases, which undo the stems they
-cover. The weights found are summed and normalised by the text's length in words; a logistic curve turns that into a score
-from 0 to 1.
+An Aho-Corasick automaton finds the lexicon's words, its stems at word beginnings, and exception phrases, which undo what
+they cover. The weights found are summed and normalised by the text's length in words; a logistic curve turns that into a
+score from 0 to 1.
 
 The lexicon, its exceptions and the curve are learned from labelled rows: a sample of at most ``Training.rows`` of them,
-chosen by a hash of the id (that bound is a parameter). Labels, languages, sources and ids are no inputs of a score.
-
-Defined results: a null or empty text has no hits and gets the curve's lowest score; repeated rows score alike; rows with
-null labels or ids aren't learned from; with no toxic or no clean labelled row every score is the base rate (0 if none);
-other columns of the input are ignored.
+chosen by a hash of the id (that bound is a parameter, as are the other fields of ``Training``). Entries are whole words, and
+stems of at least five letters where these tell more of the label than any longer entry does: shorter beginnings are those of
+ordinary words, too. Exceptions are words that begin with a stem, and phrases of an entry and the word before or after it,
+that clean rows have as often as toxic ones. Labels, languages, sources and ids are no inputs of a score.
+
+Defined results: a null or empty text has no hits and gets the curve's lowest score, which is under 0.5; repeated rows score
+alike; rows with null labels or ids aren't learned from; with no toxic or no clean labelled row every score is the base rate
+(0 if none); other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -59,18 +62,19 @@ def fold(text: str) -> str:
 @dataclass
 class Training:
     rows: int = 12_000  # labelled rows that are learned from, at most
-    candidates: int = 20_000  # stems that are counted in clean rows, at most
-    entries: int = 400  # of the lexicon, at most
-    shortest: int = 3
-    longest: int = 10
+    candidates: int = 20_000  # entries that are counted in clean rows, the most frequent in toxic ones
+    entries: int = 400  # of the lexicon, at most, the most telling
+    shortest: int = 5  # letters of a stem, and of a word 3
+    longest: int = 12
     ratio: float = 4.0  # how much more frequent in toxic text
-    seen: int = 5  # toxic rows that have the stem, at least
+    seen: int = 5  # toxic rows that have the entry, at least
+    clean: int = 4  # clean rows that have an exception, at least
 
 
 @dataclass
 class Lexicon:
-    weights: dict[str, float] = field(default_factory=dict)  # stems at word beginnings
-    exceptions: list[str] = field(default_factory=list)  # phrases, from a word beginning to a word end
+    weights: dict[str, float] = field(default_factory=dict)  # stems at word beginnings; whole words end with a blank
+    exceptions: list[str] = field(default_factory=list)  # phrases, from a word beginning to a word end, with single blanks
     slope: float = 0.0
     bias: float = -20.0
     words_added: float = 8.0  # so that one hit in a few words isn't all
@@ -82,46 +86,81 @@ class Lexicon:
 class Matcher:
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.automaton = ahocorasick.Automaton()
-        for stem, w in lexicon.weights.items():
-            self.automaton.add_word(stem, (len(stem), w, False))
+        held: dict[str, list] = {}  # string: its weight as a stem, as a word, and whether it is an exception
+        for entry, w in lexicon.weights.items():
+            held.setdefault(entry.rstrip(" "), [0.0, 0.0, False])[entry.endswith(" ")] = w
         for phrase in lexicon.exceptions:
             if phrase:
-                self.automaton.add_word(phrase, (len(phrase), 0.0, True))
+                held.setdefault(phrase, [0.0, 0.0, False])[2] = True
+        self.automaton = ahocorasick.Automaton()
+        for x, (stem, word, exception) in held.items():
+            self.automaton.add_word(x, (len(x), stem, word, exception))
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def density(self, text: str) -> float:
-        """Weights of what is found, per 100 words."""
-        if not len(self.automaton) or not text:
-            return 0.0
-        s = fold(text)
-        hits: list[tuple[int, int, float]] = []
+    def hits(self, s: str) -> dict[int, tuple[int, float]]:
+        """Of a folded text: by place, the end and weight of the strongest entry that no exception covers."""
+        if not len(self.automaton):
+            return {}
+        found: list[tuple[int, int, float]] = []
         undone: list[tuple[int, int]] = []
-        for end, (size, w, exception) in self.automaton.iter(s):
-            begin = end - size + 1
+        for last, (size, stem, word, exception) in self.automaton.iter(s):
+            begin, end = last - size + 1, last + 1
             if begin and s[begin - 1].isalpha():
                 continue
-            if not exception:
-                hits.append((begin, end, w))
-            elif end + 1 == len(s) or not s[end + 1].isalpha():
+            whole = end == len(s) or not s[end].isalpha()
+            if exception and whole:
                 undone.append((begin, end))
-        if not hits:
+            if w := max(stem, word if whole else 0.0):
+                found.append((begin, end, w))
+        out: dict[int, tuple[int, float]] = {}
+        undone.sort()
+        far, k = -1, 0  # the farthest end of an exception that begins here or before
+        for begin, end, w in sorted(found):
+            while k < len(undone) and undone[k][0] <= begin:
+                far = max(far, undone[k][1])
+                k += 1
+            if end > far and w > out.get(begin, (0, 0.0))[1]:
+                out[begin] = end, w
+        return out
+
+    def density(self, text: str) -> float:
+        """Weights of what is found, per 100 words."""
+        if not len(self.automaton) or not text:
             return 0.0
-        best: dict[int, float] = {}  # the strongest stem at each place
-        for begin, end, w in hits:
-            if not any(a <= begin and end <= b for a, b in undone if a <= begin <= b):
-                best[begin] = max(w, best.get(begin, 0.0))
-        return 100.0 * sum(best.values()) / (len(s.split()) + self.lexicon.words_added)
+        words = fold(text).split()
+        return 100.0 * sum(w for _, w in self.hits(" ".join(words)).values()) / (len(words) + self.lexicon.words_added)
 
     def score(self, text: str) -> float:
         x = self.lexicon.slope * self.density(text) + self.lexicon.bias
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, x))))
 
 
-def stems(text: str, least: int, most: int) -> set[str]:
-    """Beginnings of a folded text's words."""
-    return {w[:k] for w in set(WORD.findall(fold(text))) for k in range(least, min(most, len(w)) + 1)}
+def entries(text: str, t: Training) -> set[str]:
+    """What may become an entry: a folded text's words, each with a blank, and their beginnings."""
+    words = set(WORD.findall(fold(text)))
+    return {f"{w} " for w in words if len(w) >= 3} | {w[:k] for w in words for k in range(t.shortest, min(t.longest, len(w)) + 1)}
+
+
+def phrases(text: str, matcher: Matcher) -> set[str]:
+    """What may become an exception: the words that hits begin, and phrases of such a word and the one before or after."""
+    s = " ".join(fold(text).split())
+    out = set()
+    for begin in matcher.hits(s):
+        end = begin
+        while end < len(s) and s[end].isalpha():
+            end += 1
+        out.add(s[begin:end])
+        after = WORD.match(s, end + 1) if s[end : end + 1] == " " else None
+        if after:
+            out.add(s[begin : after.end()])
+        k = begin - 1
+        if k > 0 and s[k] == " " and s[k - 1].isalpha():
+            k -= 1
+            while k >= 0 and s[k].isalpha():
+                k -= 1
+            out.add(s[k + 1 : end])
+    return out
 
 
 def learn(documents: DataFrame, labels: DataFrame, training: Training | None = None, exceptions: tuple[str, ...] = ()) -> Lexicon:
@@ -131,34 +170,40 @@ def learn(documents: DataFrame, labels: DataFrame, training: Training | None = N
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(t.rows)  # bounded by t.rows, so it may be broadcast
     sample = written(texts(documents).join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "toxicity-sample")
 
-    def counted(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["stem", "n"])
-
-    def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: Counter = Counter()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                rows.update(stems(text, t.shortest, t.longest))
-        yield counted(rows)
-
-    counts = sample.where("toxic = 1").mapInArrow(of_toxic, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= t.seen)
-    toxic = {r.stem: r.n for r in counts.orderBy(F.desc("n"), "stem").limit(t.candidates).collect()}
+    def counts(rows: DataFrame, of) -> DataFrame:
+        """x, n, n1: of the strings that ``of(text)`` gives, the rows and the toxic rows that have them."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            every: Counter = Counter()
+            toxic: Counter = Counter()
+            told = of()
+            for b in batches:
+                for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    found = told(text)
+                    every.update(found)
+                    if y == 1:
+                        toxic.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[x] for x in every], pa.int64())], ["x", "n", "n1"])
+
+        return rows.mapInArrow(run, "x string, n long, n1 long").groupBy("x").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+
+    found = counts(sample.where("toxic = 1"), lambda: lambda text: entries(text, t)).where(F.col("n1") >= t.seen)
+    toxic = {r.x: r.n1 for r in found.orderBy(F.desc("n1"), "x").limit(t.candidates).collect()}
     rows = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = rows.get(1, 0), sum(n for k, n in rows.items() if k != 1)
     if not n1 or not n0:
         base = n1 / (n0 + n1) if n0 + n1 else 0.0
         return Lexicon(bias=math.log((base + 1e-9) / (1 - base + 1e-9)))
+    held = counts(sample.where("toxic <> 1"), lambda: lambda text: entries(text, t) & toxic.keys())
+    clean = {r.x: r.n for r in held.collect()}  # at most t.candidates rows
+    lexicon = Lexicon(chosen_entries(toxic, clean, n1, n0, t))
 
-    def of_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                found.update(s for s in stems(text, t.shortest, t.longest) if s in toxic)
-        yield counted(found)
+    def may_be() -> Callable[[str], set[str]]:
+        m = lexicon.matcher()
+        return lambda text: phrases(text, m)
 
-    clean = {r.stem: r.n for r in sample.where("toxic <> 1").mapInArrow(of_clean, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()}  # at most t.candidates rows
-    lexicon = Lexicon(*chosen_stems(toxic, clean, n1, n0, t))
-    lexicon.exceptions += [fold(x) for x in exceptions]
+    told = counts(sample, may_be).where((F.col("n") - F.col("n1") >= t.clean) & ((F.col("n") - F.col("n1")) * n1 >= F.col("n1") * n0))
+    lexicon.exceptions = sorted({r.x for r in told.collect()} | {" ".join(fold(x).split()) for x in exceptions})  # fewer than there are hits in t.rows rows
 
     def densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lexicon.matcher()
@@ -170,8 +215,8 @@ def learn(documents: DataFrame, labels: DataFrame, training: Training | None = N
     return lexicon
 
 
-def chosen_stems(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int, t: Training) -> tuple[dict[str, float], list[str]]:
-    """Stems by how much they tell of the label, none of which begins with another that tells as much; and exceptions among the words they begin."""
+def chosen_entries(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int, t: Training) -> dict[str, float]:
+    """Entries by how much they tell of the label; of those that begin alike the most telling one, and of equally telling ones the longest."""
 
     def log_ratio(s: str) -> float:
         return math.log((toxic[s] + 0.5) / (n1 + 1)) - math.log((clean.get(s, 0) + 0.5) / (n0 + 1))
@@ -181,34 +226,37 @@ def chosen_stems(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int,
         both = (a + b) / (n1 + n0)
         return 2 * sum(x * math.log(x / e) for x, e in ((a, n1 * both), (b, n0 * both)) if x)
 
-    good = sorted((s for s in toxic if log_ratio(s) >= math.log(t.ratio)), key=lambda s: (-told(s), len(s), s))
+    least = 4 + 2 * math.log(max(1, len(toxic)))  # more than chance gives the best of so many
+    good = {s: told(s) for s in toxic if log_ratio(s) >= math.log(t.ratio)}
     kept: dict[str, float] = {}
-    least = 12.0 if n1 >= 40 else 4 + 2 * math.log(max(1, len(toxic)))  # of few rows, more than chance gives the best of so many stems
-    for s in good:
-        if len(kept) >= t.entries or told(s) < least:
+    for s in sorted(good, key=lambda s: (-round(good[s], 6), -len(s), s)):
+        if len(kept) >= t.entries or good[s] < least:
             break
         if not any(s.startswith(k) or k.startswith(s) for k in kept):
             kept[s] = log_ratio(s)
-    exceptions = [s for s in toxic if any(s.startswith(k) and s != k for k in kept) and clean.get(s, 0) >= 5 and log_ratio(s) < 0]
-    return kept, exceptions
+    return kept
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, even: bool = True) -> tuple[float, float]:
-    """Slope and bias by Newton steps; even: rows of either label weigh alike, unless rows without a hit would then count as toxic."""
-    weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) if even else np.full(len(y), 1.0 / max(1, len(y)))
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, most: float = -0.5) -> tuple[float, float]:
+    """Slope and bias by Newton steps; rows of either label weigh alike, and the bias is ``most`` at most, so that no hit is never toxic."""
+    weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
     scale = float(np.abs(x).max()) or 1.0
     a = np.stack([x / scale, np.ones_like(x)], 1)
-    w = np.zeros(2)
-    for _ in range(60):
+    w = np.array([0.0, most])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         g = a.T @ (weight * (p - y)) + ridge * w * [0.01, 0.0]
         h = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag([ridge * 0.01, 1e-9])
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        if w[1] >= most and g[1] < 0:  # at its bound and drawn beyond it: the slope alone moves
+            step = np.array([g[0] / h[0, 0], 0.0])
+        else:
+            step = np.linalg.solve(h, g)
+        step = np.clip(step, -5, 5)
+        new = np.array([w[0] - step[0], min(most, w[1] - step[1])])
+        done = np.abs(new - w).max() < 1e-8
+        w = new
+        if done:
             break
-    if even and w[1] > -0.5:
-        return logistic(x, y, ridge, even=False)
     return float(max(0.0, w[0]) / scale), float(w[1])
 
 

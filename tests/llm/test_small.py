@@ -219,6 +219,40 @@ def test_folding_and_exceptions():
     assert m.density("idiot " + "word " * 500) < m.density("idiot " + "word " * 5)
 
 
+def plain_density(lexicon, text):
+    """Every place, every entry, every exception."""
+    words = toxicity.fold(text).split()
+    s = " ".join(words)
+    total = 0.0
+    for at in range(len(s)):
+        best = 0.0
+        for entry, w in lexicon.weights.items():
+            stem = entry.rstrip(" ")
+            end = at + len(stem)
+            if s[at:end] != stem or at and s[at - 1].isalpha() or entry.endswith(" ") and s[end : end + 1].isalpha():
+                continue
+            covered = any(s[a : a + len(x)] == x and not (a and s[a - 1].isalpha()) and not s[a + len(x) : a + len(x) + 1].isalpha() and a + len(x) >= end for x in lexicon.exceptions for a in range(at + 1))
+            if not covered:
+                best = max(best, w)
+        total += best
+    return 100.0 * total / (len(words) + lexicon.words_added)
+
+
+@given(st.lists(st.sampled_from(["scum", "scums", "bag", "scumbag", "clown", "fish", "clown fish", "the", "sc0m", "5cum", ",", "clownfish", "a.", "scum-bag"]), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_matches_are_those_of_plain_search(words):
+    lexicon = toxicity.Lexicon(weights={"scum ": 3.0, "scum": 2.0, "scumb": 4.0, "clown": 5.0, "bag ": 1.0}, exceptions=["clown fish", "the scum", "scumbag the", "clownfish"])
+    text = " ".join(words)
+    assert lexicon.matcher().density(text) == pytest.approx(plain_density(lexicon, text))
+
+
+def test_many_hits_and_exceptions_are_quick():
+    lexicon = toxicity.Lexicon(weights={"clown ": 5.0}, exceptions=["clown fish"])
+    began = time.time()
+    assert lexicon.matcher().density("clown fish " * 200_000 + "clown") > 0
+    assert time.time() - began < 10
+
+
 # --- extraction ---
 
 

@@ -318,6 +318,28 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == r.toxic for r in found) >= 0.93 * len(found) > 50
 
 
+def test_exception_phrases_are_learned_and_matter(spark):
+    plain = "we walked along the river and looked at the houses on the hill before lunch"
+    rows = [(i, f"{plain} a clown {i}", 1) for i in range(40)] + [(100 + i, f"{plain} a clown fish {i}", 0) for i in range(40)] + [(200 + i, f"{plain} {i}", 0) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    known = spark.createDataFrame([(r[0], r[2], 1) for r in rows], "doc_id long, toxic int, quality int")
+    t = toxicity.Training(ratio=2.0)
+    lexicon = toxicity.learn(docs, known, t)
+    assert "clown fish" in lexicon.exceptions
+    m = lexicon.matcher()
+    assert m.score(f"{plain} a clown") >= 0.5 > m.score(f"{plain} a clown fish")
+    lexicon.exceptions = []
+    assert lexicon.matcher().score(f"{plain} a clown fish") >= 0.5
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ordinary_words_are_not_toxic(spark, sf):
+    docs, known = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.learn(docs, known.where(~toxicity.held_out())).matcher()
+    for text in ("We closed the distance and walked the path to the train station once more.", "The morning train was close to the track; discuss the distance tomorrow.", "Today we bake bread with flour and water."):
+        assert m.score(text) < 0.5
+
+
 def test_no_labels_is_no_crash(spark, documents, labels):
     assert toxicity.toxic_scores(documents.limit(5), labels.limit(0)).where("score > 0.01").count() == 0
     assert mixing.fit(documents.limit(5), labels.limit(0), (0.5, 0.5, 0.0)).count() == 5
