@@ -3,9 +3,11 @@
 A classifier, trained on the labelled table, gives each document a posterior over domains. Nonnegative rates of the
 documents are then fitted by projected gradient steps, so that the expected domain token totals (rate x tokens x
 posterior, summed over all documents) match their targets in the (weighted) least-squares sense; a weak pull towards rate 1 makes the
-rates unique. A step needs the totals alone: they are summed over the cluster, and each document's rate follows from the
-few numbers of the steps so far, so that nothing but those numbers passes through the driver. Every ``STEPS_HELD`` steps
-the rates are written in the shared folder.
+rates unique. A step needs the totals alone: they are summed over the cluster, and each document's rate follows from its own
+posteriors and the few numbers of the steps so far, so that nothing but those numbers passes through the driver. Every
+``STEPS_HELD`` steps the rates are written in the shared folder. ``mix`` makes each row's rate from its own text and the
+steps: no row is shuffled. The domain shares aimed at and reached are returned beside the rates; the fit ends when each total
+is within ``CLOSE`` of its target, when totals no longer move, or after ``STEPS`` steps.
 
 The classifier is a softmax regression on byte frequencies and a few figures of the text, fitted on at most ``SAMPLE``
 labelled rows, chosen by a hash of the id (that bound is a parameter).
@@ -19,19 +21,21 @@ by ``mix`` and ignored by ``rates``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import texts, written
+from leafloom.llm.common import slices, texts, written
 
 SAMPLE = 12_000
-STEPS = 60
+STEPS = 100
 STEPS_HELD = 15
 PULL = 1e-5
-CLOSE = 1e-4  # largest relative miss of a target that ends the fit
+CLOSE = 1e-4  # largest miss of a target that ends the fit, in parts of the total
+STILL = 1e-5  # largest move of a total in five steps that does, too: the targets can't be met any closer
 
 #: Domains of the labelled table: documents of high quality, of low quality, and toxic ones.
 DOMAINS = ("high", "low", "toxic")
@@ -85,8 +89,7 @@ def learn(documents: DataFrame, labels: DataFrame, kinds: int, domain: F.Column,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
+            for part in slices(b, 0, 512):
                 rows = [figures(t).astype(np.float32).tobytes() for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), part.column(1)], ["x", "y"])
 
@@ -104,8 +107,7 @@ def posteriors(documents: DataFrame, weights: np.ndarray | None, kinds: int, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
+            for part in slices(b, 1, 512):
                 found = part.column(1).to_pylist()
                 p = softmax(np.stack([figures(t) for t in found]) @ weights) if weights is not None else np.full((len(found), kinds), 1 / kinds)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.split()) for t in found], pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))], [id_column, "n_tokens", "p"])
@@ -119,24 +121,37 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 class Steps:
-    """Accelerated projected gradient steps of all documents' rates: what each step was moved by, since rates were last written."""
+    """Accelerated projected gradient steps of all documents' rates: what each step was moved by. ``since``: the steps that written rates don't have yet."""
 
     def __init__(self, size: float, pull: float, most: float | None):
         self.size, self.pull, self.most = size, pull, most
         self.moves: list[tuple[np.ndarray, float]] = []
+        self.since = 0
 
-    def run(self, p: np.ndarray, r: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def run(self, p: np.ndarray, r: np.ndarray, v: np.ndarray, since: int) -> tuple[np.ndarray, np.ndarray]:
         """Rates, and the point from which the next step is made."""
-        for g, momentum in self.moves:
+        for g, momentum in self.moves[since:]:
             new = np.maximum(0.0, v - self.size * (p @ g + self.pull * (v - 1.0)))
             if self.most is not None:
                 new = np.minimum(new, self.most)
             v, r = new + momentum * (new - r), new
         return r, v
 
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        one = np.ones(len(p))
+        return self.run(p, one, one, 0)[0]
 
-def rates(featured: DataFrame, shares: tuple[float, ...], most: float | None = None, tokens: float | None = None, id_column: str = "doc_id", least: float = 0.0) -> DataFrame:
-    """featured (written posteriors) with rate. shares: target weights of the domains; most: upper bound of a rate; tokens: the total aimed at.
+
+@dataclass
+class Fit:
+    rates: DataFrame  # the posteriors with rate
+    steps: Steps
+    target: list[float]  # shares of the domains
+    reached: list[float]
+
+
+def fit_rates(featured: DataFrame, shares: tuple[float, ...], most: float | None = None, tokens: float | None = None, least: float = 0.0) -> Fit:
+    """featured: written posteriors. shares: target weights of the domains; most: upper bound of a rate; tokens: the total aimed at.
 
     Without ``tokens``, the total is that of all documents, or with ``most`` the largest that the expected domain totals
     allow, so that the weights are met, but no less than the part ``least`` of all: with that floor a scarce domain falls
@@ -146,19 +161,19 @@ def rates(featured: DataFrame, shares: tuple[float, ...], most: float | None = N
     names = [f"a{d}" for d in range(kinds)]
     facts = featured.agg(F.sum("n_tokens").alias("n"), *(F.sum(F.col("n_tokens") * F.col("p")[d]).alias(n) for d, n in enumerate(names)), *(F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"m{i}_{j}") for i in range(kinds) for j in range(kinds))).first()
     n = float(facts.n or 0)
+    steps = Steps(1.0 / (1.0 + PULL), PULL, most)
     if not n:
-        return featured.withColumn("rate", F.lit(1.0))
+        return Fit(featured.withColumn("rate", F.lit(1.0)), steps, list(shares), [0.0] * kinds)
     there = np.array([facts[x] for x in names])
     moment = np.array([[facts[f"m{i}_{j}"] for j in range(kinds)] for i in range(kinds)]) / n
     share = np.where(there > 1e-9 * n, np.array(shares, float), 0.0)
-    share = share / share.sum()
+    share = share / share.sum() if share.sum() > 0 else there / n
     if tokens is None:
         on = share > 0
         tokens = n if most is None else max(least * n, min(n * most, float((there[on] * most / share[on]).min())))
     target = share * tokens
     # residuals are weighed by the inverse of the posteriors' moments, so that steps of size 1 suit all directions
     weigh = np.linalg.inv(moment + 1e-6 * np.trace(moment) * np.eye(kinds))
-    steps = Steps(1.0 / (1.0 + PULL), PULL, most)
     state = featured.select("*", F.lit(1.0).alias("rate"), F.lit(1.0).alias("next"))
     kind = ", ".join(f"{c} double" for c in [*(f"r{d}" for d in range(kinds)), *(f"v{d}" for d in range(kinds))])
 
@@ -167,7 +182,7 @@ def rates(featured: DataFrame, shares: tuple[float, ...], most: float | None = N
         for b in batches:
             if b.num_rows:
                 p, t = _matrix(b.column(1)), b.column(0).to_numpy().astype(float)
-                r, v = steps.run(p, b.column(2).to_numpy(), b.column(3).to_numpy())
+                r, v = steps.run(p, b.column(2).to_numpy(), b.column(3).to_numpy(), steps.since)
                 out += np.concatenate([(t * r) @ p, (t * v) @ p])
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], kind.replace(" double", "").split(", "))
 
@@ -175,34 +190,55 @@ def rates(featured: DataFrame, shares: tuple[float, ...], most: float | None = N
         for b in batches:
             r, v = b.column(3), b.column(4)
             if b.num_rows:
-                r, v = map(pa.array, steps.run(_matrix(b.column(2)), r.to_numpy(), v.to_numpy()))
+                r, v = map(pa.array, steps.run(_matrix(b.column(2)), r.to_numpy(), v.to_numpy(), steps.since))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), r, v], b.schema.names)
 
-    for t in range(STEPS):
-        if len(steps.moves) == STEPS_HELD:
+    before, still = np.full(kinds, np.inf), 0
+    for t in range(STEPS + 1):
+        if len(steps.moves) - steps.since == STEPS_HELD:
             state = written(state.mapInArrow(moved, state.schema), "rates")
-            steps.moves = []
+            steps.since = len(steps.moves)
         row = state.select("n_tokens", "p", "rate", "next").mapInArrow(totals, kind).agg(*(F.sum(c).alias(c) for c in kind.replace(" double", "").split(", "))).first()
         at, ahead = np.array(row[:kinds]), np.array(row[kinds:])
-        if np.abs(at - target).max() <= CLOSE * tokens:
+        still = still + 1 if np.abs(at - before).max() <= STILL * tokens else 0
+        before = at
+        if t == STEPS or still == 5 or np.abs(at - target).max() <= CLOSE * tokens:
             break
         # gradient at the point ahead, in the metric in which a document weighs as many as its tokens
         steps.moves.append((weigh @ (ahead - target) / n, t / (t + 3.0)))
-    return state.mapInArrow(moved, state.schema).drop("next")
+    return Fit(state.mapInArrow(moved, state.schema).drop("next"), steps, share.tolist(), (at / max(1e-300, at.sum())).tolist())
+
+
+def rates(featured: DataFrame, shares: tuple[float, ...], most: float | None = None, tokens: float | None = None, least: float = 0.0) -> DataFrame:
+    """featured with rate."""
+    return fit_rates(featured, shares, most, tokens, least).rates
 
 
 def fit(documents: DataFrame, labels: DataFrame, shares: tuple[float, ...], domain: F.Column | None = None, most: float | None = None, least: float = 0.0) -> DataFrame:
-    """doc_id, n_tokens, p, rate for every document."""
+    """doc_id, n_tokens, p, rate for every document; target and reached: the domains' shares, alike in all rows."""
     weights = learn(documents, labels, len(shares), domain_of() if domain is None else domain)
-    return rates(written(posteriors(documents, weights, len(shares)), "posteriors"), shares, most, least=least)
+    found = fit_rates(written(posteriors(documents, weights, len(shares)), "posteriors"), shares, most, least=least)
+    return found.rates.select("*", *(F.array(*(F.lit(x) for x in held)).alias(name) for name, held in (("target", found.target), ("reached", found.reached))))
 
 
 def mix(documents: DataFrame, labels: DataFrame, shares: tuple[float, ...], domain: F.Column, least: float = 0.0) -> DataFrame:
-    """The documents that are drawn, each with its rate (1 at most) as probability, by a hash of id and text; all columns."""
-    key = F.xxhash64("doc_id", "text")
-    plain = documents.select(key.alias("k"), "doc_id", "text")
-    named = labels.select("doc_id", "quality", "toxic")
-    fitted_rates = fit(plain.select(F.col("k").alias("doc_id"), "text"), plain.select("doc_id", "k").join(named, "doc_id").select(F.col("k").alias("doc_id"), "quality", "toxic"), shares, domain, most=1.0, least=least)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
-    drawn = fitted_rates.groupBy("doc_id").agg(F.max("rate").alias("rate")).where(draw < F.col("rate")).select(F.col("doc_id").alias("k"))
-    return documents.join(drawn, key == drawn["k"], "left_semi")
+    """The documents that are drawn, each with its rate (1 at most) as probability, by a hash of id and text; all columns. Rows equal in both stay or go together."""
+    weights = learn(documents, labels, len(shares), domain)
+    steps = fit_rates(written(posteriors(documents, weights, len(shares)), "posteriors"), shares, most=1.0, least=least).steps
+    spare = "draw"
+    while spare in documents.columns:
+        spare += "_"
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, at, 512):
+                if weights is not None:
+                    rate = steps.rates(softmax(np.stack([figures(t or "") for t in part.column(at).to_pylist()]) @ weights))
+                else:
+                    rate = steps.rates(np.full((part.num_rows, len(shares)), 1 / len(shares)))
+                kept = part.filter(pa.array(part.column(part.num_columns - 1).to_numpy() < rate))
+                yield kept.select(list(range(part.num_columns - 1)))
+
+    return documents.withColumn(spare, draw).mapInArrow(run, documents.schema)
