@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,13 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Where it is unset (tests on one machine), a temporary folder is set once per session.
+    Where it is unset and all runs on one machine (``local`` masters: tests), a temporary folder is set once per session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext._jsc.sc()
         held = context.getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafloom-"))
             held = context.getCheckpointDir()
         found = held.get()
@@ -52,11 +58,23 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def beside(left: DataFrame, right: DataFrame, key: str, hot: int = 10_000) -> DataFrame:
+    """Left join with a table of one row a key. Keys of more than ``hot`` rows, or a 100,000th of all, don't go through the shuffle: their rows of ``right`` (100,000 at most) are broadcast."""
+    counts = left.groupBy(key).count()
+    rows = counts.agg(F.sum("count")).first()[0] or 0
+    keys = counts.where(F.col("count") > max(hot, rows // 100_000)).select(key)
+    few = F.broadcast(right.join(F.broadcast(keys), key, "left_semi"))
+    return left.join(F.broadcast(keys), key, "left_semi").join(few, key, "left").unionByName(left.join(F.broadcast(keys), key, "left_anti").join(right, key, "left"))
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, of ``rows`` rows and ``most`` bytes in a text column at most, or of one row."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    a = 0
+    while a < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(size[a : a + rows]), most, "right")))
+        yield batch.slice(a, n)
+        a += n
 
 
 def texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafloom.llm.common import written
+from leafloom.llm.common import slices, written
 
 MARK = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
 TAG = re.compile(r"[^\s/>]+")
@@ -540,8 +540,7 @@ def beside(pages: DataFrame, found: DataFrame, most_bytes: int, keep: list[str],
         last: tuple[str, list | None] = ("", None)
         read: dict[str, list | None] = {}
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in slices(batch, batch.schema.get_field_index("html")):
                 own = []
                 for i, h in enumerate(part.column("host").to_pylist()):
                     if held is not None:

@@ -13,7 +13,7 @@
    Links that the second turn leaves out lie within one component already.
 
 Defined results: a null text counts as an empty one; texts without words have an empty set, link with nothing, and are
-their own component; rows with a null id take no part and have no component; rows that repeat an id are each answered; ties
+their own component; 64-bit hashes stand for shingles, and 128-bit digests for sets; rows with a null id take no part and have no component; rows that repeat an id are each answered; ties
 don't occur, as links are symmetric; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import texts, written
+from leafloom.llm.common import beside, texts, written
 from leafloom.llm.components import components
 from leafloom.llm.shingles import mixed, sets
 
@@ -37,27 +37,35 @@ ENTRIES = 250_000  # of prefixes in a fragment
 BLOCK = 512  # texts in a block
 LEVELS = 32  # of frequency
 PAIRS = 500_000  # candidate pairs that are counted together
+FRAGMENTS = 4  # in which their overlaps are counted
 BROADCAST = 1_000_000  # ids that may be broadcast, 8 bytes each
 
 
-def class_of(s: np.ndarray) -> int:
+def digests(s: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """A set's class and a second digest that tells apart sets of one class. Empty sets have 0."""
+    found = blake2b(s.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest() if len(s) else bytes(16)
+    return int.from_bytes(found[:8], "little", signed=True), int.from_bytes(found[8:], "little", signed=True)
+
+
+def class_of(s: np.ndarray, salt: int = 0) -> int:
     """An id for a set: equal sets, equal ids. Empty sets have 0."""
-    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else 0
+    return digests(s, salt)[0]
 
 
-def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n (set size), cls for each row."""
+def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", salt: int = 0) -> DataFrame:
+    """doc_id, n (set size), cls, more (second digest) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, cls = [], []
+            n, cls, more = [], [], []
             for s in sets(b.column(1)):
                 n.append(len(s))
-                cls.append(class_of(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n", "cls"])
+                for held, x in zip((cls, more), digests(s, salt), strict=True):
+                    held.append(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(more, pa.int64())], ["doc_id", "n", "cls", "more"])
 
     kind = documents.schema[id_column].dataType.simpleString()
-    return texts(documents, id_column, text_column).withColumnRenamed(id_column, "doc_id").mapInArrow(run, f"doc_id {kind}, n long, cls long")
+    return texts(documents, id_column, text_column).withColumnRenamed(id_column, "doc_id").mapInArrow(run, f"doc_id {kind}, n long, cls long, more long")
 
 
 def _ranges(h: np.ndarray, count: int) -> np.ndarray:
@@ -65,8 +73,11 @@ def _ranges(h: np.ndarray, count: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
 
 
-def promising(documents: DataFrame, total: int, share: int, text_column: str = "text") -> DataFrame:
-    """cls of the sets of which ``share`` hundredths of the shingles occur in another row's set, too."""
+def promising(documents: DataFrame, total: int, share: int, text_column: str = "text", salt: int = 0) -> DataFrame:
+    """cls of the sets of which ``share`` hundredths of the shingles occur in another row's set, too.
+
+    A block of sets sends a piece to each range that it has shingles in: fewer pieces than shingles, whatever the sizes.
+    """
     parts = max(8, math.ceil(total / RANGE))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,22 +86,36 @@ def promising(documents: DataFrame, total: int, share: int, text_column: str = "
         number, k = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
 
-        def out() -> pa.RecordBatch:
-            every = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        def out() -> Iterator[pa.RecordBatch]:
+            every = np.concatenate(held)
             sizes = np.array([len(s) for s in held], np.int64)
-            # sets are sorted, so each range is one run of each set
-            place = _ranges(every, parts)
-            doc = np.repeat(np.arange(len(held)), sizes)
-            counts = np.bincount(place * len(held) + doc, minlength=parts * len(held)).astype(np.uint32).reshape(parts, -1)
-            low = every.astype(np.uint32)[np.argsort(place, kind="stable")]
-            at = np.concatenate([[0], np.cumsum(counts.sum(1, dtype=np.int64))])
-            names = np.array([class_of(s) for s in held], np.int64)
+            names = np.array([class_of(s, salt) for s in held], np.int64)
+            place, doc = _ranges(every, parts), np.repeat(np.arange(len(held)), sizes)
+            o = np.argsort(place, kind="stable")  # sets follow one another within a range
+            place, doc, low = place[o], doc[o], every.astype(np.uint32)[o]
+            runs = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
+            counts = np.diff(np.concatenate([runs, [len(place)]])).astype(np.uint32)
+            docs, of_run = doc[runs].astype(np.uint32), place[runs]
+            piece = np.flatnonzero(np.concatenate([[True], of_run[1:] != of_run[:-1]]))
+            ends = np.concatenate([piece[1:], [len(runs)]])
+            at = np.concatenate([runs, [len(place)]])
             block = number << 32 | k
             held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(parts)), pa.array(np.full(parts, block)), pa.array([counts[p].tobytes() for p in range(parts)], pa.binary()), pa.array([low[at[p] : at[p + 1]].tobytes() for p in range(parts)], pa.binary()), pa.array([names.tobytes() if p == 0 else None for p in range(parts)], pa.binary()), pa.array([sizes.tobytes() if p == 0 else None for p in range(parts)], pa.binary())],
-                ["part", "block", "counts", "low", "names", "sizes"],
-            )
+            for x in range(0, len(piece), 10_000):
+                p, e = piece[x : x + 10_000].tolist(), ends[x : x + 10_000].tolist()
+                first = [x == 0 and i == 0 for i in range(len(p))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(of_run[p]),
+                        pa.array(np.full(len(p), block)),
+                        pa.array([docs[i:j].tobytes() for i, j in zip(p, e, strict=True)], pa.binary()),
+                        pa.array([counts[i:j].tobytes() for i, j in zip(p, e, strict=True)], pa.binary()),
+                        pa.array([low[at[i] : at[j]].tobytes() for i, j in zip(p, e, strict=True)], pa.binary()),
+                        pa.array([names.tobytes() if f else None for f in first], pa.binary()),
+                        pa.array([sizes.tobytes() if f else None for f in first], pa.binary()),
+                    ],
+                    ["part", "block", "docs", "counts", "low", "names", "sizes"],
+                )
 
         size = 0
         for b in batches:
@@ -99,10 +124,10 @@ def promising(documents: DataFrame, total: int, share: int, text_column: str = "
                     held.append(s)
                     size += len(s)
                 if len(held) >= 8 * BLOCK or size > RANGE:
-                    yield out()
+                    yield from out()
                     k, size = k + 1, 0
         if held:
-            yield out()
+            yield from out()
 
     def shared(rows: pa.Table) -> pa.Table:
         low = [np.frombuffer(x.as_py(), np.uint32) for x in rows["low"]]
@@ -120,20 +145,22 @@ def promising(documents: DataFrame, total: int, share: int, text_column: str = "
             ends = np.cumsum(c)
             out.append((total[ends] - total[ends - c]).astype(np.uint32).tobytes())
             at += int(c.sum())
-        return pa.table({"block": rows["block"], "shared": pa.array(out, pa.binary()), "names": rows["names"], "sizes": rows["sizes"]})
+        return pa.table({"block": rows["block"], "docs": rows["docs"], "shared": pa.array(out, pa.binary()), "names": rows["names"], "sizes": rows["sizes"]})
 
     def summed(rows: pa.Table) -> pa.Table:
-        n = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in rows["shared"])
         at = next(i for i, x in enumerate(rows["names"]) if x.is_valid)
         names, sizes = np.frombuffer(rows["names"][at].as_py(), np.int64), np.frombuffer(rows["sizes"][at].as_py(), np.int64)
+        n = np.zeros(len(names), np.int64)
+        for docs, x in zip(rows["docs"], rows["shared"], strict=True):
+            n[np.frombuffer(docs.as_py(), np.uint32)] += np.frombuffer(x.as_py(), np.uint32)
         return pa.table({"cls": pa.array(np.unique(names[100 * n >= share * sizes]), pa.int64())})
 
-    cuts = texts(documents.withColumn("_", F.lit(0)), "_", text_column).select(text_column).mapInArrow(cut, "part long, block long, counts binary, low binary, names binary, sizes binary")
-    counted = cuts.groupBy("part").applyInArrow(shared, "block long, shared binary, names binary, sizes binary")
+    cuts = texts(documents.withColumn("_", F.lit(0)), "_", text_column).select(text_column).mapInArrow(cut, "part long, block long, docs binary, counts binary, low binary, names binary, sizes binary")
+    counted = cuts.groupBy("part").applyInArrow(shared, "block long, docs binary, shared binary, names binary, sizes binary")
     return counted.groupBy("block").applyInArrow(summed, "cls long").distinct()
 
 
-def block_sets(documents: DataFrame, chosen: DataFrame, n_chosen: int) -> DataFrame:
+def block_sets(documents: DataFrame, chosen: DataFrame, n_chosen: int, salt: int = 0) -> DataFrame:
     """block, names, sizes, hashes: the sets of the chosen rows (doc_id, cls), packed in blocks."""
     docs = texts(documents).where("doc_id is not null")
     kept = docs.join(F.broadcast(chosen) if n_chosen <= BROADCAST else chosen, "doc_id")
@@ -152,14 +179,16 @@ def block_sets(documents: DataFrame, chosen: DataFrame, n_chosen: int) -> DataFr
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], ["block", "names", "sizes", "hashes"])
 
+        size = 0
         for b in batches:
             for cls, s in zip(b.column(1).to_pylist(), sets(b.column(0)), strict=True):
-                if class_of(s) == cls:  # rows may repeat an id with another text
+                if class_of(s, salt) == cls:  # rows may repeat an id with another text
                     names.append(cls)
                     held.append(s)
-                if len(held) >= BLOCK or sum(map(len, held[-1:])) > RANGE:
+                    size += len(s)
+                if len(held) >= BLOCK or size > RANGE:
                     yield out()
-                    k += 1
+                    k, size = k + 1, 0
         if held:
             yield out()
 
@@ -177,9 +206,9 @@ def prefixes(blocks: DataFrame, total: int, share: int) -> DataFrame:
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 u, c = np.unique(np.frombuffer(data.as_py(), np.uint64), return_counts=True)
-                at = np.searchsorted(_ranges(u, parts), np.arange(parts + 1))
-                cuts = [(u[at[p] : at[p + 1]], c[at[p] : at[p + 1]].astype(np.uint32)) for p in range(parts)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array([block] * parts, pa.int64()), pa.array([x.tobytes() for x, _ in cuts], pa.binary()), pa.array([x.tobytes() for _, x in cuts], pa.binary())], ["part", "block", "hashes", "counts"])
+                place, at = np.unique(_ranges(u, parts), return_index=True)  # hashes are in order, so each range is one run
+                cuts = [(u[x:y], c[x:y].astype(np.uint32)) for x, y in zip(at.tolist(), [*at[1:].tolist(), len(u)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array([block] * len(place), pa.int64()), pa.array([x.tobytes() for x, _ in cuts], pa.binary()), pa.array([x.tobytes() for _, x in cuts], pa.binary())], ["part", "block", "hashes", "counts"])
 
     def add(rows: pa.Table) -> pa.Table:
         each = [np.frombuffer(x.as_py(), np.uint64) for x in rows["hashes"]]
@@ -354,9 +383,13 @@ def candidates(prefix: DataFrame, share: int, ranges: list[int], turn: str) -> D
 
 
 def linked(pairs: DataFrame, blocks: DataFrame, total: int, share: int, n_pairs: int) -> DataFrame:
-    """The pairs whose overlap reaches the threshold: partial overlaps of each fragment, summed for each pair."""
-    fragments = max(4, math.ceil(total / (4 * RANGE)))
-    groups = max(1, math.ceil(n_pairs / PAIRS))
+    """The pairs whose overlap reaches the threshold: partial overlaps of each fragment, summed for each pair.
+
+    The order is cut into a fixed number of fragments; what grows with the data is the number of groups of pairs. total: the
+    shingles of all pairs' sets.
+    """
+    fragments = FRAGMENTS
+    groups = max(1, math.ceil(n_pairs / PAIRS), math.ceil(total / (FRAGMENTS * 4 * RANGE)))
     grouped = pairs.withColumn("share", F.pmod(F.xxhash64("u", "v"), F.lit(groups)))
     ends = grouped.select("share", F.col("u").alias("cls")).union(grouped.select("share", F.col("v").alias("cls"))).distinct()
 
@@ -370,7 +403,7 @@ def linked(pairs: DataFrame, blocks: DataFrame, total: int, share: int, n_pairs:
                     s = h[end : end + n]
                     end += n
                     at = np.searchsorted(_ranges(s, fragments), np.arange(fragments + 1))
-                    for f in range(fragments):
+                    for f in range(fragments):  # empty ones, too: a pair finds both sets in every fragment
                         for x, y in zip(out, (f, cls, n, s[at[f] : at[f + 1]].tobytes()), strict=True):
                             x.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["fragment", "cls", "n", "hashes"])
@@ -411,36 +444,45 @@ def linked(pairs: DataFrame, blocks: DataFrame, total: int, share: int, n_pairs:
 
 def ngram_components(documents: DataFrame, share: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; share: the least similarity in hundredths."""
-    known = written(classes(documents), "classes")
-    kinds = known.where("doc_id is not null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    salt = 0
+    while True:
+        known = written(classes(documents, salt=salt), "classes")
+        kinds = known.where("doc_id is not null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("more").alias("low"), F.max("more").alias("high"))
+        facts = kinds.agg(F.count_if(F.col("low") != F.col("high")).alias("clashes"), F.sum("n").alias("n"), F.count("*").alias("k")).first()
+        if not facts.clashes:
+            break
+        salt += 1  # two sets of one class: all are digested anew
     total = known.agg(F.sum("n")).first()[0] or 0
     roots = None
     if total:
-        near = written(kinds.join(promising(documents, total, share), "cls", "left_semi"), "promising")
+        near = written(kinds.select("cls", "doc_id", "n").join(promising(documents, total, share, salt=salt), "cls", "left_semi"), "promising")
         facts = near.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
         if facts.k:
-            blocks = written(block_sets(documents, near.select("doc_id", "cls"), facts.k), "blocks")
+            blocks = written(block_sets(documents, near.select("doc_id", "cls"), facts.k, salt), "blocks")
             prefix = written(prefixes(blocks, facts.n, share), "prefixes")
             fragments = level_ranges(prefix)
+
+            def confirmed(pairs: DataFrame) -> DataFrame | None:
+                n = pairs.count()
+                return linked(pairs, blocks, math.ceil(2 * n * facts.n / facts.k), share, n) if n else None
+
             first = written(candidates(prefix.withColumn("root", F.col("cls")), share, fragments, "near"), "pairs")
-            links = written(linked(first, blocks, facts.n, share, first.count()), "links")
-            found = components(links)
+            links = confirmed(first)
+            found = components(links if links is not None else first)
             rooted = prefix.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-            second = written(candidates(rooted, share, fragments, "all"), "pairs")
-            n_second = second.count()
-            if n_second:
-                more = linked(second, blocks, facts.n, share, n_second)
+            more = confirmed(written(candidates(rooted, share, fragments, "all"), "pairs"))
+            if more is not None:
                 found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
             roots = found.select(F.col("node").alias("cls"), "root")
     labelled = kinds.select("cls", "doc_id")
     if roots is not None:
-        labelled = labelled.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        labelled = written(labelled.join(roots, "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root")), "roots")
         least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        labelled = labelled.join(least, "root").select("cls", "component_id")
+        labelled = beside(labelled, least, "root").select("cls", "component_id")
     else:
         labelled = labelled.select("cls", F.col("doc_id").alias("component_id"))
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return known.join(labelled, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return beside(known.select("doc_id", "n", "cls"), labelled, "cls").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, share: int = 80) -> DataFrame:

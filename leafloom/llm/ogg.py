@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from leafloom.llm.common import texts
+from leafloom.llm.common import slices, texts
 
 RATE = 8000  # samples of 8 bits a second
 PACKET = 8000  # samples in a packet
@@ -178,8 +178,7 @@ def media_column(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encode(*padded(t)) for t in part.column(1).to_pylist()], pa.binary())], [id_column, "media"])
 
     out = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), T.StructField("media", T.BinaryType())])
@@ -194,8 +193,7 @@ def media_facts(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            for part in slices(batch, 1):
                 rows = []
                 for medium in part.column(1):
                     media = medium.as_py()

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafloom.llm.common import texts
+from leafloom.llm.common import slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 SURE = 0.9  # belief from which a node's label is taken
@@ -371,8 +371,7 @@ def find_spans(df: DataFrame, crf: Field, id_column: str = "doc_id", text_column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in slices(batch, 1):
                 rows = []
                 for text in part.column(1).to_pylist():
                     base, every = all_spans(text, crf)
@@ -401,8 +400,7 @@ def redact(df: DataFrame, crf: Field) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in slices(batch, names.index("text")):
                 out = [None if t is None else redacted(t, all_spans(t, crf)[1]) for t in part.column(names.index("text")).to_pylist()]
                 columns = dict(zip(names, part.columns, strict=True))
                 columns["text"] = pa.array(out, columns["text"].type)

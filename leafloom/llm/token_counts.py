@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafloom.llm.bpe import codec
-from leafloom.llm.common import scratch
+from leafloom.llm.common import scratch, slices
 
 CACHE = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField("content", T.StringType()), T.StructField("n_tokens", T.LongType())])
 #: Single characters that fold to a blank where a tokenizer drops white space; changing one for another changes no count.
@@ -90,8 +90,7 @@ def count_tokens(df: DataFrame, tokenizer: str, cache: str | None = None, limit:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in slices(batch, 1):
                 n = count(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), part.column(0), pa.array(n, pa.int64())], ["tokenizer", "content", "n_tokens"])
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafloom.llm.common import texts, written
+from leafloom.llm.common import slices, texts, written
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("авеёкмнорстухіјѕԁӏԛԝһαβεικνορτυχγωϲ", "abeekmhopctyxijsdlqwhabeiknoptuxywc", strict=True))
@@ -266,8 +266,7 @@ def score_documents(df: DataFrame, lexicon: Lexicon, id_column: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lexicon.matcher()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m.score(x) for x in part.column(1).to_pylist()], pa.float64())], [id_column, "score"])
 
     out = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), T.StructField("score", T.DoubleType())])
@@ -293,8 +292,7 @@ def reject_toxic(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
         m = lexicon.matcher()
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in slices(batch, at):
                 yield part.filter(pa.array([m.score(x or "") < 0.5 for x in part.column(at).to_pylist()], pa.bool_()))
 
     return documents.mapInArrow(run, m_kind)
