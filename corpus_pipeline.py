@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from leafloom.llm import bpe, mixing, ngram_join, pii, toxicity
 from leafloom.llm.common import table, written
 
-#: Target weights of documents of high and low quality.
-QUALITY = (0.85, 0.15)
+#: Target weights of documents of high and low quality: where more than a twentieth is of low quality, only such documents go.
+QUALITY = (0.95, 0.05)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_copies), ("pii", mask_personal_data), ("mixing", mix_quality), ("bpe", encode)]
 
-#: No stage but the second can be told in SQL; the tests hold each against a brute-force version.
+#: No stage but the second can be told in SQL; tests/llm holds the stages against plain Python.
 ORACLE_SQL = None
 
 
