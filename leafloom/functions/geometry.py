@@ -93,3 +93,61 @@ def diagonal(dx: Column, dy: Column) -> Column:
 
 def horizontal(dx: Column, dy: Column, tolerance: float = 1e-3) -> Column:
     return (F.abs(dx - 1) <= tolerance) & (F.abs(dy) <= tolerance)
+
+
+def rule_length(start: Column, end: Column) -> Column:
+    return end - start
+
+
+def rule_rect(axis: Column, at: Column, start: Column, end: Column, thickness: Column) -> tuple[Column, Column, Column, Column]:
+    """A rule's box, as thick as it is drawn."""
+    half, across = thickness / 2, axis == "h"
+    pick = lambda a, b: F.when(across, a).otherwise(b)
+    return pick(start, at - half), pick(at - half, start), pick(end, at + half), pick(at + half, end)
+
+
+def shown_size(rotation: Column, w: Column, h: Column) -> tuple[Column, Column]:
+    """Width and height of a page as it displays."""
+    turned = rotation.isin(90, 270)
+    return F.when(turned, h).otherwise(w), F.when(turned, w).otherwise(h)
+
+
+def from_shown(rotation: Column, x: Column, y: Column, w: Column, h: Column) -> tuple[Column, Column]:
+    return (
+        F.when(rotation == 90, y).when(rotation == 180, w - x).when(rotation == 270, w - y).otherwise(x),
+        F.when(rotation == 90, h - x).when(rotation == 180, h - y).when(rotation == 270, x).otherwise(y),
+    )
+
+
+def to_user(x: Column, y: Column, left: Column, top: Column) -> tuple[Column, Column]:
+    """A point from the top left corner in the page's own space, y up. left, top: the page box's."""
+    return x + left, top - y
+
+
+def to_icdar(rotation: Column, x: Column, y: Column, left: Column, top: Column, w: Column, h: Column) -> tuple[Column, Column]:
+    """A point in the frame of a table competition's truth: the page's own space, or a turned page as it displays, y up; null where a turned page's box is off the origin."""
+    sx, sy = turn_point(rotation, x, y, w, h)
+    _, high = shown_size(rotation, w, h)
+    ux, uy = to_user(x, y, left, top)
+    fits = (left == 0) & (top - h == 0)
+    return F.when(rotation == 0, ux).when(fits, sx), F.when(rotation == 0, uy).when(fits, high - sy)
+
+
+def from_icdar(rotation: Column, x: Column, y: Column, left: Column, top: Column, w: Column, h: Column) -> tuple[Column, Column]:
+    _, high = shown_size(rotation, w, h)
+    sx, sy = from_shown(rotation, x, high - y, w, h)
+    fits = (left == 0) & (top - h == 0)
+    return F.when(rotation == 0, x - left).when(fits, sx), F.when(rotation == 0, top - y).when(fits, sy)
+
+
+def page_box(crop: tuple[Column, ...], media: tuple[Column, ...]) -> tuple[Column, ...]:
+    """The crop box (x0, y0, x1, y1, down from the media box's top) within the media box, in its coordinates; nulls where they don't meet."""
+    x0, x1 = F.greatest(crop[0], media[0]), F.least(crop[2], media[2])
+    y0, y1 = F.greatest(media[3] - crop[3], media[1]), F.least(media[3] - crop[1], media[3])
+    meets = (x1 > x0) & (y1 > y0)
+    return tuple(F.when(meets, v) for v in (x0, y0, x1, y1))
+
+
+def quarter(rotation: Column) -> Column:
+    """A page's rotation as a quarter turn; others go to the nearest, halves to the even one."""
+    return (F.bround(F.pmod(rotation, F.lit(360)) / 90, 0).cast("int") % 4) * 90

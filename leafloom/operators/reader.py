@@ -16,7 +16,117 @@ def text_layer(words: Column, unmapped: Column) -> Column:
 
 def page_class(visible: Column, invisible: Column, image: Column) -> Column:
     """What a page is for a benchmark."""
-    return F.when((visible < 50) & (invisible < 50), "no_text").when((invisible > visible), "ocr_layer").when(image >= 0.9, "image_backed").otherwise("born_digital")
+    return F.when(visible < 50, "no_text").when(invisible >= visible, "ocr_layer").when(image >= 0.9, "image_backed").otherwise("born_digital")
+
+
+def document_classes(pages: DataFrame) -> DataFrame:
+    """doc_id, class: that of the first page that is not born digital, or born digital. pages: doc_id, page, class."""
+    other = F.min_by("class", F.when(F.col("class") != "born_digital", F.col("page")))
+    return pages.groupBy("doc_id").agg(F.coalesce(other, F.lit("born_digital")).alias("class"))
+
+
+def numeric_pages(pages: DataFrame, least: int = 20) -> DataFrame:
+    """doc_id, page of the pages whose text holds at least so many numbers."""
+    return pages.where(F.regexp_count("text", F.lit(r"(?U)\d[\d,.]*")) >= least).select("doc_id", "page")
+
+
+def scored(documents: DataFrame, census: DataFrame, groups: list[str], others: list[str]) -> DataFrame:
+    """doc_id, group, why: null for a document that is scored, or the class or 'group' that leaves it out, 'unclassified' or 'unnamed group' where it should not be there. documents: doc_id, group; census: doc_id, class."""
+    why = (
+        F.when(F.col("class").isNull(), "unclassified")
+        .when(~F.col("group").isin(groups + others), "unnamed group")
+        .when(F.col("class") != "born_digital", F.col("class"))
+        .when(F.col("group").isin(others), "group")
+    )
+    return documents.join(census, "doc_id", "left").select("doc_id", "group", why.alias("why"))
+
+
+def image_ratio(images: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, page, ratio: the part of a page that images cover, each cut to the page, 1 at most. images: doc_id, page, x0, y0, x1, y1; pages: doc_id, page, width, height."""
+    both = pages.join(images, ["doc_id", "page"], "left")
+    w = F.least("x1", "width") - F.greatest("x0", F.lit(0.0))
+    h = F.least("y1", "height") - F.greatest("y0", F.lit(0.0))
+    area = F.sum(F.when((w > 0) & (h > 0), w * h).otherwise(0.0))
+    return both.groupBy("doc_id", "page", "width", "height").agg(area.alias("area")).select("doc_id", "page", F.least(F.lit(1.0), F.col("area") / (F.col("width") * F.col("height"))).alias("ratio"))
+
+
+def upright(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """words, in the frame that displays where a turned page's text is upright only there; turned tells which.
+
+    words: doc_id, page, id, text, horizontal, diagonal, x0, y0, x1, y1; pages: doc_id, page, rotation, width, height.
+    """
+    from leafloom.functions import geometry as geo
+
+    n = F.length("text")
+    share = words.groupBy("doc_id", "page").agg(F.sum(n).alias("chars"), F.sum(F.when(~F.col("horizontal"), n).otherwise(0)).alias("across"))
+    facts = pages.join(share, ["doc_id", "page"], "left").select("doc_id", "page", "rotation", "width", "height", F.coalesce((F.col("rotation") != 0) & (2 * F.col("across") > F.col("chars")), F.lit(False)).alias("turned"))
+    box = geo.turn_rect(F.col("rotation"), geo.box(), F.col("width"), F.col("height"))
+    out = words.join(facts, ["doc_id", "page"])
+    turned = [F.when(F.col("turned"), t).otherwise(F.col(c)).alias(c) for t, c in zip(box, ("x0", "y0", "x1", "y1"), strict=True)]
+    return out.select("doc_id", "page", "id", "text", F.when(F.col("turned"), ~F.col("horizontal") & ~F.col("diagonal")).otherwise(F.col("horizontal")).alias("horizontal"), *turned, "turned")
+
+
+def drawn_spans(spans: DataFrame) -> DataFrame:
+    """spans without the copies that clipping makes: unseen clipped ones of which the characters and boxes were drawn on the page.
+
+    spans: doc_id, page, span, clipped, alpha, chars (array of c, x0, y0, x1, y1).
+    """
+    sign = F.transform("chars", lambda c: F.struct(c.c, *(F.round(c[n], 2) for n in ("x0", "y0", "x1", "y1"))))
+    signed = spans.withColumn("sign", F.sha2(F.to_json(F.struct(sign.alias("s"))), 256)).withColumn("copy", F.col("clipped") & (F.col("alpha") == 0))
+    seen = signed.where("not copy").select("doc_id", "page", "sign").distinct()
+    return signed.where("copy").join(seen, ["doc_id", "page", "sign"], "left_anti").unionByName(signed.where("not copy")).drop("sign", "copy")
+
+
+def read_once(words: DataFrame, em: float = 0.1) -> DataFrame:
+    """words with kept: whether no earlier kept word of the page is the same and at the same place, each edge within a tenth of its size.
+
+    words: doc_id, page, id, text, font, size, state, type3, x0, y0, x1, y1. Words that hold U+FFFD or are of a Type 3 font are kept.
+    """
+    alike = ["doc_id", "page", "text", "font", "size", "state"]
+    plain = words.where(~F.col("type3") & ~F.contains("text", F.lit("\ufffd")))
+    box = F.struct("id", "x0", "y0", "x1", "y1")
+
+    def near(a: Column, b: Column) -> Column:
+        return F.greatest(*(F.abs(a[c] - b[c]) for c in ("x0", "y0", "x1", "y1"))) <= F.lit(em) * F.col("size") + 1e-6
+
+    ordered = plain.groupBy(*alike).agg(F.array_sort(F.collect_list(box)).alias("all"))
+    start = F.array().cast("array<struct<id:bigint,x0:double,y0:double,x1:double,y1:double>>")
+    kept = F.aggregate("all", start, lambda held, w: F.when(F.exists(held, lambda k: near(k, w)), held).otherwise(F.array_append(held, w)))
+    ids = ordered.select(F.explode(F.transform(kept, lambda w: w.id)).alias("id"), "doc_id", "page").withColumn("own", F.lit(True))
+    special = F.col("type3") | F.contains("text", F.lit("\ufffd"))
+    return words.join(ids, ["doc_id", "page", "id"], "left").select(words["*"], (F.coalesce("own", F.lit(False)) | special).alias("kept"))
+
+
+def page_counts(chars: DataFrame) -> DataFrame:
+    """doc_id, page, invisible, unmapped, hidden, drawn: characters of each class. chars: doc_id, page, class, hidden, unclipped (read without clipping)."""
+    on = ~F.col("unclipped")
+    word = F.col("class") == "word"
+    return chars.groupBy("doc_id", "page").agg(
+        F.count_if(on & (F.col("class") == "invisible")).alias("invisible"), F.count_if(on & (F.col("class") == "no_unicode")).alias("unmapped"), F.count_if(on & word & F.col("hidden")).alias("hidden"),
+        F.greatest(F.lit(0), F.count_if(~on & word) - F.count_if(on & word)).alias("clipped"),
+    )
+
+
+def styles(font: Column, bold_flag: Column, italic_flag: Column) -> tuple[Column, Column]:
+    """Whether a span is bold and italic, by its flags or its font's name."""
+    name = F.lower(font)
+    return bold_flag | name.contains("bold"), italic_flag | name.contains("italic") | name.contains("oblique")
+
+
+def quad_boxes(quads: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """quads with x0, y0, x1, y1 of those whose corners stand on two x and two y. quads: points (array of x, y)."""
+    xs, ys = F.transform("points", lambda p: p.x), F.transform("points", lambda p: p.y)
+    out = quads.select("*", F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+    on = lambda v, a, b: (F.abs(v - F.col(a)) <= tolerance) | (F.abs(v - F.col(b)) <= tolerance)
+    return out.where(F.forall("points", lambda p: on(p.x, "x0", "x1") & on(p.y, "y0", "y1")))
+
+
+def unreadable(documents: DataFrame) -> DataFrame:
+    """doc_id, detail of documents that declare more pages than could be loaded. documents: doc_id, declared, loaded."""
+    missing = F.col("declared") - F.col("loaded")
+    s = lambda c: c.cast("string")
+    detail = F.concat(s(missing), F.lit(" of "), s(F.col("declared")), F.lit(" pages are missing: "), s(F.col("loaded") + 1), F.lit("-"), s(F.col("declared")))
+    return documents.where(missing > 0).select("doc_id", detail.alias("detail"))
 
 
 def build_words(chars: DataFrame) -> DataFrame:
@@ -71,18 +181,20 @@ def extract_fills(paths: DataFrame) -> DataFrame:
 def page_findings(pages: DataFrame) -> DataFrame:
     """doc_id, page, code, severity: what the counts of a page give reason to say.
 
-    pages: doc_id, page, words, unmapped, hidden_chars, visible_chars, clipped, overprinted, image_ratio.
+    pages: doc_id, page, words, unmapped, hidden_chars, visible_chars, clipped, overprinted, image_ratio; failed and type3 where known.
     """
     ocr = (F.col("hidden_chars") * 2 >= F.col("hidden_chars") + F.col("visible_chars")) & (F.col("hidden_chars") > 0) & (F.col("image_ratio") >= 0.5)
     def say(code: str, severity: str) -> Column:
         return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))
 
     found = F.array(
+        F.when(F.col("failed"), say("unreadable_page", "error")) if "failed" in pages.columns else F.lit(None).cast("struct<code:string,severity:string>"),
         F.when((F.col("words") == 0) & (F.col("image_ratio") > 0), say("no_text_layer", "error")).when(F.col("words") == 0, say("blank_page", "info")),
         F.when((F.col("words") > 0) & (F.col("unmapped") > 0), say("partial_text_layer", "warning")),
         F.when(ocr, say("ocr_text_layer", "warning")).when(F.col("hidden_chars") > 0, say("hidden_text", "warning")),
         F.when(F.col("clipped") > 0, say("clipped_text", "info")),
         F.when(F.col("overprinted") > 0, say("overprinted_text", "info")),
+        F.when(F.col("type3") > 0, say("type3_font", "warning")) if "type3" in pages.columns else F.lit(None).cast("struct<code:string,severity:string>"),
     )
     return pages.select("doc_id", "page", F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f")).select("doc_id", "page", "f.code", "f.severity")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafloom.plans import pages, prose, tables, tokens
+from leafloom.plans import pages, prose, readings, tables, tokens
 
 FLAGSHIP = "typed_blocks"
-_ALL = [prose.R, tokens.R, tables.R, pages.R]
+_ALL = [prose.R, tokens.R, tables.R, pages.R, readings.R]
 QUERIES = {name: q for r in _ALL for name, q in r.queries.items()}
 ORACLES = {name: s for r in _ALL for name, s in r.oracles.items()}

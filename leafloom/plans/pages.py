@@ -50,12 +50,16 @@ def quantized_values(spark, sf):
     return table(spark, sf, "events").select("event_id", geo.quantize(v).alias("q"), ((v >= 20) & (v < 40)).alias("held"), geo.diagonal((F.col("event_id") % 50).cast("double"), v - 30).alias("diagonal"))
 
 
-@R.add("""SELECT event_id, abs(value % 40 - 20) + abs(event_id % 37 - 18) < 15 AS inside FROM events WHERE abs(value % 40 - 20) + abs(event_id % 37 - 18) <> 15""")
+_EDGES = [((5, 18), (20, 33)), ((20, 3), (5, 18)), ((35, 18), (20, 3)), ((20, 33), (35, 18))]
+_CROSSED = " + ".join(f"CASE WHEN ({ay} > y) <> ({by} > y) AND x < ({bx} - {ax}) * (y - {ay}) / ({by} - {ay})::DOUBLE + {ax} THEN 1 ELSE 0 END" for (ax, ay), (bx, by) in _EDGES)
+
+
+@R.add(f"""SELECT event_id, ({_CROSSED}) % 2 = 1 AS inside FROM (SELECT event_id, value % 40 AS x, event_id % 37 AS y FROM events)""")
 def points_in_polygon(spark, sf):
-    """A diamond about (20, 18)."""
+    """A diamond about (20, 18); points of its border by the even-odd rule."""
     x, y = F.col("value") % 40, (F.col("event_id") % 37).cast("double")
     diamond = F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((5.0, 18.0), (20.0, 3.0), (35.0, 18.0), (20.0, 33.0))))
-    return table(spark, sf, "events").where(F.abs(x - 20) + F.abs(y - 18) != 15).select("event_id", geo.in_polygon(diamond, x, y).alias("inside"))
+    return table(spark, sf, "events").select("event_id", geo.in_polygon(diamond, x, y).alias("inside"))
 
 
 # --- reader: characters of the typeset words ---
@@ -265,9 +269,9 @@ def cer_counts(spark, sf):
 _CODES = "c AS (SELECT event_id, (event_id * 7919 % 1200)::INT AS code, event_id % 11 = 0 AS generated, event_id % 13 = 0 AS hyphen, event_id % 17 = 0 AS map_error FROM events)"
 
 
-@R.add(f"""WITH {_CODES} SELECT event_id, code, CASE WHEN generated THEN 'generated' WHEN hyphen OR (code = 2 AND NOT map_error) THEN 'hyphen' WHEN (map_error AND code NOT IN (9, 10, 13, 32, 160)) OR code = 0 OR code BETWEEN 128 AND 159 THEN 'unmapped' WHEN code IN (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160) THEN 'space' WHEN code < 32 OR code = 127 OR code = 173 THEN 'invisible' ELSE 'ink' END AS kind FROM c WHERE code < 888""")
+@R.add(f"""WITH {_CODES} SELECT event_id, code, CASE WHEN generated THEN 'generated' WHEN hyphen OR (code = 2 AND NOT map_error) THEN 'hyphen' WHEN (map_error AND code NOT IN (9, 10, 13, 32, 160)) OR code = 0 OR code BETWEEN 128 AND 159 THEN 'unmapped' WHEN code IN (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160) THEN 'space' WHEN code < 32 OR code IN (127, 173, 888, 889, 896, 897, 898, 899, 907, 909, 930) THEN 'invisible' ELSE 'ink' END AS kind FROM c""")
 def char_kinds(spark, sf):
-    """What a drawn character is, in the order in which its facts decide. Codes whose assignment depends on the Unicode version are left aside."""
+    """What a drawn character is, in the order in which its facts decide."""
     e = F.col("event_id")
     c = table(spark, sf, "events").select("event_id", (e * 7919 % 1200).cast("int").alias("code"), (e % 11 == 0).alias("generated"), (e % 13 == 0).alias("hyphen"), (e % 17 == 0).alias("map_error"))
-    return c.where("code < 888").select("event_id", "code", verify.char_kind(F.col("code"), F.col("generated"), F.col("hyphen"), F.col("map_error")).alias("kind"))
+    return c.select("event_id", "code", verify.char_kind(F.col("code"), F.col("generated"), F.col("hyphen"), F.col("map_error")).alias("kind"))

@@ -110,13 +110,13 @@ def document_markdown(spark, sf):
 
 
 @R.add(f"""WITH {WORDS}, w AS (SELECT doc_id, page, sum(length(text)) AS chars, count(*) AS n FROM words GROUP BY 1, 2)
-    SELECT doc_id, page, chars::BIGINT AS chars, CASE WHEN n = 0 THEN 'none' WHEN page % 7 = 3 THEN 'partial' ELSE 'full' END AS text_layer, CASE WHEN chars < 50 THEN 'no_text' WHEN page % 11 = 5 THEN 'image_backed' ELSE 'born_digital' END AS page_class FROM w""")
+    SELECT doc_id, page, chars::BIGINT AS chars, CASE WHEN n = 0 THEN 'none' WHEN page % 7 = 3 THEN 'partial' ELSE 'full' END AS text_layer, CASE WHEN chars < 50 THEN 'no_text' WHEN page % 13 = 2 THEN 'ocr_layer' WHEN page % 11 = 5 THEN 'image_backed' ELSE 'born_digital' END AS page_class FROM w""")
 def page_classes(spark, sf):
-    """Every seventh page has an unmapped character, every eleventh an image over nearly all of it."""
+    """Every seventh page has an unmapped character, every eleventh an image over nearly all of it, every thirteenth as much invisible text."""
     from leafloom.operators import reader
 
     w = words(spark, sf).groupBy("doc_id", "page").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n"))
-    return w.select("doc_id", "page", F.col("chars").cast("long").alias("chars"), reader.text_layer(F.col("n"), F.when(F.col("page") % 7 == 3, 1).otherwise(0)).alias("text_layer"), reader.page_class(F.col("chars"), F.lit(0), F.when(F.col("page") % 11 == 5, 0.95).otherwise(0.0)).alias("page_class"))
+    return w.select("doc_id", "page", F.col("chars").cast("long").alias("chars"), reader.text_layer(F.col("n"), F.when(F.col("page") % 7 == 3, 1).otherwise(0)).alias("text_layer"), reader.page_class(F.col("chars"), F.when(F.col("page") % 13 == 2, F.col("chars")).otherwise(0), F.when(F.col("page") % 11 == 5, 0.95).otherwise(0.0)).alias("page_class"))
 
 
 @R.add(f"WITH {WORDS} SELECT doc_id, count(*) AS n_words, sum(CASE WHEN size >= 10 THEN length(text) ELSE 0 END)::BIGINT AS content_chars, sum(CASE WHEN size < 10 THEN length(text) ELSE 0 END)::BIGINT AS small_chars, sum(length(text))::BIGINT AS chars FROM words GROUP BY 1")

@@ -137,10 +137,13 @@ def uncovered_positions(spark, sf):
     return tables.uncovered(kept.withColumn("row_span", one))
 
 
-@R.add(f"{C} SELECT DISTINCT tbl, false AS layout FROM cells UNION ALL SELECT doc_id + 10000000000, true FROM documents")
+_VALUE = tk.value_pattern(tk.CODES).replace("'", "''")
+
+
+@R.add(f"""{C} SELECT DISTINCT tbl, false AS layout FROM cells UNION ALL SELECT doc_id + 10000000000, len(string_split(coalesce(text, ''), ' ')) >= 3 AND NOT regexp_full_match(trim(coalesce(text, '')), '{_VALUE}') FROM documents""")
 def ruled_layouts(spark, sf):
     """Tables, and frames around one column of running text."""
-    prose = table(spark, sf, "documents").select((F.col("doc_id") + 10_000_000_000).alias("tbl"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("col"), F.lit("words that run on").alias("text"))
+    prose = table(spark, sf, "documents").select((F.col("doc_id") + 10_000_000_000).alias("tbl"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("col"), F.coalesce("text", F.lit("")).alias("text"))
     return tables.running_text_columns(cells(spark, sf).unionByName(prose))
 
 

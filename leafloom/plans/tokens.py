@@ -166,9 +166,9 @@ def defining_openings(spark, sf):
     return part.select(F.explode(texts).alias("text")).distinct().select("text", tk.defines(F.split("text", " ")).alias("defines"))
 
 
-@R.add(r"""SELECT doc_id, regexp_replace(regexp_replace(t, '<([A-Za-z/!?])', '\\<\1', 'g'), '\|', '\\|', 'g') AS cell, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM (SELECT doc_id, '<b>' || substr(text, 1, 40) || '| a<3 & <!x' AS t FROM documents)""")
+@R.add(r"""SELECT doc_id, regexp_replace(regexp_replace(t, '<([A-Za-z/!?])', '\\<\1', 'g'), '\|', '\\|', 'g') AS cell, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM (SELECT doc_id, '<b>' || text || '| a<3 & <!x' AS t FROM documents)""")
 def markdown_escape(spark, sf):
-    t = F.concat(F.lit("<b>"), F.substring("text", 1, 40), F.lit("| a<3 & <!x"))
+    t = F.concat(F.lit("<b>"), "text", F.lit("| a<3 & <!x"))
     return table(spark, sf, "documents").select("doc_id", tk.escape_cell(t).alias("cell"), tk.escape_html(t).alias("html"))
 
 
