@@ -224,3 +224,85 @@ def char_class(c: Column) -> Column:
 def half(name: Column, item: Column, salt: str = "half") -> Column:
     """dev or test, by the first hex digit of a digest; the salt is a parameter."""
     return F.when(F.substring(F.sha2(F.concat_ws(":", F.lit(salt), name, item), 256), 1, 1).between("0", "7"), "dev").otherwise("test")
+
+
+# Fixed values of quoted terms.
+QUOTE_OPENS, QUOTE_CLOSES = "“\"‘'", "”\"’'"
+ALTERNATES = ["or", "and", "/"]
+QUOTED_WORDS, PARENTHESIS_WORDS = 12, 6
+
+
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(c, r"[.,:;]+\z", "")
+
+
+def _quoted_run(words: Column, start: Column) -> Column:
+    """The place after a quoted phrase that opens at ``start``, or 0."""
+    places = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), _bare(w).alias("t"))), lambda p: (p.i >= start) & (p.i < start + QUOTED_WORDS) & p.t.rlike(f"[{QUOTE_CLOSES}]\\z") & ((p.i > start) | (F.length(p.t) > 1)))
+    opens = F.coalesce(F.get(words, start), F.lit("")).rlike(f"^[{QUOTE_OPENS}]")
+    return F.when(opens & (F.size(places) > 0), F.get(places, 0).i + 1).otherwise(0)
+
+
+def quoted_term(words: Column) -> Column:
+    """How many of the first words are a quoted term: a phrase, its alternates, and one short parenthesis, with words after them; or 0. words: an array."""
+    n = F.size(words)
+    more = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), _quoted_run(words, F.lit(0)), lambda end, _: F.when((end > 0) & F.coalesce(F.get(words, end), F.lit("")).isin(ALTERNATES), F.greatest(end, _quoted_run(words, end + 1))).otherwise(end))
+
+    def closed(end: Column) -> Column:
+        places = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), _bare(w).alias("t"))), lambda p: (p.i >= end) & (p.i < end + PARENTHESIS_WORDS) & p.t.endswith(")"))
+        return F.when(F.coalesce(F.get(words, end), F.lit("")).startswith("(") & (F.size(places) > 0), F.get(places, 0).i + 1).otherwise(end)
+
+    end = F.aggregate(F.array(F.lit(0)), more, lambda e, _: closed(e))
+    return F.when((more > 0) & (end < n), end).otherwise(0)
+
+
+def glyph_stem(name: Column) -> Column:
+    return F.split_part(name, F.lit("."), F.lit(1))
+
+
+def glyph_reading(name: Column, font: Column, listed: Column, dingbat: Column) -> Column:
+    """What a glyph of a name of digits reads as: a dingbat's character or U+FFFD; null for names that tell of themselves. listed: whether the public glyph list has the stem; dingbat: the code that a table of dingbats has for it."""
+    blind = ~listed & full(glyph_stem(name), "a?[0-9]+")
+    return F.when(blind & font.contains("Dingbats") & dingbat.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(dingbat), 8, "0")), "UTF-32")).when(blind, "�")
+
+
+def slashed_names(text: Column) -> Column:
+    """The distinct names after slashes, as fonts' encodings and character sets list them."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"/([^\s/\[\]<>(){}%]+)"), 1))
+
+
+def differences_names(encoding: Column) -> Column:
+    body = F.regexp_extract(encoding, r"(?s)/Differences([^\]]*)", 1)
+    return slashed_names(body)
+
+
+def xml_chars(c: Column) -> Column:
+    """Without the characters that XML 1.0 forbids."""
+    return F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]", "")
+
+
+def join_surrogates(units: Column) -> Column:
+    """Code points of an array of UTF-16 units: a high and a low surrogate side by side are one, a lone one stays."""
+    high = lambda u: u.between(0xD800, 0xDBFF)
+    low = lambda u: u.between(0xDC00, 0xDFFF)
+    paired = F.transform(units, lambda u, i: F.when(high(u) & low(F.coalesce(F.get(units, i + 1), F.lit(0))), F.lit(0x10000) + (u - 0xD800) * 1024 + (F.get(units, i + 1) - 0xDC00)).when(low(u) & (i > 0) & high(F.coalesce(F.get(units, i - 1), F.lit(0))), F.lit(-1)).otherwise(u))
+    return F.filter(paired, lambda u: u >= 0)
+
+
+def scorable(units: Column) -> Column:
+    """The text of UTF-16 units as a UTF-8 reader has it: lone surrogates read U+FFFD."""
+    points = F.transform(join_surrogates(units), lambda u: F.when(u.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(u))
+    return F.array_join(F.transform(points, lambda u: F.decode(F.unhex(F.lpad(F.hex(u), 8, "0")), "UTF-32")), "")
+
+
+def compared(fold: bool):
+    """A function of columns: NFKC, without white space, and case-folded if asked. Unicode's normal forms are no built-in function, hence Arrow batches."""
+    import unicodedata
+
+    import pandas as pd
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else "".join((unicodedata.normalize("NFKC", t).casefold() if fold else unicodedata.normalize("NFKC", t)).split()))
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")

@@ -206,3 +206,18 @@ def warning_findings(warnings: DataFrame, most: int = 20) -> DataFrame:
     shown = ranked.where(F.col("n") <= most).select("doc_id", F.col("message").alias("detail"))
     rest = ranked.where(F.col("n") > most).groupBy("doc_id").agg(F.concat(F.count("*").cast("string"), F.lit(" more warnings")).alias("detail"))
     return shown.union(rest)
+
+
+def summaries(findings: DataFrame) -> DataFrame:
+    """doc_id, summary: ``code on page n``, comma-separated, in order. findings: doc_id, nth, code, page (or null)."""
+    said = F.when(F.col("page").isNull(), F.col("code")).otherwise(F.concat("code", F.lit(" on page "), F.col("page").cast("string")))
+    return findings.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", said.alias("s")))), lambda x: x.s), ", ").alias("summary"))
+
+
+def defect_summaries(defects: DataFrame, codes: list[str]) -> DataFrame:
+    """doc_id, summary: how many defects, and of each code, in the codes' order. defects: doc_id, code."""
+    place = F.array_position(F.array(*map(F.lit, codes)), F.col("code"))
+    each = defects.groupBy("doc_id", "code").agg(F.count("*").alias("n")).withColumn("place", place)
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(" ", "code", F.col("n").cast("string")).alias("s")))), lambda x: x.s), ", ")
+    total = F.sum("n")
+    return each.groupBy("doc_id").agg(F.concat(total.cast("string"), F.when(total == 1, " defect: ").otherwise(" defects: "), said).alias("summary"))
