@@ -34,8 +34,7 @@ SAMPLE = 12_000
 STEPS = 100
 STEPS_HELD = 15
 PULL = 1e-5
-CLOSE = 1e-4  # largest miss of a target that ends the fit, in parts of the total
-STILL = 1e-5  # largest move of a total in five steps that does, too: the targets can't be met any closer
+CLOSE = 1e-4  # largest miss of a target that ends the fit, in parts of the total; five steps that move no total further do, too
 
 #: Domains of the labelled table: documents of high quality, of low quality, and toxic ones.
 DOMAINS = ("high", "low", "toxic")
@@ -200,7 +199,7 @@ def fit_rates(featured: DataFrame, shares: tuple[float, ...], most: float | None
             steps.since = len(steps.moves)
         row = state.select("n_tokens", "p", "rate", "next").mapInArrow(totals, kind).agg(*(F.sum(c).alias(c) for c in kind.replace(" double", "").split(", "))).first()
         at, ahead = np.array(row[:kinds]), np.array(row[kinds:])
-        still = still + 1 if np.abs(at - before).max() <= STILL * tokens else 0
+        still = still + 1 if np.abs(at - before).max() <= CLOSE * tokens else 0
         before = at
         if t == STEPS or still == 5 or np.abs(at - target).max() <= CLOSE * tokens:
             break
