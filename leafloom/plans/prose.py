@@ -125,10 +125,24 @@ def ledger_totals(spark, sf):
     return words(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(F.when(F.col("size") >= 10, n).otherwise(0)).alias("content_chars"), F.sum(F.when(F.col("size") < 10, n).otherwise(0)).alias("small_chars"), F.sum(n).alias("chars"))
 
 
-@R.add("SELECT 'word_ids' AS rule, 0::BIGINT AS violations UNION ALL SELECT 'word_partition', 0 UNION ALL SELECT 'block_keys', 0 UNION ALL SELECT 'text_spelling', 0 UNION ALL SELECT 'region_containment', 0 UNION ALL SELECT 'text_shape', 0")
+_FIRST = "first AS (SELECT * FROM blocks WHERE block = 1), final AS (SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY block DESC) = 1)"
+
+
+@R.add(f"""{ALL}, {_FIRST}, held AS (SELECT DISTINCT doc_id FROM words) SELECT 'word_ids' AS rule, count(*) FILTER (doc_id % 10 = 1) AS violations FROM held UNION ALL SELECT 'block_keys', count(*) FILTER (doc_id % 10 IN (2, 3)) + (SELECT count(*) FROM blocks b JOIN first f ON b.doc_id = f.doc_id WHERE b.doc_id % 10 = 2 AND b.block > 1 AND starts_with(b.key, f.key || ':')) FROM first
+    UNION ALL SELECT 'text_spelling', count(*) FILTER (doc_id % 10 = 3) FROM first UNION ALL SELECT 'region_containment', count(*) FILTER (doc_id % 10 = 4) FROM held UNION ALL SELECT 'text_shape', count(*) FILTER (doc_id % 10 = 6) FROM first
+    UNION ALL SELECT 'word_partition', count(*) FROM words w JOIN final f ON w.doc_id = f.doc_id AND w.line BETWEEN f.first_line AND f.first_line + f.n_lines - 1 WHERE w.doc_id % 10 = 5""")
 def partition_violations(spark, sf):
-    """Counts of broken constraints of a valid document: all are 0."""
+    """Documents with one fault each, by their id: a jump in the word ids, a changed key (which moves its twins up), a changed text (of another key, too), a word moved off, the last block dropped, odd white space."""
+    from pyspark.sql import Window
+
     from leafloom.operators import checks
 
     w = words(spark, sf)
-    return checks.document_checks(w, prose.blocks(ts.prose_lines(w), w), ts.prose_lines(w))
+    b, lined = prose.blocks(ts.prose_lines(w), w), ts.prose_lines(w)
+    fault, first = F.col("doc_id") % 10, F.col("block") == 1
+    last = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("id"))) == 1
+    changed = w.withColumn("last", last).withColumn("id", F.when((fault == 1) & F.col("last"), F.col("id") + 1).otherwise(F.col("id"))).drop("last").withColumn("x0", F.when((fault == 4) & (F.col("id") == 0), F.lit(-1000.0)).otherwise(F.col("x0")))
+    text = F.when((fault == 6) & first, F.concat("text", F.lit("  "))).when((fault == 3) & first, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    final = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("block"))) == 1
+    b = b.withColumn("final", final).where(~((fault == 5) & F.col("final"))).drop("final").withColumn("key", F.when((fault == 2) & first, F.lit("other")).otherwise(F.col("key"))).withColumn("text", text)
+    return checks.document_checks(changed, b, lined)
