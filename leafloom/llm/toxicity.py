@@ -59,6 +59,9 @@ def fold(text: str) -> str:
     return IN_WORD.sub(lambda m: m[0].translate(LEET_TABLE), text)
 
 
+HELD = 50_000  # strings that a worker counts at once
+
+
 @dataclass
 class Training:
     rows: int = 12_000  # labelled rows that are learned from, at most
@@ -170,25 +173,29 @@ def learn(documents: DataFrame, labels: DataFrame, training: Training | None = N
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(t.rows)  # bounded by t.rows, so it may be broadcast
     sample = written(texts(documents).join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "toxicity-sample")
 
-    def counts(rows: DataFrame, of) -> DataFrame:
-        """x, n, n1: of the strings that ``of(text)`` gives, the rows and the toxic rows that have them."""
+    def counts(rows: DataFrame, of, name: str = "n") -> DataFrame:
+        """x, n: of the strings that ``of(text)`` gives, the rows that have them. A worker holds ``HELD`` of them at most."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            every: Counter = Counter()
-            toxic: Counter = Counter()
+            held: Counter = Counter()
             told = of()
+
+            def out() -> pa.RecordBatch:
+                found = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["x", "n"])
+                held.clear()
+                return found
+
             for b in batches:
-                for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    found = told(text)
-                    every.update(found)
-                    if y == 1:
-                        toxic.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[x] for x in every], pa.int64())], ["x", "n", "n1"])
+                for text in b.column(0):
+                    held.update(told(text.as_py()))
+                    if len(held) > HELD:
+                        yield out()
+            yield out()
 
-        return rows.mapInArrow(run, "x string, n long, n1 long").groupBy("x").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+        return rows.select("text").mapInArrow(run, "x string, n long").groupBy("x").agg(F.sum("n").alias(name))
 
-    found = counts(sample.where("toxic = 1"), lambda: lambda text: entries(text, t)).where(F.col("n1") >= t.seen)
-    toxic = {r.x: r.n1 for r in found.orderBy(F.desc("n1"), "x").limit(t.candidates).collect()}
+    found = counts(sample.where("toxic = 1"), lambda: lambda text: entries(text, t)).where(F.col("n") >= t.seen)
+    toxic = {r.x: r.n for r in found.orderBy(F.desc("n"), "x").limit(t.candidates).collect()}
     rows = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = rows.get(1, 0), sum(n for k, n in rows.items() if k != 1)
     if not n1 or not n0:
@@ -202,7 +209,7 @@ def learn(documents: DataFrame, labels: DataFrame, training: Training | None = N
         m = lexicon.matcher()
         return lambda text: phrases(text, m)
 
-    told = counts(sample, may_be).where((F.col("n") - F.col("n1") >= t.clean) & ((F.col("n") - F.col("n1")) * n1 >= F.col("n1") * n0))
+    told = counts(sample.where("toxic <> 1"), may_be, "n0").where(F.col("n0") >= t.clean).join(counts(sample.where("toxic = 1"), may_be, "n1"), "x", "left").where(F.col("n0") * n1 >= F.coalesce("n1", F.lit(0)) * n0)
     lexicon.exceptions = sorted({r.x for r in told.collect()} | {" ".join(fold(x).split()) for x in exceptions})  # fewer than there are hits in t.rows rows
 
     def densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
