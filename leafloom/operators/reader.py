@@ -153,7 +153,7 @@ def build_words(chars: DataFrame) -> DataFrame:
     )
 
 
-def extract_rules(paths: DataFrame) -> DataFrame:
+def extract_rules(paths: DataFrame, slant: float = SLANT, short: float = SHORT, thin: float = THIN) -> DataFrame:
     """doc_id, page, axis, at, start, end, thickness: straight strokes and thin rectangles; equal ones once, the thickest.
 
     paths: doc_id, page, kind ('line' or 'rect'), x0, y0, x1, y1, width, stroked, filled.
@@ -166,10 +166,10 @@ def extract_rules(paths: DataFrame) -> DataFrame:
     x0, y0, x1, y1, width = (F.col(c) for c in ("x0", "y0", "x1", "y1", "width"))
     mid_x, mid_y = (x0 + x1) / 2, (y0 + y1) / 2
     none = F.lit(None)
-    line = F.array(F.when((dy <= SLANT) & (dx >= SHORT), rule("h", mid_y, x0, x1, width)).when((dx <= SLANT) & (dy >= SHORT), rule("v", mid_x, y0, y1, width)))
-    thin = F.when((dy <= THIN) & (dx >= SHORT) & (dx >= dy), rule("h", mid_y, x0, x1, dy)).when((dx <= THIN) & (dy >= SHORT), rule("v", mid_x, y0, y1, dx))
+    line = F.array(F.when((dy <= slant) & (dx >= short), rule("h", mid_y, x0, x1, width)).when((dx <= slant) & (dy >= short), rule("v", mid_x, y0, y1, width)))
+    flat = F.when((dy <= thin) & (dx >= short) & (dx >= dy), rule("h", mid_y, x0, x1, dy)).when((dx <= thin) & (dy >= short), rule("v", mid_x, y0, y1, dx))
     edges = F.array(rule("h", y0, x0, x1, width), rule("h", y1, x0, x1, width), rule("v", x0, y0, y1, width), rule("v", x1, y0, y1, width))
-    found = F.when((F.col("kind") == "line") & F.col("stroked"), line).when((F.col("kind") == "rect") & thin.isNotNull(), F.array(thin)).when((F.col("kind") == "rect") & F.col("stroked"), edges).otherwise(none)
+    found = F.when((F.col("kind") == "line") & F.col("stroked"), line).when((F.col("kind") == "rect") & flat.isNotNull(), F.array(flat)).when((F.col("kind") == "rect") & F.col("stroked"), edges).otherwise(none)
     return paths.select("doc_id", "page", F.explode(F.filter(found, lambda r: r.isNotNull())).alias("r")).select("doc_id", "page", "r.*").groupBy("doc_id", "page", "axis", "at", "start", "end").agg(F.max("thickness").alias("thickness"))
 
 

@@ -20,13 +20,13 @@ def snapped(edges: Column, tolerance: float = SNAP) -> Column:
     return F.aggregate(F.array_sort(edges), start, lambda kept, e: F.when((F.size(kept) == 0) | (e - F.element_at(kept, -1) > tolerance), F.array_append(kept, e)).otherwise(kept))
 
 
-def merge_rules(rules: DataFrame) -> DataFrame:
+def merge_rules(rules: DataFrame, at: float = MERGE_AT, gap: float = MERGE_GAP) -> DataFrame:
     """tbl, axis, at, start, end: collinear pieces (by distance from a group's first) joined over small gaps."""
-    ats = rules.groupBy("tbl", "axis").agg(snapped(F.collect_set("at"), MERGE_AT).alias("firsts"))
+    ats = rules.groupBy("tbl", "axis").agg(snapped(F.collect_set("at"), at).alias("firsts"))
     grouped = rules.join(ats, ["tbl", "axis"]).withColumn("at0", F.array_max(F.filter("firsts", lambda a: a <= F.col("at"))))
     w = Window.partitionBy("tbl", "axis", "at0").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = grouped.withColumn("new", F.when(reach.isNull() | (F.round(F.col("start") - reach, 2) > MERGE_GAP), 1).otherwise(0))
+    islands = grouped.withColumn("new", F.when(reach.isNull() | (F.round(F.col("start") - reach, 2) > gap), 1).otherwise(0))
     islands = islands.withColumn("island", F.sum("new").over(w))
     return islands.groupBy("tbl", "axis", "at0", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("tbl", "axis", F.col("at0").alias("at"), "start", "end")
 

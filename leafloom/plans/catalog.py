@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafloom.plans import checks, formats, layout, pages, prose, readings, tables, tokens
+from leafloom.plans import checks, formats, layout, pages, prose, readings, tables, tokens, verify
 
 FLAGSHIP = "typed_blocks"
-_ALL = [prose.R, tokens.R, tables.R, pages.R, readings.R, formats.R, checks.R, layout.R]
+_ALL = [prose.R, tokens.R, tables.R, pages.R, readings.R, formats.R, checks.R, layout.R, verify.R]
 QUERIES = {name: q for r in _ALL for name, q in r.queries.items()}
 ORACLES = {name: s for r in _ALL for name, s in r.oracles.items()}

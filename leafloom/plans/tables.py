@@ -168,4 +168,5 @@ def verify_vrule(spark, sf):
     w = words(spark, sf).withColumn("col", F.when(F.col("col") < 2, F.lit(0)).otherwise(F.col("col")).cast("long"))
     c = w.groupBy("tbl", "row", "col").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     drawn = c.where("tbl % 4 = 1").groupBy("tbl").agg(F.min("y0").alias("start"), F.max("y1").alias("end")).select("tbl", F.lit("v").alias("axis"), F.lit(180.0).alias("at"), "start", "end")
-    return verify.cuts(c, drawn, w)
+    points = w.select("tbl", "row", "col", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    return verify.cuts(c, drawn, points).drop("axis")
