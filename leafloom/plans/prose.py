@@ -79,21 +79,41 @@ def block_regions(spark, sf):
 _MASKED = r"""list_transform(string_split(text, ' '), lambda t: regexp_replace(t, '[0-9]+', '#', 'g'))"""
 
 
-@R.add(f"""WITH {WORDS}, {LINES}, pages AS (SELECT DISTINCT doc_id, page, source FROM words JOIN documents USING (doc_id)),
-    every AS (SELECT doc_id, page, text, top, bottom FROM lines UNION ALL SELECT doc_id, page, concat('source ', source, ' guide'), 40.0, 50.0 FROM pages UNION ALL SELECT doc_id, page, concat('Page ', page), 760.0, 770.0 FROM pages),
-    extent AS (SELECT doc_id, page, min(top) AS low, max(bottom) AS high FROM every GROUP BY 1, 2), n AS (SELECT doc_id, count(*) AS pages FROM extent GROUP BY 1),
-    masked AS (SELECT e.*, {_MASKED} AS m, CASE WHEN (top + bottom) / 2 <= low + 0.1::DOUBLE * (high - low) THEN 'top' WHEN (top + bottom) / 2 >= high - 0.1::DOUBLE * (high - low) THEN 'bottom' END AS place FROM every e JOIN extent USING (doc_id, page)),
+#: SQL of the furniture among lines ``every`` (doc_id, page, line, text, top, bottom, x0, x1, parts, tabled).
+FURNITURE = f"""n AS (SELECT doc_id, greatest(2, ceil(0.4::DOUBLE * count(DISTINCT page))) AS need, count(DISTINCT page) AS pages FROM every GROUP BY 1),
+    extent AS (SELECT *, (top + bottom) / 2 AS middle, (x0 + x1) / 2 AS xm, min(top) OVER p AS low, max(bottom) OVER p AS high FROM every WINDOW p AS (PARTITION BY doc_id, page)),
+    masked AS (SELECT *, {_MASKED} AS m, CASE WHEN middle <= low + 0.1::DOUBLE * (high - low) THEN 'top' WHEN middle >= high - 0.1::DOUBLE * (high - low) THEN 'bottom' END AS place FROM extent),
     number AS (SELECT *, list_transform(m, lambda t: t = '#' OR (length(t) BETWEEN 1 AND 6 AND regexp_full_match(t, '{tk.ROMAN}'))) AS num, list_transform(m, lambda t: regexp_matches(t, '\\p{{L}}') AND NOT (length(t) BETWEEN 1 AND 6 AND regexp_full_match(t, '{tk.ROMAN}'))) AS wordy FROM masked),
     keyed AS (SELECT *, CASE WHEN NOT list_contains(wordy, true) THEN array_to_string(list_transform(m, lambda t: CASE WHEN length(t) BETWEEN 1 AND 6 AND regexp_full_match(t, '{tk.ROMAN}') THEN '#' ELSE t END), ' ')
         WHEN len(list_filter(m, lambda t: regexp_matches(t, '\\p{{L}}{{3}}'))) > 0 THEN array_to_string(m[list_position(num, false):len(m) - list_position(list_reverse(num), false) + 1], ' ') ELSE array_to_string(m, ' ') END AS key FROM number),
-    again AS (SELECT doc_id, key FROM keyed JOIN n USING (doc_id) WHERE place IS NOT NULL GROUP BY doc_id, key, pages HAVING count(DISTINCT page) >= greatest(2, ceil(0.4::DOUBLE * pages)) AND pages >= 2)
-    SELECT doc_id, page, key, CASE WHEN NOT regexp_matches(key, '\\p{{L}}') THEN 'page_number' WHEN (top + bottom) / 2 < 396 THEN 'header' ELSE 'footer' END AS role, text FROM keyed JOIN again USING (doc_id, key)""")
-def furniture_lines(spark, sf):
+    stacks AS (SELECT *, place IS NOT NULL AND (coalesce(abs(lag(x0) OVER a - x0) <= 3, false) OR coalesce(abs(lead(x0) OVER a - x0) <= 3, false) OR coalesce(abs(lag(x1) OVER b - x1) <= 3, false) OR coalesce(abs(lead(x1) OVER b - x1) <= 3, false) OR coalesce(abs(lag(xm) OVER c - xm) <= 3, false) OR coalesce(abs(lead(xm) OVER c - xm) <= 3, false)) AS stacked, place IS NOT NULL AND parts >= 3 AS shaped
+        FROM keyed WINDOW a AS (PARTITION BY doc_id, page, place, key ORDER BY x0, line), b AS (PARTITION BY doc_id, page, place, key ORDER BY x1, line), c AS (PARTITION BY doc_id, page, place, key ORDER BY xm, line)),
+    based AS (SELECT *, place IS NOT NULL AND NOT shaped AND NOT tabled AND NOT stacked AS base, place IS NOT NULL AND shaped AND NOT tabled AND NOT stacked AND count(*) FILTER (shaped) OVER g = 1 AND middle = CASE WHEN place = 'top' THEN min(middle) OVER g ELSE max(middle) OVER g END AS outer_part FROM stacks WINDOW g AS (PARTITION BY doc_id, page, place)),
+    cand AS (SELECT *, base AND CASE WHEN place = 'top' THEN coalesce(min(CASE WHEN NOT (base OR outer_part) THEN middle END) OVER p >= top, true) ELSE coalesce(max(CASE WHEN NOT (base OR outer_part) THEN middle END) OVER p <= bottom, true) END AS candidate FROM based WINDOW p AS (PARTITION BY doc_id, page)),
+    again AS (SELECT doc_id, key, need FROM cand JOIN n USING (doc_id) WHERE candidate AND pages >= 2 GROUP BY doc_id, key, need HAVING count(DISTINCT page) >= need),
+    bare AS (SELECT *, greatest(len(list_distinct(list(page) OVER a)), len(list_distinct(list(page) OVER b)), len(list_distinct(list(page) OVER c))) >= need AS columned FROM cand JOIN again USING (doc_id, key) WHERE candidate AND NOT regexp_matches(key, '\\p{{L}}')
+        WINDOW a AS (PARTITION BY doc_id, key ORDER BY x0 RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING), b AS (PARTITION BY doc_id, key ORDER BY x1 RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING), c AS (PARTITION BY doc_id, key ORDER BY xm RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+    found AS (SELECT doc_id, page, line, key, text, middle FROM bare WHERE columned UNION ALL SELECT doc_id, page, line, key, text, middle FROM cand JOIN again USING (doc_id, key) WHERE regexp_matches(key, '\\p{{L}}') AND NOT tabled)
+    SELECT doc_id, page, line, key, CASE WHEN NOT regexp_matches(key, '\\p{{L}}') THEN 'page_number' WHEN middle < 396 THEN 'header' ELSE 'footer' END AS role, text FROM found"""
+
+_PARTS = """cutting AS (SELECT doc_id, page, line, count(*) FILTER (c) + 1 AS parts FROM (SELECT *, x0 - lag(x1) OVER w > greatest(size, lag(size) OVER w) AS c FROM words WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY id)) GROUP BY 1, 2, 3)"""
+
+
+def with_furniture(spark, sf):
+    """The typeset lines, and a running head and foot on each page."""
     documents = table(spark, sf, "documents")
     w = ts.prose_words(documents)
-    columns = ["doc_id", "page", "text", "top", "bottom"]
-    every = ts.prose_lines(w).select(*columns).union(ts.furniture_lines(documents, w).select(*columns))
-    return furniture.find_furniture(every.withColumn("page_height", F.lit(ts.PAGE_HEIGHT)))
+    parts = prose.fragments(w).groupBy("doc_id", "page", "line").agg(F.count("*").alias("parts"))
+    columns = ["doc_id", "page", "line", "text", "top", "bottom", "x0", "x1", "parts"]
+    head = ts.furniture_lines(documents, w).withColumn("line", F.when(F.col("place") == "top", -2).otherwise(-1).cast("long")).withColumn("parts", F.lit(1).cast("long"))
+    every = ts.prose_lines(w).join(parts, ["doc_id", "page", "line"]).select(*columns).union(head.select(*columns))
+    return every.withColumn("tabled", F.lit(False)).withColumn("page_height", F.lit(ts.PAGE_HEIGHT))
+
+
+@R.add(f"""WITH {WORDS}, {LINES}, {_PARTS}, pages AS (SELECT DISTINCT doc_id, page, source FROM words JOIN documents USING (doc_id)),
+    every AS (SELECT doc_id, page, line, text, top, bottom, x0, x1, parts, false AS tabled FROM lines JOIN cutting USING (doc_id, page, line) UNION ALL SELECT doc_id, page, -2, concat('source ', source, ' guide'), 40.0, 50.0, 72.0, 72.0 + 5 * length(concat('source ', source, ' guide')), 1, false FROM pages UNION ALL SELECT doc_id, page, -1, concat('Page ', page), 760.0, 770.0, 72.0, 72.0 + 5 * length(concat('Page ', page)), 1, false FROM pages), {FURNITURE}""")
+def furniture_lines(spark, sf):
+    return furniture.find_furniture(with_furniture(spark, sf))
 
 
 @R.add(f"""{ALL}, t AS (SELECT *, regexp_replace(text, '<([A-Za-z/!?])', '\\\\<\\1', 'g') AS esc FROM blocks),
