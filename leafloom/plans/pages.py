@@ -223,13 +223,13 @@ def metric_harmonic_macro(spark, sf):
     return m.select("tool", F.round(scoring.harmonic(F.col("p"), F.col("r")), 8).alias("f"), F.round(scoring.macro(F.col("p"), F.col("r")), 8).alias("macro"))
 
 
-_DRAWS = """d AS (SELECT doc_id AS i, toxic AS num, 1 AS den FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, toxic FROM labels)), n AS (SELECT count(*) AS n FROM d),
-    s AS (SELECT draw, slot, ('0x' || sha256('20260928:' || draw || ':' || slot)[1:8])::BIGINT % n AS i FROM n, range(200) a(draw), LATERAL (SELECT unnest(range(0, n)) AS slot) z), v AS (SELECT draw, sum(num) / sum(den) AS value FROM s JOIN d USING (i) GROUP BY 1)"""
+_DRAWS = """d AS (SELECT doc_id AS i, toxic AS num, 1 AS den FROM (SELECT row_number() OVER (ORDER BY doc_id, toxic) - 1 AS doc_id, toxic FROM labels)), n AS (SELECT count(*) AS n FROM d),
+    s AS (SELECT draw, slot, ('0x' || sha256('20260928:' || draw || ':' || slot)[1:8])::BIGINT % n AS i FROM n, range(10000) a(draw), LATERAL (SELECT unnest(range(0, n)) AS slot) z), v AS (SELECT draw, sum(num) / sum(den) AS value FROM s JOIN d USING (i) GROUP BY 1)"""
 
 
 def _drawn(spark, sf):
-    counts = table(spark, sf, "labels").select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("i"), F.col("toxic").alias("num"), F.lit(1).alias("den"))
-    return scoring.bootstrap(counts, 200)
+    counts = scoring.dense_index(table(spark, sf, "labels").withColumn("k", F.struct("doc_id", "toxic")), "k").select("i", F.col("toxic").alias("num"), F.lit(1).alias("den"))
+    return scoring.bootstrap(counts, 10_000)
 
 
 @R.add(f"WITH {_DRAWS} SELECT draw, round(value, 8) AS value FROM v")
