@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,5 +28,36 @@ class Registry:
         return held
 
 
+def reachable(spark: SparkSession) -> None:
+    """Python workers started from now on find this package, wherever the driver was started."""
+    root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in held.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        held["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(spark: SparkSession, sf_dir: str, rows: list, kind: str) -> DataFrame:
+    """doc and the columns of ``kind``: each part's key has the row of its remainder."""
+    from pyspark.sql import functions as F
+
+    held = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"variant long, {kind}")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), (F.col("p_partkey") % len(rows)).alias("variant"))
+    return parts.join(F.broadcast(held), "variant").drop("variant")
+
+
+def values(rows: list) -> str:
+    """SQL rows of Python values."""
+
+    def shown(x) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, str):
+            return "'" + x.replace("'", "''") + "'"
+        return str(x).lower() if isinstance(x, bool) else str(x)
+
+    return ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows)
