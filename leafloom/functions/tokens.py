@@ -76,8 +76,8 @@ def well_shaped(c: Column) -> Column:
     return ~c.rlike(r"(?U)^[ \n]|[ \n]\z|[\s&&[^ \n]]|\s\s")
 
 
-def is_bullet(c: Column) -> Column:
-    return c.isin(BULLETS)
+def is_bullet(c: Column, bullets: tuple[str, ...] = tuple(BULLETS)) -> Column:
+    return c.isin(*bullets)
 
 
 def enumerator(c: Column) -> Column:

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from leafloom.functions import tokens as tk
 
 
-def document_markdown(blocks: DataFrame) -> DataFrame:
-    """doc_id, markdown: each block in the form of its kind, parted by blank lines."""
+def document_markdown(blocks: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """doc_id, markdown: each block in the form of its kind, parted by blank lines; furniture is left out. tables: doc_id, block, form, the blocks that are tables as pipe tables or as HTML."""
+    blocks = blocks.where("kind <> 'furniture'")
+    held = blocks.join(tables, ["doc_id", "block"], "left") if tables is not None else blocks.withColumn("form", F.lit(None).cast("string"))
+    blocks = held.withColumnRenamed("form", "whole")
     level = F.dense_rank().over(Window.partitionBy("doc_id", F.col("kind") == "heading").orderBy(F.desc(F.round(F.col("size") * 2) / 2)))
     esc = tk.escape_tags(F.col("text"))
     b = blocks.withColumn("level", F.least(level, F.lit(6))).withColumn("esc", esc)
     b = b.withColumn("rest", tk.escape_opening(F.when(F.col("esc").contains(" "), F.expr("substr(esc, instr(esc, ' ') + 1)")).otherwise("")))
     after = F.when(F.col("rest") == "", "").otherwise(F.concat(F.lit(" "), F.col("rest")))
     form = (
-        F.when(F.col("kind") == "heading", F.concat(F.expr("repeat('#', level)"), F.lit(" "), F.col("esc")))
+        F.when(F.col("whole").isNotNull(), F.col("whole"))
+        .when(F.col("kind") == "heading", F.concat(F.expr("repeat('#', level)"), F.lit(" "), F.col("esc")))
         .when(F.col("kind") == "footnote", F.concat(F.lit("[^"), F.col("label"), F.lit("]:"), after))
         .when((F.col("kind") == "list_item") & tk.is_bullet(F.col("label")), F.concat(F.lit("-"), after))
         .when(F.col("kind") == "list_item", F.col("esc"))
@@ -66,3 +70,21 @@ def table_html(cells: DataFrame, header_rows: int = 1) -> DataFrame:
     rows = placed.withColumn("s", cell).groupBy("tbl", "row").agg(F.concat(F.lit("<tr>"), _joined(F.collect_list(F.struct("col", "s")), ""), F.lit("</tr>")).alias("s"))
     rows = rows.withColumn("s", F.concat(F.when((F.col("row") == 0) & F.lit(header_rows > 0), "<thead>").otherwise(""), F.when(F.col("row") == header_rows, "<tbody>").otherwise(""), F.col("s"), F.when(F.col("row") == header_rows - 1, "</thead>").otherwise("")))
     return rows.groupBy("tbl").agg(F.concat(F.lit("<table>"), _joined(F.collect_list(F.struct("row", "s")), ""), F.when(F.max("row") >= header_rows, "</tbody>").otherwise(""), F.lit("</table>")).alias("html"))
+
+
+def inspector_html(pages: DataFrame, words: DataFrame, blocks: DataFrame, findings: DataFrame) -> DataFrame:
+    """doc_id, html: of each page its words and blocks as boxes, and below it the blocks' texts and what was found.
+
+    pages: doc_id, page, width, height; words: doc_id, page, id, x0, y0, x1, y1, text; blocks: doc_id, page, block, kind, x0, y0, x1,
+    y1, text; findings: doc_id, page, code, detail.
+    """
+    s = lambda c: F.col(c).cast("string")
+    box = lambda name: F.concat(F.lit(f'<rect class="{name}" x="'), s("x0"), F.lit('" y="'), s("y0"), F.lit('" width="'), F.round(F.col("x1") - F.col("x0"), 2).cast("string"), F.lit('" height="'), F.round(F.col("y1") - F.col("y0"), 2).cast("string"), F.lit('"><title>'), tk.escape_html(F.col("text")), F.lit("</title></rect>"))
+    part = lambda d, order, shown, name: d.groupBy("doc_id", "page").agg(_joined(F.collect_list(F.struct(*order, shown.alias("s"))), "").alias(name))
+    drawn = part(words, ["id"], box("word"), "words").join(part(blocks, ["block"], box("block"), "boxes"), ["doc_id", "page"], "full")
+    card = F.concat(F.lit('<div class="card"><b>b'), s("block"), F.lit(" "), "kind", F.lit("</b> "), tk.escape_html(F.col("text")), F.lit("</div>"))
+    told = F.concat(F.lit('<div class="finding"><b>'), "code", F.lit("</b> "), tk.escape_html(F.col("detail")), F.lit("</div>"))
+    d = pages.join(drawn, ["doc_id", "page"], "left").join(part(blocks, ["block"], card, "cards"), ["doc_id", "page"], "left").join(part(findings, ["code", "detail"], told, "found"), ["doc_id", "page"], "left")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    sheet = F.concat(F.lit('<section><svg viewBox="0 0 '), s("width"), F.lit(" "), s("height"), F.lit('">'), blank("words"), blank("boxes"), F.lit("</svg>"), blank("cards"), blank("found"), F.lit("</section>"))
+    return d.groupBy("doc_id").agg(F.concat(F.lit("<!DOCTYPE html><html><body>"), _joined(F.collect_list(F.struct("page", sheet.alias("s"))), ""), F.lit("</body></html>")).alias("html"))

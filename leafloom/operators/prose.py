@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafloom.config import Lexicon, Profile
 from leafloom.functions import tokens as tk
 
-# The default tolerances.
-FRAGMENT_GAP_EM, GAP_RATIO, GAP_FLOOR, SIZE_CHANGE = 1.0, 1.75, 2.0, 0.1
-HEADING_SIZE, HEADING_WORDS, HEADING_LINES, FOOTNOTE_SIZE, MIN_GAPS = 1.1, 15, 2, 0.9, 4
+MIN_GAPS = 4  # fixed value
 
 
-def fragments(words: DataFrame) -> DataFrame:
+def fragments(words: DataFrame, profile: Profile | None = None) -> DataFrame:
     """doc_id, page, line, fragment, x0, x1, n_words, text: a line cut where a gap exceeds one em of the larger size beside it."""
     w = Window.partitionBy("doc_id", "page", "line").orderBy("id")
     gap = F.col("x0") - F.lag("x1").over(w)
-    cut = F.when(gap > FRAGMENT_GAP_EM * F.greatest("size", F.lag("size").over(w)), 1).otherwise(0)
+    cut = F.when(gap > (profile or Profile()).fragment_gap_em * F.greatest("size", F.lag("size").over(w)), 1).otherwise(0)
     numbered = words.withColumn("cut", cut).withColumn("fragment", F.sum("cut").over(w).cast("long"))
     tokens = F.array_sort(F.collect_list(F.struct("id", "text")))
     return numbered.groupBy("doc_id", "page", "line", "fragment").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count("*").alias("n_words"), F.array_join(F.transform(tokens, lambda t: t.text), " ").alias("text"))
@@ -43,8 +42,9 @@ def heading_levels(blocks: DataFrame) -> DataFrame:
     return heads
 
 
-def blocks(lines: DataFrame, words: DataFrame) -> DataFrame:
+def blocks(lines: DataFrame, words: DataFrame, profile: Profile | None = None, lexicon: Lexicon | None = None) -> DataFrame:
     """doc_id, page, block, kind, label, size, n_lines, n_words, first_line, x0, x1, top, bottom, text, key."""
+    p, bullet = profile or Profile(), lambda c: tk.is_bullet(c, (lexicon or Lexicon()).bullets)
     gaps = line_gaps(lines)
     own = gaps.where("size is not null").select("doc_id", F.col("size").alias("half"), F.col("gap").alias("own_gap"))
     every = gaps.where("size is null").select("doc_id", F.col("gap").alias("any_gap"))
@@ -54,11 +54,11 @@ def blocks(lines: DataFrame, words: DataFrame) -> DataFrame:
     placed = placed.join(own, ["doc_id", "half"], "left").join(every, "doc_id", "left").withColumn("lead", F.coalesce("own_gap", "any_gap", F.lit(0.0)))
     prev = lambda c: F.lag(c).over(w)
     runs_on = ~prev("last").rlike(r"[.:;?!]\z") & F.col("first").rlike(r"^\p{Ll}")
-    opens = tk.is_bullet(F.col("first")) | tk.full(F.col("first"), tk.ENUMERATOR)
+    opens = bullet(F.col("first")) | tk.full(F.col("first"), tk.ENUMERATOR)
     breaks = (
         prev("line").isNull()
-        | ((F.round(F.col("top") - prev("bottom"), 2) > F.greatest(GAP_RATIO * prev("lead"), F.lit(GAP_FLOOR))) & ~runs_on)
-        | (F.abs(F.col("size") - prev("size")) > SIZE_CHANGE * prev("size"))
+        | ((F.round(F.col("top") - prev("bottom"), 2) > F.greatest(p.paragraph_gap_ratio * prev("lead"), F.lit(p.paragraph_gap_floor))) & ~runs_on)
+        | (F.abs(F.col("size") - prev("size")) > p.size_change_ratio * prev("size"))
         | (F.col("bold") != prev("bold"))
         | opens
     )
@@ -74,8 +74,8 @@ def blocks(lines: DataFrame, words: DataFrame) -> DataFrame:
         F.min_by("opens", "line").alias("opens"), F.bool_and("bold").alias("bold"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part"))), lambda p: p.part), "").alias("text"),
     ).join(body_size(words), "doc_id")
-    label = F.when((F.col("size") <= FOOTNOTE_SIZE * F.col("body")) & tk.note_label(F.col("first")).isNotNull() & (tk.strip_label(F.col("first")) != ""), tk.strip_label(F.col("first")))
-    heading = (F.col("n_lines") <= HEADING_LINES) & (F.col("n_words") <= HEADING_WORDS) & ~tk.is_bullet(F.col("first")) & ~F.col("last").rlike(r"[.;,]\z") & ((F.col("size") >= HEADING_SIZE * F.col("body")) | F.col("bold"))
+    label = F.when((F.col("size") <= p.footnote_size_ratio * F.col("body")) & tk.note_label(F.col("first")).isNotNull() & (tk.strip_label(F.col("first")) != ""), tk.strip_label(F.col("first")))
+    heading = (F.col("n_lines") <= p.heading_max_lines) & (F.col("n_words") <= p.heading_max_words) & ~bullet(F.col("first")) & ~F.col("last").rlike(r"[.;,]\z") & ((F.col("size") >= p.heading_size_ratio * F.col("body")) | F.col("bold"))
     kind = F.when(label.isNotNull(), "footnote").when(heading, "heading").when(F.col("opens"), "list_item").otherwise("paragraph")
     g = g.withColumn("kind", kind).withColumn("label", F.when(F.col("kind") == "footnote", label).when(F.col("kind") == "list_item", F.col("first")))
     g = g.withColumn("key0", tk.content_key(F.col("kind"), F.col("text")))

@@ -8,6 +8,7 @@ from leafloom.functions import tokens as tk
 from leafloom.operators import furniture, prose
 from leafloom.plans.registry import Registry, table
 from leafloom.sources import typeset as ts
+from leafloom.sources.stored import stored
 
 R = Registry()
 WORDS, LINES = ts.PROSE_WORDS_SQL, ts.PROSE_LINES_SQL
@@ -18,12 +19,17 @@ def words(spark, sf):
     return ts.prose_words(table(spark, sf, "documents"))
 
 
+def page_model(spark, sf):
+    """The words, stored: what follows takes them several times."""
+    return stored(words(spark, sf))
+
+
 def lines(spark, sf):
     return ts.prose_lines(words(spark, sf))
 
 
 def blocks(spark, sf):
-    w = words(spark, sf)
+    w = page_model(spark, sf)
     return prose.blocks(ts.prose_lines(w), w)
 
 
@@ -51,7 +57,7 @@ def body_size(spark, sf):
 
 @R.add(f"{ALL} SELECT doc_id, half AS size, own_gap AS gap FROM gap_own UNION ALL SELECT doc_id, NULL, any_gap FROM gap_any")
 def line_gap_quartile(spark, sf):
-    return prose.line_gaps(lines(spark, sf))
+    return prose.line_gaps(ts.prose_lines(page_model(spark, sf)))
 
 
 @R.add(f"{ALL} SELECT doc_id, page, block, kind, label, size, n_lines, n_words, first_line, text, key FROM blocks")
@@ -102,7 +108,7 @@ _PARTS = """cutting AS (SELECT doc_id, page, line, count(*) FILTER (c) + 1 AS pa
 def with_furniture(spark, sf):
     """The typeset lines, and a running head and foot on each page."""
     documents = table(spark, sf, "documents")
-    w = ts.prose_words(documents)
+    w = page_model(spark, sf)
     parts = prose.fragments(w).groupBy("doc_id", "page", "line").agg(F.count("*").alias("parts"))
     columns = ["doc_id", "page", "line", "text", "top", "bottom", "x0", "x1", "parts"]
     head = ts.furniture_lines(documents, w).withColumn("line", F.when(F.col("place") == "top", -2).otherwise(-1).cast("long")).withColumn("parts", F.lit(1).cast("long"))
@@ -157,7 +163,7 @@ def partition_violations(spark, sf):
 
     from leafloom.operators import checks
 
-    w = words(spark, sf)
+    w = page_model(spark, sf)
     b, lined = prose.blocks(ts.prose_lines(w), w), ts.prose_lines(w)
     fault, first = F.col("doc_id") % 10, F.col("block") == 1
     last = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("id"))) == 1
@@ -166,3 +172,45 @@ def partition_violations(spark, sf):
     final = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("block"))) == 1
     b = b.withColumn("final", final).where(~((fault == 5) & F.col("final"))).drop("final").withColumn("key", F.when((fault == 2) & first, F.lit("other")).otherwise(F.col("key"))).withColumn("text", text)
     return checks.document_checks(changed, b, lined)
+
+
+def assembled(spark, sf):
+    """Documents put together from the boxes of their words alone, running heads and feet among them."""
+    from leafloom.operators import assemble
+
+    documents = table(spark, sf, "documents")
+    w = page_model(spark, sf)
+    edge = ts.furniture_lines(documents, w)
+    k = F.posexplode(F.split("text", " ")).alias("k", "word")
+    more = edge.select("doc_id", "page", "place", "x0", "top", k)
+    far = F.when(F.col("place") == "top", 1_000_000).otherwise(2_000_000) + 1000 * F.col("page") + F.col("k")
+    x = F.col("x0") + 60 * F.col("k")
+    columns = ["doc_id", "page", "id", "x0", "y0", "x1", "y1", "text", "size", "bold"]
+    added = more.select("doc_id", "page", far.cast("long").alias("id"), x.alias("x0"), F.col("top").alias("y0"), (x + 55).alias("x1"), (F.col("top") + 10).alias("y1"), F.col("word").alias("text"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"))
+    every = w.select(*columns).union(added)
+    pages = w.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(ts.PAGE_HEIGHT).alias("height"), F.lit(1).alias("invisible"), F.lit(2).alias("clipped"), F.lit(0).alias("overprinted"))
+    return assemble.assemble(every, pages)
+
+
+@R.add(f"""WITH {WORDS}, {LINES}, pages AS (SELECT DISTINCT doc_id, page, source FROM words JOIN documents USING (doc_id)),
+    h AS (SELECT doc_id, count(*) AS pages, sum(length(replace(concat('source ', source, ' guide'), ' ', '')) + length(concat('Page', page))) AS edge FROM pages GROUP BY 1), t AS (SELECT doc_id, sum(length(text)) AS chars FROM words GROUP BY 1)
+    SELECT doc_id, pages::BIGINT AS invisible_chars, (pages * 2)::BIGINT AS clipped_chars, (chars + edge)::BIGINT AS chars FROM h JOIN t USING (doc_id)""")
+def assembled_ledger(spark, sf):
+    """Every character of every page is content or furniture."""
+    d = assembled(spark, sf).ledger
+    return d.select("doc_id", "invisible_chars", "clipped_chars", (F.col("content_chars") + F.col("furniture_chars")).alias("chars"))
+
+
+@R.add(f"""WITH {WORDS}, pages AS (SELECT doc_id, max(page) AS pages FROM words GROUP BY 1), n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM words GROUP BY 1) SELECT doc_id, pages AS heads, pages AS feet FROM n WHERE pages >= 2""")
+def assembled_furniture(spark, sf):
+    """Each document of two pages or more has its head and foot on every page."""
+    b = assembled(spark, sf).blocks.where("kind = 'furniture'")
+    return b.groupBy("doc_id").agg(F.count_if(F.col("text").rlike("^source .* guide$")).alias("heads"), F.count_if(F.col("text").rlike("^Page [0-9]+$")).alias("feet"))
+
+
+@R.add("""SELECT p_partkey AS doc_id, p_size % 4 <> 0 AS complete FROM part""")
+def complete_documents(spark, sf):
+    from leafloom.operators import assemble
+
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("s"))
+    return assemble.complete(p.select("doc_id"), p.select("doc_id", F.when(F.col("s") % 4 == 0, "error").otherwise("warning").alias("severity")))

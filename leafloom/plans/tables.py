@@ -170,3 +170,33 @@ def verify_vrule(spark, sf):
     drawn = c.where("tbl % 4 = 1").groupBy("tbl").agg(F.min("y0").alias("start"), F.max("y1").alias("end")).select("tbl", F.lit("v").alias("axis"), F.lit(180.0).alias("at"), "start", "end")
     points = w.select("tbl", "row", "col", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
     return verify.cuts(c, drawn, points).drop("axis")
+
+
+def _tabled(spark, sf, forms):
+    """A heading, the table and a running foot of each order, as blocks."""
+    t = cells(spark, sf).select(F.col("tbl").alias("doc_id")).distinct()
+    one = lambda n, kind, text: t.select("doc_id", F.lit(n).cast("long").alias("block"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("label"), F.lit(10.0).alias("size"), text.alias("text"))
+    blocks = one(1, "heading", F.concat(F.lit("Order "), F.col("doc_id").cast("string"))).union(one(2, "table", F.lit(""))).union(one(3, "furniture", F.lit("Page 1")))
+    return export.document_markdown(blocks, forms.select(F.col("tbl").alias("doc_id"), F.lit(2).cast("long").alias("block"), F.col(forms.columns[1]).alias("form")))
+
+
+@R.add(f"""WITH m AS ({R.oracles["table_markdown"]}) SELECT tbl AS doc_id, '# Order ' || tbl || chr(10) || chr(10) || markdown || chr(10) AS markdown FROM m""")
+def markdown_with_tables(spark, sf):
+    """Documents with a pipe table; the running foot is left out."""
+    return _tabled(spark, sf, export.table_markdown(spanned(spark, sf)))
+
+
+@R.add(f"""WITH m AS ({R.oracles["table_html"]}) SELECT tbl AS doc_id, '# Order ' || tbl || chr(10) || chr(10) || html || chr(10) AS markdown FROM m""")
+def markdown_with_html(spark, sf):
+    """The same with tables as HTML."""
+    return _tabled(spark, sf, export.table_html(spanned(spark, sf), 2))
+
+
+@R.add("""SELECT o_orderkey AS doc_id, '<!DOCTYPE html><html><body><section><svg viewBox="0 0 612 792"><rect class="word" x="1.0" y="2.0" width="10.0" height="8.0"><title>w&lt;' || o_orderkey || '</title></rect><rect class="block" x="0.0" y="0.0" width="50.0" height="20.0"><title>a &amp; b</title></rect></svg><div class="card"><b>b1 paragraph</b> a &amp; b</div>' || CASE WHEN o_custkey % 2 = 0 THEN '<div class="finding"><b>hidden_text</b> 3 characters</div>' ELSE '' END || '</section></body></html>' AS html FROM orders""")
+def inspector_pages(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("o_custkey").alias("c"))
+    box = [F.lit(float(v)).alias(n) for v, n in zip((0, 0, 50, 20), ("x0", "y0", "x1", "y1"), strict=True)]
+    words = o.select("doc_id", "page", F.lit(0).alias("id"), *(F.lit(float(v)).alias(n) for v, n in zip((1, 2, 11, 10), ("x0", "y0", "x1", "y1"), strict=True)), F.concat(F.lit("w<"), F.col("doc_id").cast("string")).alias("text"))
+    blocks = o.select("doc_id", "page", F.lit(1).alias("block"), F.lit("paragraph").alias("kind"), *box, F.lit("a & b").alias("text"))
+    findings = o.where("c % 2 = 0").select("doc_id", "page", F.lit("hidden_text").alias("code"), F.lit("3 characters").alias("detail"))
+    return export.inspector_html(o.select("doc_id", "page", F.lit(612).alias("width"), F.lit(792).alias("height")), words, blocks, findings)
