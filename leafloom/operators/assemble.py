@@ -38,6 +38,7 @@ def assemble(words: DataFrame, pages: DataFrame, profile: Profile | None = None,
     frames of the document are made of them.
     """
     p = profile or Profile()
+    words = words.select("doc_id", "page", "id", "x0", "y0", "x1", "y1", "text", "size", "bold", *(c for c in ("superscript", "horizontal") if c in words.columns))
     found = layout.page_regions(words, prose.body_size(words), p)
     order = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page", "region", "line"))
     lined = stored(words.join(found.select("doc_id", "page", "id", "place", (order - 1).cast("long").alias("line")), ["doc_id", "page", "id"]))

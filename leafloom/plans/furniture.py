@@ -10,7 +10,6 @@ from leafloom.plans.prose import FURNITURE
 from leafloom.plans.registry import Registry, table
 
 R = Registry()
-P, S = F.col("p_partkey"), F.col("p_size")
 
 #: Lines of a page by what the customer's key is: (line, which customers, text, top, x0, width, parts, whether the table holds it)
 _LINES = [
@@ -55,6 +54,7 @@ def long_without_furniture(spark, sf):
 @R.add("""SELECT p_partkey AS doc_id, g.page, g.line FROM part, (VALUES (1, 0), (1, 1), (2, 0), (2, 1)) g(page, line) WHERE p_size % 5 <> 0 AND NOT (p_size % 3 = 0 AND line = 0) AND NOT (p_size % 4 = 0 AND line = 0)""")
 def tabled_lines(spark, sf):
     """Two lines over a grid of two by two cells; a word beside it in the first line at every third size, a blank cell in the second at every fourth, the same box on both pages at every fifth."""
+    P, S = F.col("p_partkey"), F.col("p_size")
     i = F.explode(F.array(*(F.struct(F.lit(p).alias("page"), F.lit(l).alias("line"), F.lit(k).alias("k")) for p in (1, 2) for l in (0, 1) for k in (0, 1, 2))))  # noqa: E741
     w = table(spark, sf, "part").select(P.alias("doc_id"), S.alias("s"), i.alias("i")).select("doc_id", "s", "i.*")
     w = w.where(((F.col("k") < 2) | ((F.col("line") == 0) & (F.col("s") % 3 == 0))) & ~((F.col("s") % 4 == 0) & (F.col("line") == 1) & (F.col("k") == 1)))
@@ -90,6 +90,7 @@ _HEADS = [
 )
 def one_page_furniture(spark, sf):
     """Documents of one page: a first line that is or isn't set apart, four lines of text, and a page number."""
+    P = F.col("p_partkey")
     part = lambda x, t: F.struct(F.lit(float(x)).alias("x0"), F.lit(x + 40.0).alias("x1"), F.lit(t).alias("text"))
     line = lambda n, top, high, size, parts, tabled=False: F.struct(F.lit(n).cast("long").alias("line"), F.lit(float(top)).alias("top"), F.lit(float(top + high)).alias("bottom"), F.lit(size).alias("size"), F.array(*(part(72 + 100 * i, t) for i, t in enumerate(parts))).alias("parts"), F.lit(tabled).alias("tabled"))
     heads = F.array(*(line(0, top, 10.0, size, parts, tabled) for parts, size, top, tabled, _ in _HEADS))

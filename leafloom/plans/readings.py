@@ -9,7 +9,6 @@ from leafloom.operators import reader
 from leafloom.plans.registry import Registry, table
 
 R = Registry()
-P, S, K = F.col("p_partkey"), F.col("p_size"), F.col("l_partkey")
 
 
 def part(spark, sf):
@@ -21,6 +20,7 @@ def part(spark, sf):
     FROM (SELECT *, l_partkey % 50 AS a0, l_partkey % 50 + l_quantity AS a1, l_suppkey % 60 AS b0, l_suppkey % 60 + 5 AS b1, l_suppkey % 80 AS v, 10 + l_partkey % 3 AS x1, 5 + l_suppkey % 2 AS y1, l_linenumber AS n, 1 - (l_partkey % 3)::DOUBLE / 1000 AS dx, (l_suppkey % 4)::DOUBLE / 2000 AS dy FROM lineitem)""")
 def intervals(spark, sf):
     """Half-open intervals, boxes without extent, and directions."""
+    K = F.col("l_partkey")
     d = table(spark, sf, "lineitem")
     s, n = F.col("l_suppkey"), F.col("l_linenumber")
     a0, a1, b0, b1, v = K % 50, K % 50 + F.col("l_quantity"), s % 60, s % 60 + 5, s % 80
@@ -31,6 +31,7 @@ def intervals(spark, sf):
 @R.add("""SELECT p_partkey AS id, e - s AS long, CASE WHEN axis = 'h' THEN s ELSE "at" - t / 2 END AS x0, CASE WHEN axis = 'h' THEN "at" - t / 2 ELSE s END AS y0, CASE WHEN axis = 'h' THEN e ELSE "at" + t / 2 END AS x1, CASE WHEN axis = 'h' THEN "at" + t / 2 ELSE e END AS y1
     FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'h' ELSE 'v' END AS axis, (p_partkey % 500)::DOUBLE AS "at", (p_size)::DOUBLE AS s, (p_size * 3)::DOUBLE AS e, (p_size % 4)::DOUBLE / 2 AS t FROM part)""")
 def rule_boxes(spark, sf):
+    P, S = F.col("p_partkey"), F.col("p_size")
     at, s, e, t = ((P % 500).cast("double"), S.cast("double"), (S * 3).cast("double"), (S % 4).cast("double") / 2)
     box = geo.rule_rect(F.when(S % 2 == 0, "h").otherwise("v"), at, s, e, t)
     return part(spark, sf).select(P.alias("id"), geo.rule_length(s, e).alias("long"), *(c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)))
@@ -41,6 +42,7 @@ def rule_boxes(spark, sf):
     SELECT id, r AS rotation, sx, sy, CASE WHEN r = 0 THEN x + l ELSE sx END AS ix, CASE WHEN r = 0 THEN t - y WHEN r = 180 THEN 792 - sy ELSE 612 - sy END AS iy, true AS back FROM s""")
 def page_frames(spark, sf):
     """A page of 612 by 792: the frame that displays, that of a table competition, and back."""
+    P, S = F.col("p_partkey"), F.col("p_size")
     r, x, y = (S % 4 * 90).cast("int"), (P % 600).cast("double"), (P % 700).cast("double")
     left, top, w, h = F.when(S % 4 == 0, 10.0).otherwise(0.0), F.lit(792.0), F.lit(612.0), F.lit(792.0)
     sx, sy = geo.turn_point(r, x, y, w, h)
@@ -53,6 +55,7 @@ def page_frames(spark, sf):
     m AS (SELECT id, r, greatest(c0, 0) AS x0, greatest(100 - c3, 0) AS y0, least(c2, 60) AS x1, least(100 - c1, 100) AS y1 FROM b)
     SELECT id, CASE WHEN x1 > x0 AND y1 > y0 THEN x0 END AS x0, CASE WHEN x1 > x0 AND y1 > y0 THEN y0 END AS y0, CASE WHEN x1 > x0 AND y1 > y0 THEN x1 END AS x1, CASE WHEN x1 > x0 AND y1 > y0 THEN y1 END AS y1, (round_even((r % 360) / 90, 0)::INT % 4) * 90 AS rotation FROM m""")
 def page_boxes(spark, sf):
+    P, S = F.col("p_partkey"), F.col("p_size")
     crop = tuple(c.cast("double") for c in (S - 10, P % 30 - 5, S + P % 80, P % 30 + S * 2))
     box = geo.page_box(crop, tuple(map(F.lit, (0.0, 0.0, 60.0, 100.0))))
     return part(spark, sf).select(P.alias("id"), *(c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)), geo.quarter(P * 37 % 1000).alias("rotation"))
@@ -62,6 +65,7 @@ def page_boxes(spark, sf):
     p AS (SELECT o_orderkey AS doc_id, unnest([0, 1, 2]) AS page FROM orders), c AS (SELECT *, least(x1, 100) - greatest(x0, 0) AS w, least(y1, 80) - greatest(y0, 0) AS h FROM p LEFT JOIN i USING (doc_id, page))
     SELECT doc_id, page, round(least(1.0, coalesce(sum(CASE WHEN w > 0 AND h > 0 THEN w * h ELSE 0 END), 0) / 8000), 9) AS ratio FROM c GROUP BY 1, 2""")
 def image_ratios(spark, sf):
+    K = F.col("l_partkey")
     d = table(spark, sf, "lineitem").where("l_linenumber < 6")
     x, y, q = K % 130 - 20, F.col("l_suppkey") % 110 - 20, F.col("l_quantity")
     images = d.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3).alias("page"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + q).cast("double").alias("x1"), (y + q).cast("double").alias("y1"))
@@ -78,6 +82,7 @@ _TURNED = """w AS (SELECT p_size AS doc_id, p_partkey % 3 AS page, p_partkey AS
     CASE WHEN NOT turned THEN x1 WHEN r = 90 THEN 792 - y0 WHEN r = 180 THEN 612 - x0 ELSE y1 END AS x1, CASE WHEN NOT turned THEN y1 WHEN r = 90 THEN x1 WHEN r = 180 THEN 792 - y0 ELSE 612 - x0 END AS y1 FROM t""")
 def upright_pages(spark, sf):
     """Turned pages, most of whose text is upright as they display."""
+    P, S = F.col("p_partkey"), F.col("p_size")
     level = (P + S) % (2 + S % 3) != 0
     words = part(spark, sf).select(S.alias("doc_id"), (P % 3).alias("page"), P.alias("id"), F.col("p_name").alias("text"), level.alias("horizontal"), ((P % 7 == 0) & ~level).alias("diagonal"), (P % 500).cast("double").alias("x0"), (P % 700).cast("double").alias("y0"), (P % 500 + 40).cast("double").alias("x1"), (P % 700 + 10).cast("double").alias("y1"))
     pages = words.select("doc_id", "page").distinct().select("doc_id", "page", (F.col("doc_id") % 4 * 90).alias("rotation"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
@@ -87,6 +92,7 @@ def upright_pages(spark, sf):
 @R.add("""SELECT p_partkey AS span, false AS clipped FROM part UNION ALL SELECT p_partkey + 100000000, true FROM part WHERE p_size % 4 = 1 AND p_partkey % 2 = 1 UNION ALL SELECT p_partkey + 200000000, true FROM part WHERE p_size % 5 = 1""")
 def clip_copies(spark, sf):
     """Spans, clipped unseen copies of every fourth size's (moved off for odd keys), and clipped copies that are seen."""
+    P, S = F.col("p_partkey"), F.col("p_size")
     def spans(add: int, clipped: bool, alpha: int, move):
         chars = F.transform(F.split("p_name", ""), lambda c, i: F.struct(c.alias("c"), (P % 100 + i * 5 + move).cast("double").alias("x0"), F.lit(1.0).alias("y0"), (P % 100 + i * 5 + 5 + move).cast("double").alias("x1"), F.lit(9.0).alias("y1")))
         return part(spark, sf).select((P % 9).alias("doc_id"), S.alias("page"), (P + add).alias("span"), F.lit(clipped).alias("clipped"), F.lit(alpha).alias("alpha"), chars.alias("chars"), S.alias("size"))
@@ -98,6 +104,7 @@ def clip_copies(spark, sf):
 @R.add("""SELECT p_partkey * 10 + i AS id, CASE WHEN p_size % 7 = 0 OR p_size % 11 = 0 THEN true ELSE i IN (0, 3) END AS kept FROM part, range(5) t(i)""")
 def words_read_once(spark, sf):
     """Each word five times, moved by 0, 0.5, 1, 1.5 and 2 points at 10 points of size: the second and third are copies of the first, the last of the fourth. Type 3 and unmapped words stay."""
+    P, S = F.col("p_partkey"), F.col("p_size")
     i = F.explode(F.array(*map(F.lit, range(5))))
     w = part(spark, sf).select(P.alias("doc_id"), F.lit(1).alias("page"), i.alias("i"), F.when(S % 11 == 0, F.concat("p_name", F.lit("�"))).otherwise(F.col("p_name")).alias("text"), (S % 7 == 0).alias("type3"))
     x = F.col("i") * 0.5
@@ -116,6 +123,7 @@ def page_char_counts(spark, sf):
 
 @R.add("""SELECT p_partkey AS span, p_size % 5 = 0 OR font LIKE '%bold%' AS bold, p_size % 6 = 0 OR font LIKE '%italic%' OR font LIKE '%oblique%' AS italic FROM (SELECT *, lower('ABC+' || p_brand || ['-Bold', '-Italic', 'Oblique', '-BOLDItalic', ''][p_partkey % 5 + 1]) AS font FROM part)""")
 def span_styles(spark, sf):
+    P, S = F.col("p_partkey"), F.col("p_size")
     font = F.concat(F.lit("ABC+"), "p_brand", F.element_at(F.array(*map(F.lit, ("-Bold", "-Italic", "Oblique", "-BOLDItalic", ""))), (P % 5 + 1).cast("int")))
     bold, italic = reader.styles(font, S % 5 == 0, S % 6 == 0)
     return part(spark, sf).select(P.alias("span"), bold.alias("bold"), italic.alias("italic"))
@@ -124,6 +132,7 @@ def span_styles(spark, sf):
 @R.add("""SELECT p_partkey AS id, least(0, (p_size % 4)::DOUBLE / 4) AS x0, 0.0::DOUBLE AS y0, 50.0::DOUBLE AS x1, 9.0::DOUBLE AS y1 FROM part WHERE p_size % 4 < 3""")
 def quad_rectangles(spark, sf):
     """Four corners, one of them up to three quarters of a point off."""
+    P, S = F.col("p_partkey"), F.col("p_size")
     off = (S % 4).cast("double") / 4
     points = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((F.lit(0.0), F.lit(0.0)), (F.lit(50.0), F.lit(0.0)), (off, F.lit(9.0)), (F.lit(50.0), F.lit(9.0)))))
     return reader.quad_boxes(part(spark, sf).select(P.alias("id"), points.alias("points"))).drop("points")
@@ -163,6 +172,7 @@ def scored_documents(spark, sf):
 
 @R.add("""WITH f AS (SELECT p_partkey AS doc_id, 1 AS page, p_size % 9 = 0 AS failed, p_size % 8 AS type3 FROM part) SELECT doc_id, page, 'unreadable_page' AS code, 'error' AS severity FROM f WHERE failed UNION ALL SELECT doc_id, page, 'type3_font', 'warning' FROM f WHERE type3 > 0""")
 def font_findings(spark, sf):
+    P, S = F.col("p_partkey"), F.col("p_size")
     one, none = F.lit(1), F.lit(0)
     facts = part(spark, sf).select(P.alias("doc_id"), one.alias("page"), one.alias("words"), none.alias("unmapped"), none.alias("hidden_chars"), one.alias("visible_chars"), none.alias("clipped"), none.alias("overprinted"), F.lit(0.0).alias("image_ratio"), (S % 9 == 0).alias("failed"), (S % 8).alias("type3"))
     return reader.page_findings(facts)
