@@ -177,3 +177,46 @@ def walled_pieces(spark, sf):
     words = w.select("*", x.alias("x0"), F.lit(0.0).alias("y0"), (x + 20).alias("x1"), F.lit(10.0).alias("y1"), F.lit(10.0).alias("size"))
     walls = table(spark, sf, "part").select(P.alias("doc_id"), F.lit(1).alias("page"), F.lit(56.0).alias("at"), F.lit(0.0).alias("start"), F.when(S % 3 == 0, 10.0).otherwise(4.0).alias("end"))
     return grids.walled(words, walls).select("doc_id", "id", "piece")
+
+
+def _roles(text: str) -> list:
+    """Cells from rows of texts: ``*`` bold, ``^`` two rows high, ``$`` a value."""
+    return [(r, c, 2 if "^" in t else 1, t != "", "$" in t, "*" in t) for r, row in enumerate(text.split("/")) for c, t in enumerate(row.split(","))]
+
+
+#: (cells, rows, header rows, banners, whether there is no value)
+_ROLES = [
+    (_roles("a,b/c,$"), 2, 1, "", False),
+    (_roles("title,/a,b/c,$"), 3, 2, "0", False),
+    (_roles("a,b/part,/c,$"), 3, 1, "1", False),
+    (_roles("$,b/c,$"), 2, 0, "", False),
+    (_roles("*a,*b/c,d"), 2, 1, "", True),
+    (_roles("a,b/c,d"), 2, 0, "", True),
+    (_roles("a^,b/,c$/d,$"), 3, 2, "", False),
+]
+
+
+@R.add(f"SELECT p_partkey AS doc, r.header::BIGINT AS header, r.banners, r.text_only FROM part JOIN (VALUES {values([(i, *x[2:]) for i, x in enumerate(_ROLES)])}) r(i, header, banners, text_only) ON p_partkey % {len(_ROLES)} = r.i")
+def table_roles(spark, sf):
+    """Header rows, banners, bold first rows and header cells that reach down."""
+    d = dealt(spark, sf, [x[:2] for x in _ROLES], "cells array<struct<row:int,col:int,rows:int,filled:boolean,valued:boolean,bold:boolean>>, n int")
+    r = grids.table_roles("cells", "n")
+    return d.select("doc", r.alias("r")).select("doc", "r.header", F.array_join("r.banners", ",").alias("banners"), "r.text_only")
+
+
+@R.add("""SELECT p_partkey AS doc, p_size % 5 < 2 AS bars FROM part""")
+def bar_charts(spark, sf):
+    """Four bars upward and four to the left, each with its number; with a wrong number, with two numbers, and one over another."""
+    P, S = F.col("p_partkey"), F.col("p_size")
+    kind = S % 5
+    fills, labels = [], []
+    for i in range(4):
+        long, x = 20.0 + 15 * i, 30.0 * i
+        up = kind != 1
+        pick = lambda a, b, up=up: F.when(up, F.lit(float(a))).otherwise(F.lit(float(b)))
+        shift = F.when((kind == 4) & F.lit(i == 3), -25.0).otherwise(0.0)
+        fills.append(F.struct((pick(x, 200 - long) + shift).alias("x0"), pick(100 - long, x).alias("y0"), (pick(x + 10, 200) + shift).alias("x1"), pick(100, x + 10).alias("y1")))
+        value = F.when((kind == 2) & F.lit(i == 3), 1.0).otherwise(long * 10)
+        labels.append(F.struct((pick(x + 2, 190 - long) + shift).alias("x0"), pick(90 - long, x + 2).alias("y0"), (pick(x + 8, 196 - long) + shift).alias("x1"), pick(98 - long, x + 8).alias("y1"), F.lit(8.0).alias("size"), value.alias("number")))
+    extra = F.struct(F.lit(2.0).alias("x0"), F.lit(85.0).alias("y0"), F.lit(8.0).alias("x1"), F.lit(93.0).alias("y1"), F.lit(8.0).alias("size"), F.when(kind == 3, 7.0).alias("number"))
+    return table(spark, sf, "part").select(P.alias("doc"), grids.has_bars(F.array(*fills), F.array(*labels, extra)).alias("bars"))
