@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -191,3 +193,41 @@ def differing(ours: DataFrame, theirs: DataFrame, tolerance: float = 1e-9) -> Da
     both = ours.select("name", F.col("value").alias("ours")).join(theirs.select("name", F.col("value").alias("theirs")), "name", "full")
     one = F.col("ours").isNull() != F.col("theirs").isNull()
     return both.where(one | (F.abs(F.col("ours") - F.col("theirs")) > tolerance))
+
+
+@dataclass(frozen=True)
+class Metric:
+    """What a report tells of a tool: a name, how it is made, and of which counts (num and den; num, a and b for dice) or, for harmonic and macro, of which metrics."""
+
+    name: str
+    kind: str  # pooled, mean_of, dice, harmonic or macro
+    of: tuple[str, ...]
+
+
+#: The report's metrics over a document's counts.
+CATALOGUE = (
+    Metric("structure_precision", "pooled", ("str_correct", "str_detected")),
+    Metric("structure_recall", "pooled", ("str_correct", "str_gt")),
+    Metric("structure_f", "harmonic", ("structure_precision", "structure_recall")),
+    Metric("region_precision", "pooled", ("reg_correct", "reg_detected")),
+    Metric("region_recall", "pooled", ("reg_correct", "reg_gt")),
+    Metric("region_f", "harmonic", ("region_precision", "region_recall")),
+    Metric("bound", "pooled", ("bound", "paths")),
+    Metric("leaf_bound", "pooled", ("leaf", "paths")),
+    Metric("value_recall", "pooled", ("value", "paths")),
+    Metric("topology", "dice", ("top", "pred", "gt")),
+    Metric("cell_error", "pooled", ("errors", "chars")),
+    Metric("seconds_per_page", "mean_of", ("seconds", "pages")),
+    Metric("mean_f", "macro", ("structure_f", "region_f")),
+)
+
+
+def report(counts: DataFrame, by: list[str], metrics: tuple[Metric, ...] = CATALOGUE) -> DataFrame:
+    """The columns of ``by``, documents, and each metric: one aggregate over each of their combinations. counts: a row a document, with ``by`` and the counts."""
+    made = {"pooled": pooled, "mean_of": mean_of, "dice": dice}
+    plain = [m for m in metrics if m.kind in made]
+    out = counts.cube(*by).agg(F.grouping_id().alias("level"), F.count("*").alias("documents"), *(made[m.kind](*m.of).alias(m.name) for m in plain))
+    for m in metrics:
+        if m.kind not in made:
+            out = out.withColumn(m.name, (harmonic if m.kind == "harmonic" else macro)(*(F.col(c) for c in m.of)))
+    return out.select(*by, "level", "documents", *(m.name for m in metrics))

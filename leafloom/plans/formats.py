@@ -299,3 +299,13 @@ _CODES = ["lost", "doubled", "value", "order"]
 def defect_summaries(spark, sf):
     code = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("event_id") % 4 + 1).cast("int"))
     return reader.defect_summaries(table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), code.alias("code")), _CODES)
+
+
+@R.add("""SELECT '/in/' || p_partkey || '.pdf' AS path, p_partkey || '.pdf' AS name, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE length(p_name) + CASE p_size % 4 WHEN 3 THEN 5 ELSE 0 END END::BIGINT AS bytes, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN sha256('') WHEN 2 THEN sha256(p_name) ELSE sha256('%PDF-' || p_name) END AS sha256, CASE p_size % 4 WHEN 0 THEN 'no bytes' WHEN 1 THEN 'empty' WHEN 2 THEN 'not a PDF' END AS problem FROM part""")
+def file_sources(spark, sf):
+    """Files' bytes: none, empty, of another kind, and a document's."""
+    from leafloom.sources import files
+
+    P, S = F.col("p_partkey"), F.col("p_size")
+    held = F.when(S % 4 == 1, "").when(S % 4 == 2, F.col("p_name")).when(S % 4 == 3, F.concat(F.lit("%PDF-"), "p_name"))
+    return files.sources(table(spark, sf, "part").select(F.concat(F.lit("/in/"), text(P), F.lit(".pdf")).alias("path"), held.cast("binary").alias("content")))

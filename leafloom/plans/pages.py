@@ -134,6 +134,18 @@ def footnote_asof(spark, sf):
     return links.resolve(sites, notes).select("doc", F.col("site.order").alias("ord"), "label", F.coalesce("note", F.lit(-1)).alias("note"))
 
 
+@R.add(f"""WITH {_SITES}, {_NOTES}, printed AS (SELECT doc, label, count(*) AS printed FROM notes GROUP BY 1, 2),
+    a AS (SELECT s.doc, s.ord, s.page, s.label, min(n.ord) AS note, arg_min(n.page, n.ord) AS note_page FROM (SELECT DISTINCT doc, ord, page, label FROM sites) s JOIN notes n ON n.doc = s.doc AND n.label = s.label AND n.ord > s.ord AND n.page >= s.page GROUP BY ALL)
+    SELECT DISTINCT doc, ord, label, coalesce(CASE WHEN printed = 1 OR note_page <= greatest(page, page + ord % 4 - 1) + 1 THEN note END, -1) AS note FROM sites LEFT JOIN a USING (doc, ord, page, label) LEFT JOIN printed USING (doc, label)""")
+def chained_calls(spark, sf):
+    """Calls in tables that go on over up to two pages more: their notes may follow the last of them."""
+    k = F.col("l_partkey")
+    page = F.floor(k / 100)
+    sites = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 100).alias("doc"), k.alias("order"), page.alias("page"), (page + k % 4 - 1).alias("through"), (F.col("l_suppkey") % 40).cast("string").alias("label")).distinct().withColumn("site", F.struct("order", "label"))
+    notes = table(spark, sf, "part").select((F.col("p_partkey") % 100).alias("doc"), F.col("p_partkey").alias("order"), F.floor(F.col("p_partkey") / 100).alias("page"), (F.col("p_size") % 40).cast("string").alias("label"))
+    return links.resolve(sites, notes).select("doc", F.col("site.order").alias("ord"), "label", F.coalesce("note", F.lit(-1)).alias("note"))
+
+
 @R.add("""WITH b AS (SELECT l_orderkey AS doc, l_linenumber AS n, l_suppkey % 9 + 1 AS k, l_partkey % 9 + 1 AS j, l_partkey FROM lineitem), d AS (SELECT DISTINCT doc, n, k, j FROM b)
     SELECT doc, n * 100 + k * 10 + j AS ord, k::VARCHAR AS label, length('Fee ')::BIGINT AS at, NULL::VARCHAR AS reason FROM d WHERE doc % 10 = k UNION ALL
     SELECT doc, n * 100 + k * 10 + j, j::VARCHAR, length('Fee (' || k || ') and of ')::BIGINT, 'function-word' FROM d WHERE doc % 10 = j""")
