@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -47,8 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the shared folder."""
-    return f"{shared_dir(spark)}/leafloom-{name}-{uuid.uuid4().hex}"
+    """A new path for a written table in the shared folder. It goes when the driver ends: until then lazy results may read it."""
+    path = f"{shared_dir(spark)}/leafloom-{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table, if the session still runs."""
+    if spark.sparkContext._jsc is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

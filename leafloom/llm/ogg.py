@@ -6,7 +6,7 @@ again from the lacing values (over page borders), the logical streams are demult
 come from the granule positions. A damaged page raises ``OggError``.
 
 Defined results: a null text is an empty one, of which the payload is 64 zero bytes; equal texts give equal media; other
-columns are ignored. A worker holds one medium at a time.
+columns are ignored. A worker holds the media of 16 MB of texts at a time, or one medium.
 """
 
 from __future__ import annotations

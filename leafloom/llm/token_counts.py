@@ -5,8 +5,9 @@ file and kind, is the key of a stored table of counts. Documents are joined with
 that miss are encoded, and their counts are appended. A second call over the same or overlapping data encodes nothing
 that was counted before; a changed tokenizer file has another digest and never meets old counts.
 
-The cache is a Parquet folder in shared storage. Appends are atomic per job; a row that was appended twice (a job that was
-run again) is the same row, so readers take one per key.
+The cache is a Parquet folder in shared storage, parted by tokenizer digest, so that other versions' counts aren't read. A
+reader beside an append may miss its counts, and encodes these contents again; a row that was appended twice is the same row,
+so readers take one per key. A content that very many rows have is no key of the last join: its count is broadcast.
 
 Defined results: a null text counts as an empty one (0 bytes, 0 tokens); equal contents share one count; rows with a null
 or repeated id are each answered; other columns of the input are ignored; an empty table gives an empty result.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafloom.llm.bpe import codec
-from leafloom.llm.common import scratch, slices
+from leafloom.llm.common import beside, scratch, slices, written
 
 CACHE = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField("content", T.StringType()), T.StructField("n_tokens", T.LongType())])
 #: Single characters that fold to a blank where a tokenizer drops white space; changing one for another changes no count.
@@ -94,6 +95,7 @@ def count_tokens(df: DataFrame, tokenizer: str, cache: str | None = None, limit:
                 n = count(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), part.column(0), pa.array(n, pa.int64())], ["tokenizer", "content", "n_tokens"])
 
+    facts = written(keyed.drop("text"), "contents")
     misses = keyed.select("content", "text").join(stored().select("content"), "content", "left_anti").dropDuplicates(["content"])
-    misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
-    return keyed.drop("text").join(stored(), "content", "left").select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    misses.mapInArrow(encode, CACHE).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    return beside(facts, stored(), "content").select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
