@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafloom.llm import ann, bpe, chat, extract, mixing, ngram_join, ogg, pii, token_counts, toxicity
+from leafloom.llm import ann, bpe, chat, extract, language, mixing, ngram_join, ogg, pii, repair, resample, token_counts, toxicity
 from leafloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -64,7 +64,19 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_ngram_join, op3_mixing, op4_nearest, op5_ogg_media, op6_toxicity, op7_chat_format, op8_pii_spans, op9_token_counts, op10_bpe_round_trip)}
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.conversation_digests(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_ngram_join, op3_mixing, op4_nearest, op5_ogg_media, op6_toxicity, op7_chat_format, op8_pii_spans, op9_token_counts, op10_bpe_round_trip, op11_language, op12_resample, op13_repair)}
 
 _TURNS = f"""(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL VALUES (-1, 0, 'user', '{HOSTILE}'), (-1, 1, 'assistant', '{HOSTILE}'))"""
