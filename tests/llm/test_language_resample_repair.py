@@ -263,10 +263,10 @@ def test_long_conversations_are_held_in_part():
 
 
 def test_awkward_conversations(spark):
-    rows = [(None, None, None, None), (None, 1, "user", "a."), (1, None, "user", "b."), (1, None, "user", "b."), (1, 3, "", "c"), (2, 5, "system", "x" * 100_000), (2, 5, "assistant", "y."), (3, 0, "user", None), *((4, i, "user", "same.") for i in range(400)), *((9, 7, "user", "hot.") for _ in range(300)), *((k, 0, "user", "z.") for k in range(50, 90))]
+    rows = [(None, None, None, None), (None, 1, "user", "a."), (1, None, "user", "b."), (1, None, "user", "b."), (1, 3, "", "c"), (2, 5, "system", "x" * 100_000), (2, 5, "assistant", "y."), (3, 0, "user", None), *((4, i, "user", "same.") for i in range(400)), *((9, 7, "user", "hot.") for _ in range(300)), *((k, 0, "user", "z.") for k in range(50, 150))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("cost", F.lit("x")).withColumn("seen", F.lit(1)).repartition(3)
     found = repair.conversation_digests(repair.repair(repair.damage(df))).collect()
-    assert {r.conv_id: tuple(r)[1:] for r in found} == plain_digests(rows) and len(found) == 5 + 1 + 40
+    assert {r.conv_id: tuple(r)[1:] for r in found} == plain_digests(rows) and len(found) == 6 + 100
     assert any(r.audit == "" and r.repaired_sha256 == hashlib.sha256(b"").hexdigest() for r in found)
     assert repair.conversation_digests(repair.repair(df.drop("cost", "seen").limit(0))).count() == 0
 
