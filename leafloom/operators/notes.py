@@ -162,14 +162,14 @@ def calls_in(blocks: DataFrame, register: DataFrame) -> DataFrame:
 
 
 def call_links(sites: DataFrame, notes_: DataFrame) -> DataFrame:
-    """doc, order, cell, label, method, page, status, note: one link for each label that a block or cell calls by a method, rejected, resolved or unresolved. sites: as of ``calls_in``; notes_: doc, label, order, page."""
+    """doc, order, cell, label, method, page, status, note, reason: one link for each label that a block or cell calls by a method, rejected, resolved or unresolved. sites: as of ``calls_in``; notes_: doc, label, order, page."""
     once = sites.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "order", "cell", "label", "method", "reason").orderBy("page"))).where("nth = 1").drop("nth")
-    s = once.withColumn("site", F.struct("order", "cell", "method", "reason", "page"))
+    s = once.withColumn("site", F.struct("order", "cell", "label", "method", "reason", "page"))
     open_ = s.where("reason is null").select("doc", "site", "order", "page", "label")
     found = links.resolve(open_, notes_).select("doc", "site", "label", "note")
     out = s.join(found, ["doc", "site", "label"], "left")
     status = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("note").isNull(), "unresolved").otherwise("resolved")
-    return out.select("doc", "order", "cell", "label", "method", "page", status.alias("status"), "note")
+    return out.select("doc", "order", "cell", "label", "method", "page", status.alias("status"), "note", "reason")
 
 
 def unresolved(calls: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def heading_levels(blocks: DataFrame) -> DataFrame:
 
 
 def blocks(lines: DataFrame, words: DataFrame, profile: Profile | None = None, lexicon: Lexicon | None = None) -> DataFrame:
-    """doc_id, page, block, kind, label, size, n_lines, n_words, first_line, x0, x1, top, bottom, text, key."""
+    """doc_id, page, block, kind, label, size, n_lines, n_words, first_line, x0, x1, top, bottom, text, key. lines that have a part: a block ends where it does."""
     p, bullet = profile or Profile(), lambda c: tk.is_bullet(c, (lexicon or Lexicon()).bullets)
     gaps = line_gaps(lines)
     own = gaps.where("size is not null").select("doc_id", F.col("size").alias("half"), F.col("gap").alias("own_gap"))
@@ -61,6 +61,7 @@ def blocks(lines: DataFrame, words: DataFrame, profile: Profile | None = None, l
         | (F.abs(F.col("size") - prev("size")) > p.size_change_ratio * prev("size"))
         | (F.col("bold") != prev("bold"))
         | opens
+        | (F.col("part") != prev("part") if "part" in lines.columns else F.lit(False))
     )
     doc = Window.partitionBy("doc_id").orderBy("line")
     placed = placed.withColumn("breaks", breaks.cast("int")).withColumn("opens", opens).withColumn("block", F.sum("breaks").over(doc).cast("long"))
