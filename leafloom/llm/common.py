@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -47,24 +46,46 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: dict[str, list[str]] = {}  # by application: the tables that were written
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the shared folder. It goes when the driver ends: until then lazy results may read it."""
+    """A new path for a written table in the shared folder. It goes by ``release``, or when the driver ends, whether or not the session was stopped before: until then lazy results may read it."""
     path = f"{shared_dir(spark)}/leafloom-{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
+def _store(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def kept_until_exit(spark: SparkSession, path: str) -> None:
+    """The file system deletes what is at the path when the driver's JVM ends."""
+    files, where = _store(spark, path)
+    files.deleteOnExit(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table, if the session still runs."""
-    if spark.sparkContext._jsc is not None:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    """Delete a written table."""
+    files, where = _store(spark, path)
+    files.delete(where, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that operators of this application have written so far, and tell how many: for long sessions, once results are stored."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` in the shared folder and read it again: lineage is cut, and lost executors cost no recomputation."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
+    kept_until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -36,6 +36,7 @@ RANGE = 2_000_000  # shingles in a hash range
 ENTRIES = 250_000  # of prefixes in a fragment
 BLOCK = 512  # texts in a block
 LEVELS = 32  # of frequency
+HELD_CODES, COMPARED = 1_000_000, 100_000  # pairs of places that a task holds before it counts them, and pairs whose levels are compared at once
 PAIRS = 500_000  # candidate pairs that are counted together
 FRAGMENTS = 4  # in which their overlaps are counted
 BROADCAST = 1_000_000  # ids that may be broadcast, 8 bytes each
@@ -366,13 +367,13 @@ def candidates(prefix: DataFrame, share: int, ranges: list[int], turn: str) -> D
                     others = others[(root[others] != root[i]) & ((n[others] > n[i]) | (others > i))]
                     if len(others):
                         sized(np.full(len(others), i), others)
-                if sum(map(len, waiting)) > 4_000_000:
+                if sum(map(len, waiting)) > HELD_CODES:
                     settle()
             settle()
             kept = []
-            for x in range(0, len(codes), 1_000_000):
-                i, j = codes[x : x + 1_000_000] // d, codes[x : x + 1_000_000] % d
-                most = times[x : x + 1_000_000] + np.minimum(apart[i], apart[j]).sum(1) + np.maximum(rest[i], rest[j])
+            for x in range(0, len(codes), COMPARED):
+                i, j = codes[x : x + COMPARED] // d, codes[x : x + COMPARED] % d
+                most = times[x : x + COMPARED] + np.minimum(apart[i], apart[j]).sum(1) + np.maximum(rest[i], rest[j])
                 kept.append(100 * most >= share * (n[i] + n[j] - most))
             codes = codes[np.concatenate(kept)] if kept else codes
         u, v = cls[codes // d], cls[codes % d]
@@ -424,7 +425,7 @@ def linked(pairs: DataFrame, blocks: DataFrame, total: int, share: int, n_pairs:
         i, j = np.searchsorted(cls[o], u), np.searchsorted(cls[o], v)
         n = np.zeros(len(u), np.int64)
         wide = int(place.max()) + 1 if len(place) else 1
-        step = max(1, 4_000_000 // max(1, int(long.max()) if len(long) else 1))
+        step = max(1, HELD_CODES // max(1, int(long.max()) if len(long) else 1))
 
         def keys(x: np.ndarray) -> np.ndarray:
             size = long[x]

@@ -8,7 +8,8 @@ beginning, and never in small letters in the text). The labels are the four kind
 Neighbouring nodes share a chain potential. All nodes of a document that repeat one another or are alike (the same digits in
 another notation, an address and its name part) share one hub, however far apart and however many they are, and each node
 shares a skip potential with its hubs. Nodes of one string are one variable: a notation is missed once, not at each place. Loopy sum-product messages run over both kinds of edges until they no longer change
-and so carry a label that is certain in one place to all others; nodes whose belief in a kind reaches ``SURE`` become spans.
+and so carry a label that is certain in one place to all others; numbers and tokens with ``@`` whose belief in a kind reaches ``SURE``
+become spans. Names only inform them: a name is none of the kinds.
 
 The potentials are fitted to the conditional likelihood of each node's base label given its class and its neighbours' and
 twins' labels, over all documents with a digit or ``@``; copies count each. A class tells a node's size and sort, but not
@@ -47,6 +48,8 @@ WORD = (0.0, 4.5, -8.0, -8.0, -8.0)  # log potential of a word that may name an
 CLOSE, LONGEST = 1e-4, 100  # change of the messages that ends them; rounds after which oscillating ones are left as they are
 CLASSES = ("@", "@ bare", "quad", "7-9", "10-13", "14-19", "14-19 fails", "20-", "local", "name")
 
+WORDLIKE = CLASSES.index("local")  # from here on a node is a word, and never becomes a span
+
 Span = tuple[int, int, str]
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -352,7 +355,8 @@ def all_spans(text: str, crf: Field) -> tuple[list[Span], list[Span]]:
         return base, base
     belief = crf.beliefs(g)
     best = belief.argmax(1)
-    label = [int(y) if x < 0 and p >= SURE else 0 for x, y, p in zip(g.given, best, belief.max(1), strict=True)]
+    # a word that names an address's owner has told its neighbours and twins; it is no personal datum of any kind itself
+    label = [int(y) if x < 0 and c < WORDLIKE and p >= SURE else 0 for x, c, y, p in zip(g.given, g.classes, best, belief.max(1), strict=True)]
     linked = {a for a, _ in g.chain}
     out, i, n = list(base), 0, len(g.spots)
     while i < n:

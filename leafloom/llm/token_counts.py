@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafloom.llm.bpe import codec
-from leafloom.llm.common import beside, scratch, slices, written
+from leafloom.llm.common import beside, kept_until_exit, scratch, slices, written
 
 CACHE = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField("content", T.StringType()), T.StructField("n_tokens", T.LongType())])
 #: Single characters that fold to a blank where a tokenizer drops white space; changing one for another changes no count.
@@ -76,7 +76,7 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
 def count_tokens(df: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens, over_limit (n_tokens > limit). ``cache``: the stored counts' folder; None starts an empty one."""
     spark = df.sparkSession
-    cache = cache or scratch(spark, "token-counts")
+    own, cache = cache is None, cache or scratch(spark, "token-counts")
     version = tokenizer_digest(tokenizer)
     text = F.coalesce(F.col(text_column), F.lit(""))
     content = F.translate(text, BLANKS, " " * len(BLANKS)) if drops_white_space(tokenizer) else text
@@ -98,4 +98,6 @@ def count_tokens(df: DataFrame, tokenizer: str, cache: str | None = None, limit:
     facts = written(keyed.drop("text"), "contents")
     misses = keyed.select("content", "text").join(stored().select("content"), "content", "left_anti").dropDuplicates(["content"])
     misses.mapInArrow(encode, CACHE).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    if own:
+        kept_until_exit(spark, cache)
     return beside(facts, stored(), "content").select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

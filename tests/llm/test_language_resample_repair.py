@@ -276,3 +276,28 @@ def test_edits_lead_to_the_repaired_rows(spark):
     found = repair.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert [(r.edit, r.role, r.text) for r in found] == [("I", "user", ""), ("K", "assistant", "Hello."), ("K", "user", "Why?"), ("D", None, None), ("K", "assistant", "So"), ("D", None, None)]
     assert [r.fault for r in found] == [None, None, None, "duplicate", "truncated", "blank"] and sum(r.cost for r in found) == 3 + 4 + 3 + 4
+
+
+def test_intermediate_tables_go_by_release_and_when_the_driver_ends(tmp_path):
+    """In a driver of its own, which stops its session before it ends, as scripts do."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", "file://{tmp_path}/shared").config("spark.ui.enabled", "false").getOrCreate()
+from pathlib import Path
+from leafloom.llm.common import release, written
+there = lambda: len(list(Path("{tmp_path}/shared").glob("leafloom-*")))
+written(spark.range(3), "a"), written(spark.range(3), "b")
+assert there() == 2 and release(spark) == 2 and there() == 0
+assert written(spark.range(3), "c").count() == 3 and there() == 1
+spark.stop()
+assert there() == 1
+"""
+    done = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": str(root)}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert not list(Path(tmp_path, "shared").glob("leafloom-*"))

@@ -162,7 +162,7 @@ def added(text, crf):
 @pytest.mark.parametrize(
     "text, wanted",
     [
-        ("Mail jo.smith@x.com now. So said Bob Smith, and later Smith wrote. jo.smith too.", [("Smith", "email"), ("Smith", "email"), ("jo.smith", "email")]),
+        ("Mail jo.smith@x.com now. So said Bob Smith, and later Smith wrote. jo.smith too.", []),  # names inform, but are no addresses
         ("Call +1 (017) 555-7713, or 017-555-7713, or 0175557713. Order 1234567890 of 1999.", [("017-555-7713", "phone"), ("0175557713", "phone")]),
         ("0175557713 " + "and 0175557713 " * 40 + "word " * 500 + "+1 (017) 555-7713", [("0175557713", "phone")] * 41),
         ("the smithy of smith: smith@x.com. Smith works, said Smith", []),
