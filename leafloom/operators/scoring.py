@@ -36,12 +36,20 @@ def draw(key: Column, n: Column) -> Column:
     return F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long") % n
 
 
+HELD = 1_000_000  # documents whose counts may be broadcast, 40 bytes each
+
+
+def _beside(n: int, counts: DataFrame) -> DataFrame:
+    """Counts of up to ``HELD`` documents go to every draw, so that no draw is shuffled before its sums are made; more are joined."""
+    return F.broadcast(counts) if n <= HELD else counts
+
+
 def bootstrap(counts: DataFrame, draws: int, seed: int = 20260928) -> DataFrame:
     """draw, value: the pooled metric of each resample of the documents. counts: i (0 to n - 1), num, den."""
     n = counts.count()
     places = counts.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("slot"))
     chosen = places.withColumn("i", draw(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string")), F.lit(n)))
-    return chosen.join(counts, "i").groupBy("draw").agg(pooled("num", "den").alias("value"))
+    return chosen.join(_beside(n, counts), "i").groupBy("draw").agg(pooled("num", "den").alias("value"))
 
 
 def interval(drawn: DataFrame) -> DataFrame:
@@ -91,7 +99,7 @@ def paired(a: DataFrame, b: DataFrame, draws: int, seed: int = 20260928) -> Data
     n = both.count()
     places = both.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("slot"))
     chosen = places.withColumn("i", draw(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string")), F.lit(n)))
-    return chosen.join(both, "i").groupBy("draw").agg((pooled("num", "den") - pooled("num_b", "den_b")).alias("value"))
+    return chosen.join(_beside(n, both), "i").groupBy("draw").agg((pooled("num", "den") - pooled("num_b", "den_b")).alias("value"))
 
 
 def is_finding(low: Column, high: Column) -> Column:

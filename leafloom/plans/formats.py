@@ -104,7 +104,7 @@ def replaced_words(spark, sf):
     return formats.words_replaced(own, seen)
 
 
-@R.add(f"""{tables.C}, h AS (SELECT tbl, col, text AS head FROM cells WHERE "row" = 0), s AS (SELECT tbl, "row", text AS stub FROM cells WHERE col = 0)
+@R.add(f"""{tables.ONCE}, h AS (SELECT tbl, col, text AS head FROM cells WHERE "row" = 0), s AS (SELECT tbl, "row", text AS stub FROM cells WHERE col = 0)
     SELECT c.tbl AS doc, text AS value, stub || '/' || head AS labels FROM cells c JOIN h USING (tbl, col) JOIN s USING (tbl, "row") WHERE "row" > 0 AND col > 0""")
 def access_path_rows(spark, sf):
     """Each value of the sales tables with its row's and column's label, as a file of access paths, half of them with semicolons."""

@@ -142,7 +142,8 @@ def boxes_to_cells(spark, sf):
     return d.select("doc", "c.*")
 
 
-@R.add(f"""{tables.C}, m AS (SELECT tbl, max("row") AS last FROM cells GROUP BY 1) SELECT tbl, "row", col, CASE WHEN "row" = 0 AND col = 0 AND tbl % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS "rows", 1::BIGINT AS cols, CASE WHEN "row" = 0 AND col = 0 AND tbl % 2 = 0 THEN text || ' ' || (SELECT k.text FROM cells k WHERE k.tbl = cells.tbl AND k."row" = 1 AND k.col = 0) ELSE text END AS text FROM cells WHERE NOT (tbl % 2 = 0 AND "row" = 1 AND col = 0)""")
+@R.add(f"""{tables.ONCE}, n AS (SELECT *, lead(text) OVER (PARTITION BY tbl, col ORDER BY "row") AS below FROM cells)
+    SELECT tbl, "row", col, CASE WHEN "row" = 0 AND col = 0 AND tbl % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS "rows", 1::BIGINT AS cols, CASE WHEN "row" = 0 AND col = 0 AND tbl % 2 = 0 THEN text || ' ' || below ELSE text END AS text FROM n WHERE NOT (tbl % 2 = 0 AND "row" = 1 AND col = 0)""")
 def drafted_tables(spark, sf):
     """The sales tables drafted from their grids and words; in every second one the first two labels are one cell."""
     w = tables.words(spark, sf)
@@ -158,13 +159,16 @@ def headerless_tables(spark, sf):
     return grids.missing_headers(table(spark, sf, "part").select(F.lit(0).alias("doc_id"), P.alias("tbl"), (S % 3).alias("header_rows"), (S % 2 == 0).alias("text_only"))).drop("doc_id")
 
 
-@R.add("""SELECT p_partkey AS id, CASE WHEN r = 0 AND w THEN NULL WHEN r = 180 THEN 602 - x ELSE CASE WHEN NOT w OR r = 0 THEN x WHEN r = 90 THEN 50.0 ELSE 792 - 60 - 0 END END AS x0 FROM (SELECT p_partkey, p_size % 4 * 90 AS r, p_partkey % 2 = 1 AND p_size % 2 = 1 AS w, (p_partkey % 500)::DOUBLE AS x FROM part) WHERE NOT w""")
+@R.add("""SELECT p_partkey AS id, b.n::BIGINT AS n, CASE WHEN r = 0 AND w THEN NULL WHEN r = 180 THEN CASE n WHEN 0 THEN 602 - x WHEN 1 THEN 50 WHEN 2 THEN 612 - x ELSE 60 END
+    WHEN r = 90 AND w THEN CASE n WHEN 0 THEN 732 WHEN 1 THEN 602 - x WHEN 2 THEN 742 ELSE 612 - x END WHEN r = 270 AND w THEN CASE n WHEN 0 THEN 50 WHEN 1 THEN x WHEN 2 THEN 60 ELSE x + 10 END
+    ELSE CASE n WHEN 0 THEN x WHEN 1 THEN 732 WHEN 2 THEN x + 10 ELSE 742 END END::DOUBLE AS at
+    FROM (SELECT p_partkey, p_size % 4 * 90 AS r, p_partkey % 2 = 1 AS w, (p_partkey % 500)::DOUBLE AS x FROM part), range(4) b(n)""")
 def placed_grids(spark, sf):
-    """A lattice reader's boxes: unturned, and of pages of 180 degrees."""
+    """A lattice reader's boxes on pages of all four turns, in its own frame and in one that lies across: left, top, right and bottom; nulls where a box can't be placed."""
     P, S = F.col("p_partkey"), F.col("p_size")
-    r, swapped, x = (S % 4 * 90).cast("int"), (P % 2 == 1) & (S % 2 == 1), (P % 500).cast("double")
+    r, swapped, x = (S % 4 * 90).cast("int"), P % 2 == 1, (P % 500).cast("double")
     box = grids.placed_box(r, swapped, (x, F.lit(50.0), x + 10, F.lit(60.0)), F.lit(612.0), F.lit(792.0), F.lit(792.0))
-    return table(spark, sf, "part").where(~swapped).select(P.alias("id"), box[0].alias("x0"))
+    return table(spark, sf, "part").select(P.alias("id"), F.posexplode(F.array(*box)).alias("n", "at")).select("id", F.col("n").cast("long").alias("n"), "at")
 
 
 @R.add("""SELECT p_partkey AS doc_id, k::BIGINT AS id, (CASE WHEN p_size % 3 = 0 AND k >= 2 THEN 1 ELSE 0 END)::BIGINT + (CASE WHEN k = 3 THEN 1 ELSE 0 END)::BIGINT AS piece FROM part, range(4) r(k)""")

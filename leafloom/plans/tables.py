@@ -11,6 +11,8 @@ from leafloom.sources import typeset as ts
 
 R = Registry()
 C = f"WITH {ts.SALES_CELLS_SQL}"
+#: The same, computed once where a query reads it several times.
+ONCE = C.replace("cells AS (", "cells AS MATERIALIZED (")
 W = f"{C}, {ts.SALES_WORDS_SQL}"
 
 
