@@ -41,6 +41,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once(f: Callable) -> Callable:
+    """A fixture's frames, made once for each session and data: for those that are stored, and that several queries read."""
+    made: dict[tuple[str, str], object] = {}
+
+    def held(spark: SparkSession, sf_dir: str):
+        key = spark.sparkContext.applicationId, sf_dir
+        if key not in made:
+            made[key] = f(spark, sf_dir)
+        return made[key]
+
+    return held
+
+
 def dealt(spark: SparkSession, sf_dir: str, rows: list, kind: str) -> DataFrame:
     """doc and the columns of ``kind``: each part's key has the row of its remainder."""
     from pyspark.sql import functions as F
