@@ -11,9 +11,11 @@ from leafloom.operators import assemble, checks, ownership, verify
 from leafloom.operators.assemble import Document
 
 
-def read(words: DataFrame, pages: DataFrame, profile: Profile | None = None, lexicon: Lexicon | None = None, findings: DataFrame | None = None, strict: bool = False) -> Document:
-    """The documents of a page model. findings: doc_id, page, code, severity of the pages; strict: an error among them raises."""
-    out = assemble.assemble(words, pages, profile, lexicon)
+def read(words: DataFrame, pages: DataFrame, profile: Profile | None = None, lexicon: Lexicon | None = None, findings: DataFrame | None = None, strict: bool = False, rules: DataFrame | None = None, prove: bool = False) -> Document:
+    """The documents of a page model. findings: doc_id, page, code, severity of the pages; strict: an error among them raises; rules: doc_id, page, axis, at, start, end of what is drawn; prove: a document that breaks a constraint raises (pages then have their width, too)."""
+    out = assemble.assemble(words, pages, profile, lexicon, rules)
+    if prove:
+        no_violations(assemble.stored_documents(out, pages))
     if findings is not None:
         out.findings = out.findings.unionByName(findings.select("doc_id", F.col("page").cast("long").alias("page"), "code", "severity"))
     if strict:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from leafloom.config import Lexicon, Profile
 from leafloom.functions import tokens as tk
-from leafloom.operators import furniture, grids, layout, links, notes, pagetables, prose, ruled
+from leafloom.operators import furniture, grids, layout, notes, pagetables, prose, reader, ruled
 from leafloom.sources.stored import stored
 
 STAGES = ("furniture", "grid", "corridor", "prose")
@@ -84,13 +84,18 @@ def _flags(words: DataFrame) -> DataFrame:
 def assemble(words: DataFrame, pages: DataFrame, profile: Profile | None = None, lexicon: Lexicon | None = None, rules: DataFrame | None = None) -> Document:
     """words: doc_id, page, id, x0, y0, x1, y1, text, size, bold and, if known, superscript, italic, horizontal; pages: doc_id, page, height, invisible, clipped, overprinted; rules: doc_id, page, axis, at, start, end.
 
-    Lines are found anew from the words' boxes. Frames that several others are made of are stored once.
+    Lines are found anew from the words' boxes, and raised marks from their lines where the words don't tell of them. Frames that several others are made of are stored once.
     """
     p = profile or Profile()
+    known = "superscript" in words.columns
     words = _flags(words)
     drawn = rules if rules is not None else _no_rules(words)
     bodies = stored(prose.body_size(words))
-    first = stored(lined(words, bodies, p))
+    first = lined(words, bodies, p)
+    if not known:
+        first = reader.raised(first)
+    first = stored(first)
+    words = first.drop("region", "line", "place")
     lines = stored(measured(first))
 
     # furniture; lines that a ruled table holds are none

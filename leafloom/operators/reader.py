@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 GAP_MIN, GAP_MAX, OVERLAP = -1.0, 0.6, 0.3
+MARK_SMALLER, MARK_RAISED = 0.92, 0.2  # of the size beside it: how small a raised mark is, and how far it stands above
 SLANT, SHORT, THIN = 0.5, 2.0, 3.5
 
 
@@ -132,7 +133,8 @@ def unreadable(documents: DataFrame) -> DataFrame:
 def build_words(chars: DataFrame) -> DataFrame:
     """doc_id, page, line, word, x0, y0, x1, y1, text, size, bold: maximal runs of characters without white space that stand close.
 
-    chars: doc_id, page, line, span, char, c, x0, y0, x1, y1, size, bold. Runs go on over spans if the gap and the overlap allow.
+    chars: doc_id, page, line, span, char, c, x0, y0, x1, y1, size, bold and, if known, superscript. Runs go on over spans if the
+    gap and the overlap allow, but not from a raised mark to the word that it opens, nor between marks and other text.
     """
     w = Window.partitionBy("doc_id", "page", "line").orderBy("char")
     prev = lambda c: F.lag(c).over(w)
@@ -142,7 +144,9 @@ def build_words(chars: DataFrame) -> DataFrame:
     low = F.least(prev("y1") - prev("y0"), F.col("y1") - F.col("y0"))
     gap = F.col("x0") - prev("x1")
     near = (gap >= GAP_MIN - 1e-6) & (gap <= GAP_MAX + 1e-6) & (overlap >= OVERLAP * low - 1e-6)
-    starts = prev("char").isNull() | prev("blank") | ((prev("span") != F.col("span")) & ~near)
+    opened = (prev("size") <= MARK_SMALLER * F.col("size")) & (F.col("y1") - prev("y1") > MARK_RAISED * F.col("size"))
+    other = prev("superscript") != F.col("superscript") if "superscript" in chars.columns else F.lit(False)
+    starts = prev("char").isNull() | prev("blank") | ((prev("span") != F.col("span")) & (~near | opened | other))
     runs = marked.withColumn("starts", starts.cast("int")).withColumn("word", F.sum("starts").over(w).cast("long")).where(~F.col("blank"))
     per_size = Window.partitionBy("doc_id", "page", "line", "word", "span")
     runs = runs.withColumn("weight", F.count("*").over(per_size))
@@ -153,6 +157,19 @@ def build_words(chars: DataFrame) -> DataFrame:
     )
 
 
+def raised(words: DataFrame, smaller: float = MARK_SMALLER, lift: float = MARK_RAISED) -> DataFrame:
+    """words with superscript: what is smaller than most of its line and stands clear above the line on which that stands.
+
+    A line's size is that of most of its characters, and its foot the median foot of the words of that size, so that neither marks nor
+    letters with tails move it. words: doc_id, page, line, text, size, y1.
+    """
+    half = (F.round(F.col("size") * 2) / 2).alias("half")
+    sized = words.groupBy("doc_id", "page", "line", half).agg(F.sum(F.length("text")).alias("chars"), F.median("y1").alias("foot"))
+    main = sized.groupBy("doc_id", "page", "line").agg(F.max_by(F.struct("half", "foot"), F.struct("chars", "half")).alias("main"))
+    mark = (F.col("size") <= smaller * F.col("main.half")) & (F.col("main.foot") - F.col("y1") > lift * F.col("main.half"))
+    return words.drop("superscript").join(main, ["doc_id", "page", "line"]).withColumn("superscript", mark).drop("main")
+
+
 def extract_rules(paths: DataFrame, slant: float = SLANT, short: float = SHORT, thin: float = THIN) -> DataFrame:
     """doc_id, page, axis, at, start, end, thickness: straight strokes and thin rectangles; equal ones once, the thickest.
 
