@@ -38,6 +38,7 @@ class Document:
     links: DataFrame  # doc_id, kind, source, row, col, target, label, method, status, reason
     claims: DataFrame  # doc_id, page, id, stage, thing, row, col, nth: the one claim that each word has
     joins: DataFrame  # doc_id, block, a, b: the words between which a hyphen went
+    members: DataFrame  # doc_id, block, words (ids in order), markers (raised marks)
 
 
 def settled(claims: DataFrame) -> DataFrame:
@@ -99,8 +100,9 @@ def assemble(words: DataFrame, pages: DataFrame, profile: Profile | None = None,
     lines = stored(measured(first))
 
     # furniture; lines that a ruled table holds are none
+    keep = stored if rules is not None else (lambda df: df)  # without rules these are known to be empty when they are planned
     cells, failed = ruled.ruled_grids(drawn)
-    cells = stored(cells)
+    cells = keep(cells)
     tabled = furniture.tabled_lines(first, cells.withColumn("tbl", F.col("grid")), p).withColumn("tabled", F.lit(True))
     parts = prose.fragments(first.drop("id").withColumnRenamed("place", "id"), p).groupBy(*PAGE, "line").agg(F.count("*").alias("parts"))
     height = pages.select(*PAGE, F.col("height").alias("page_height"))
@@ -111,7 +113,7 @@ def assemble(words: DataFrame, pages: DataFrame, profile: Profile | None = None,
 
     # ruled grids, over what is content
     taken, inside = ruled.accepted(cells, content)
-    taken, inside = stored(taken), stored(inside)
+    taken, inside = keep(taken), keep(inside)
 
     # the rest is read anew: columns beside a grid are columns of their own
     rest = content.join(inside.select("doc_id", "id"), ["doc_id", "id"], "left_anti")
@@ -240,7 +242,8 @@ def _linked(words, first, held, typed, marked, taken, tables, failed, told, page
     long = furniture.long_without(pages, marked, p).select("doc_id", none.alias("page"), F.lit("no_furniture_long_document").alias("code"), F.lit("warning").alias("severity"))
     of_page = failed.unionByName(told).unionByName(_crossed(out_cells, held)).select("doc_id", F.col("page").cast("long").alias("page"), "code", "severity")
     lost = open_calls.select("doc_id", F.col("page").cast("long").alias("page"), F.lit("call_unresolved").alias("code"), F.lit("warning").alias("severity"))
-    return Document(homed, blocks, counts.join(chars, "doc_id", "left").na.fill(0), long.unionByName(of_page).unionByName(lost), out_cells, every_link, held.select(*PAGE, "id", "stage", "thing", "row", "col", "nth"), _line_joins(members, d))
+    members_ = blocks.select("doc_id", "block", "words", "markers")
+    return Document(homed, blocks.drop("words", "markers"), counts.join(chars, "doc_id", "left").na.fill(0), long.unionByName(of_page).unionByName(lost), out_cells, every_link, held.select(*PAGE, "id", "stage", "thing", "row", "col", "nth"), _line_joins(members, d), members_)
 
 
 def _as_notes(d: DataFrame, members: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -325,7 +328,7 @@ def stored_documents(document: Document, pages: DataFrame) -> DataFrame:
     joins = document.joins.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("joins"))
     region = F.array(F.struct("page", F.col("x0"), F.col("top").alias("y0"), F.col("x1"), F.col("bottom").alias("y1")))
     none = F.lit(None).cast("string")
-    b = document.blocks.join(grids_, ["doc_id", "block"], "left").join(joins, ["doc_id", "block"], "left")
+    b = document.blocks.join(document.members, ["doc_id", "block"]).join(grids_, ["doc_id", "block"], "left").join(joins, ["doc_id", "block"], "left")
     name = lambda c: F.concat(F.lit("b"), F.col(c).cast("string"))
     pair = F.coalesce("joins", F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")).alias("joins")
     one = F.struct("block", name("block").alias("id"), "key", "kind", "text", "label", none.alias("number"), "markers", "words", pair, region.alias("regions"), "grid")
