@@ -55,7 +55,7 @@ def byte_letters() -> list[str]:
 class Lazy(dict):
     """A table filled as it is asked; of bounded size."""
 
-    MOST = 200_000
+    MOST = 500_000
 
     def __init__(self, make):
         super().__init__()
@@ -71,7 +71,7 @@ class Lazy(dict):
 class Memo(dict):
     """Packed ids of words seen before, in two generations of bounded size: words in use move into the newer one."""
 
-    MOST = 120_000
+    MOST = 300_000
     LONGEST = 64
 
     def __init__(self, bpe: WordBpe):
