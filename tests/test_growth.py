@@ -40,3 +40,30 @@ def test_tables_are_read_in_well_under_a_millisecond_each():
 @pytest.mark.parametrize("name", ["html_table_cells", "pipe_table_cells", "block_tree_tables", "element_tables", "converter_tables"])
 def test_tables_are_read_once(spark, data, name):
     assert evaluations(catalog.QUERIES[name](spark, data)) == 1
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["chart_numbers", "strong_value_tokens", "value_pieces"])
+def test_tokens_are_told_apart_before_they_are_matched(spark, data, name):
+    p = plan(catalog.QUERIES[name](spark, data))
+    below = "".join(p.split("Aggregate")[-2:])  # the grouping of tokens, and that of the sales
+    assert "RLIKE" not in below and "regexp_extract" not in below
+    # a part's key is no more than its remainder when the sales are grouped
+    assert "% 1000" in p[p.rindex("Aggregate") :]
+
+
+def test_access_paths_are_made_without_joins_and_a_separator_is_found_once_a_file(spark, data):
+    p = plan(catalog.QUERIES["access_path_rows"](spark, data))
+    assert "Join" not in p
+    assert not any("regexp_replace" in line for line in p.split("\n") if "Filter" in line)
+
+
+def test_access_paths_of_a_long_file(spark):
+    text = "\n".join(['"0";;', *(f'"a {i}";"b;c";;"d";"{i}"' for i in range(2000))])
+    found = formats.access_path_rows(spark.createDataFrame([(1, text), (2, '7\n"x","1"\n\n8\n"y","2"'), (3, None)], "doc long, text string")).collect()
+    assert len(found) == 2002
+    assert {(r.value, tuple(map(tuple, r.dimensions))) for r in found if r.doc == 1} == {(str(i), ((f"a {i}", "b;c"), ("d",))) for i in range(2000)}
+    assert [(r.tbl, r.value) for r in sorted(found, key=lambda r: r.nth) if r.doc == 2] == [(0, "1"), (1, "2")]
