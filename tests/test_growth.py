@@ -3,8 +3,11 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
+from leafloom.config import Profile
+from leafloom.operators import grids, layout
 from leafloom.plans import catalog
 from leafloom.sources import formats
 
@@ -67,3 +70,56 @@ def test_access_paths_of_a_long_file(spark):
     assert len(found) == 2002
     assert {(r.value, tuple(map(tuple, r.dimensions))) for r in found if r.doc == 1} == {(str(i), ((f"a {i}", "b;c"), ("d",))) for i in range(2000)}
     assert [(r.tbl, r.value) for r in sorted(found, key=lambda r: r.nth) if r.doc == 2] == [(0, "1"), (1, "2")]
+
+
+def test_marks_find_their_lines_as_a_search_of_all_lines_does():
+    r = random.Random(6)
+    profile = Profile()
+    moved = 0
+    for _ in range(300):
+        words = []
+        for i in range(r.randrange(1, 25)):
+            mark = r.random() < 0.4
+            x, y = r.randrange(12) * 10.0, r.randrange(14) * 5.0 + r.choice([0, -3.6, 1.5])
+            words.append(layout.Word(i, x, y, x + (3 if mark else 10), y + (6.0 if mark else r.choice([9.0, 10.0, 40.0])), "a", 10.0, mark))
+        found = layout.lines_of(words, profile)
+        plain = layout.lines_of([layout.Word(w.id, w.x0, w.y0, w.x1, w.y1, "a", 10.0) for w in words], profile)  # no word is a mark
+        line = {w.id: k for k, own in enumerate(plain) for w in own}
+        home = {w.id: k for k, own in enumerate(found) for w in own}
+        for m in (w for w in words if w.superscript):
+            if any(w.id != m.id and line[w.id] == line[m.id] and (layout.glued(w, m) or layout.glued(m, w)) for w in words):
+                continue
+            near = [w for w in words if not w.superscript and line[w.id] != line[m.id] and layout.glued(w, m)]
+            assert not near or any(home[w.id] == home[m.id] for w in near)
+            moved += bool(near)
+    assert moved > 20
+
+
+def test_marks_of_a_long_page_find_their_lines_in_time():
+    words = []
+    for k in range(4000):
+        y, end = 10.5 * k, 150.0 + 20 * (k % 2)
+        words += [layout.Word(2 * k, 100.0, y, end, y + 10, "5.0%", 10.0), layout.Word(2 * k + 1, end, y - 3.6, end + 3, y + 2.4, "1", 6.0, True)]
+    began = time.perf_counter()
+    found = layout.lines_of(words, Profile())
+    assert time.perf_counter() - began < 3  # 10 s, when each mark searched all lines
+    assert [[w.id for w in line] for line in found] == [[2 * k, 2 * k + 1] for k in range(4000)]
+
+
+def test_a_batch_of_pages_is_read_in_few_objects_at_a_time(monkeypatch):
+    held, most = [0], [0]
+
+    class Counted(list):
+        def __init__(self, *x):
+            super().__init__(*x)
+            held[0] += len(self)
+            most[0] = max(most[0], held[0])
+
+        def __del__(self):
+            held[0] -= len(self)
+
+    run = grids.in_slices(lambda x: [x], pa.list_(pa.int64()))
+    monkeypatch.setattr(grids, "_listed", lambda c: Counted(c.to_pylist()))
+    got = run(pa.array(range(10_000)))
+    assert got.to_pylist() == [[x] for x in range(10_000)] and most[0] <= 2 * grids.ROWS
+    assert len(run(pa.array([], pa.int64()))) == 0
