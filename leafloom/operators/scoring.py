@@ -58,10 +58,16 @@ def interval(drawn: DataFrame) -> DataFrame:
 
 def best_match(truth: DataFrame, found: DataFrame) -> DataFrame:
     """doc, t, f: for each true table the found one of largest overlap. Both: doc, page, t or f, x0, y0, x1, y1."""
-    f = found.select("doc", "page", "f", *(F.col(c).alias(f"f{c}") for c in ("x0", "y0", "x1", "y1")))
+    box = ("x0", "y0", "x1", "y1")
+    # boxes that several tables have meet once; of found ones the first stands for all
+    f = found.groupBy("doc", "page", *box).agg(F.min("f").alias("f")).select("doc", "page", "f", *(F.col(c).alias(f"f{c}") for c in box))
     w = F.least("x1", "fx1") - F.greatest("x0", "fx0")
     h = F.least("y1", "fy1") - F.greatest("y0", "fy0")
-    return truth.join(f, ["doc", "page"]).withColumn("area", w * h).where((w > 0) & (h > 0)).groupBy("doc", "t").agg(F.max_by("f", F.struct(F.col("area"), -F.col("f"))).alias("f"))
+    first = F.max_by("f", F.struct(F.col("area"), -F.col("f"))).alias("f")
+    met = truth.select("doc", "page", *box).distinct().join(f, ["doc", "page"]).withColumn("area", w * h).where((w > 0) & (h > 0)).groupBy("doc", "page", *box).agg(first, F.max("area").alias("area"))
+    t = truth.select("doc", "page", "t", *(F.col(c).alias(f"t{c}") for c in box))
+    same = [F.col(f"t{c}").eqNullSafe(F.col(c)) for c in box]
+    return t.withColumnsRenamed({"doc": "doc_", "page": "page_"}).join(met, [F.col("doc_") == F.col("doc"), F.col("page_") == F.col("page"), *same]).groupBy("doc", "t").agg(first)
 
 
 def top_of_group(rows: DataFrame, group: str, *order: Column) -> DataFrame:
@@ -77,9 +83,12 @@ def character_errors(truth: DataFrame, found: DataFrame) -> DataFrame:
     truth: doc, tbl, t, text; found: doc, tbl, text.
     """
     glyphs = lambda c: F.regexp_replace(c, r"(?U)\s", "")
-    pairs = truth.join(found.select("doc", "tbl", F.col("text").alias("other")), ["doc", "tbl"], "left")
-    long = F.length(glyphs("text"))
-    return pairs.groupBy("doc", "t").agg(F.max(long).cast("long").alias("chars"), F.min(F.least(F.coalesce(F.levenshtein(glyphs("text"), glyphs("other")), long), long)).cast("long").alias("errors"))
+    # texts that a table has several times are compared once
+    said = truth.select("doc", "tbl", "t", glyphs("text").alias("said"))
+    others = found.select("doc", "tbl", glyphs("text").alias("other")).distinct()
+    least = said.select("doc", "tbl", "said").distinct().join(others, ["doc", "tbl"]).groupBy("doc", "tbl", "said").agg(F.min(F.levenshtein("said", "other")).alias("least"))
+    long = F.length("said")
+    return said.join(least, ["doc", "tbl", "said"], "left").groupBy("doc", "t").agg(F.max(long).cast("long").alias("chars"), F.min(F.least(F.coalesce("least", long), long)).cast("long").alias("errors"))
 
 
 def dense_index(rows: DataFrame, key: str, name: str = "i") -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from leafloom.config import Profile
-from leafloom.operators import grids, layout
+from leafloom.operators import grids, layout, scoring
 from leafloom.plans import catalog
 from leafloom.sources import formats
 
@@ -123,3 +123,18 @@ def test_a_batch_of_pages_is_read_in_few_objects_at_a_time(monkeypatch):
     got = run(pa.array(range(10_000)))
     assert got.to_pylist() == [[x] for x in range(10_000)] and most[0] <= 2 * grids.ROWS
     assert len(run(pa.array([], pa.int64()))) == 0
+
+
+def test_equal_texts_and_boxes_meet_once(spark):
+    """Five thousand tables alike: 25 million pairs, if each met each."""
+    n = 5000
+    t = spark.range(n).selectExpr("1 AS doc", "1 AS tbl", "1 AS page", "id AS t", "'a b c' || id % 2 AS text", "1.0D AS x0", "1.0D AS y0", "5.0D AS x1", "double(5 + id % 2) AS y1")
+    f = spark.range(n).selectExpr("1 AS doc", "1 AS tbl", "1 AS page", "id AS f", "'abd' || id % 2 AS text", "2.0D AS x0", "1.0D AS y0", "6.0D AS x1", "double(5 + id % 2) AS y1")
+    errors = scoring.character_errors(t, f)
+    matched = scoring.best_match(t, f)
+    assert {(r.chars, r.errors) for r in errors.collect()} == {(4, 1)} and errors.count() == n
+    # by area, ties to the smaller found one
+    assert {(r.t % 2, r.f) for r in matched.collect()} == {(0, 0), (1, 1)} and matched.count() == n
+    for df in (errors, matched):
+        p = plan(df)
+        assert "Aggregate" in p[p.rindex("Join") :].split("Range")[0]  # both sides are grouped before they meet
