@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from leafloom.config import Profile
-from leafloom.operators import grids, layout, scoring
+from leafloom.operators import grids, layout, scoring, verify
 from leafloom.plans import catalog
 from leafloom.sources import formats
 
@@ -138,3 +138,13 @@ def test_equal_texts_and_boxes_meet_once(spark):
     for df in (errors, matched):
         p = plan(df)
         assert "Aggregate" in p[p.rindex("Join") :].split("Range")[0]  # both sides are grouped before they meet
+
+
+def test_ink_moves_once_to_be_placed(spark):
+    """One join of the ink, with its table's cells and extent by bands, and no grouping of the ink."""
+    ink = spark.range(40).selectExpr("1 AS tbl", "id AS ink", "'c' AS c", "id * 5.0D AS cx", "10.0D AS cy")
+    cells = spark.range(3).selectExpr("1 AS tbl", "0L AS row", "id AS col", "id * 50.0D AS x0", "0.0D AS y0", "id * 50.0D + 40 AS x1", "60.0D AS y1", "false AS carried")
+    found = verify.placed(ink, cells)
+    assert plan(found).count("Join") == 2
+    got = {r.ink: (r.n, r.col, r.inside) for r in found.collect()}
+    assert got == {k: ((1, k * 5 // 50, True) if k * 5 % 50 < 40 and k * 5 < 150 else (0, None, k * 5 < 140)) for k in range(40)}
