@@ -5,11 +5,13 @@ import time
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from leafloom.config import Profile
-from leafloom.operators import grids, layout, scoring, verify
+from leafloom.functions import tokens as tk
+from leafloom.operators import furniture, grids, layout, scoring, verify
 from leafloom.plans import catalog
-from leafloom.sources import formats
+from leafloom.sources import formats, typeset
 
 
 def evaluations(df) -> int:
@@ -148,3 +150,37 @@ def test_ink_moves_once_to_be_placed(spark):
     assert plan(found).count("Join") == 2
     got = {r.ink: (r.n, r.col, r.inside) for r in found.collect()}
     assert got == {k: ((1, k * 5 // 50, True) if k * 5 % 50 < 40 and k * 5 < 150 else (0, None, k * 5 < 140)) for k in range(40)}
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_set_without_a_sort_of_their_words(spark):
+    odd = [(1, "a  b\n\nc,  d"), (2, None), (3, ""), (None, "x"), (4, "T\n\n\n\n" + "word, " * 40 + "\n \nz" * 130), (5, "w" * 300 + " v " + "u" * 200)]
+    documents = spark.createDataFrame(odd, "doc_id long, text string")
+    words = typeset.prose_words(documents)
+    assert "Sort" not in executed(words) and "Window" not in executed(words) and executed(words).count("Exchange") == 1
+    import duckdb
+
+    frame = documents.toPandas()  # noqa: F841
+    frame["doc_id"] = frame["doc_id"].astype("Int64")
+    wanted = duckdb.sql(f"WITH documents AS (SELECT doc_id::BIGINT AS doc_id, text FROM frame), {typeset.PROSE_WORDS_SQL} SELECT doc_id, id, page, line, par, x0, y0, x1, y1, text, size, bold FROM words ORDER BY 1, 2").fetchall()
+    assert [tuple(r) for r in words.orderBy("doc_id", "id").collect()] == wanted
+
+
+def test_lines_move_once_to_be_told_as_furniture(spark, monkeypatch):
+    lines = spark.createDataFrame([(d, p, p * 2 + k, ("Head 1", "body")[k], 40.0 + 50 * k, 50.0 + 50 * k, 72.0, 90.0, 1, False, 792.0) for d in (1, 2) for p in (1, 2, 3) for k in (0, 1)], "doc_id long, page long, line long, text string, top double, bottom double, x0 double, x1 double, parts long, tabled boolean, page_height double")
+    seen = []
+    monkeypatch.setattr(furniture, "stored", lambda df: seen.append(executed(df)) or df)
+    found = furniture.find_furniture(lines.repartition(3)).collect()
+    assert seen[0].count("Exchange hashpartitioning") == 1 and "Join" not in seen[0]
+    assert sorted((r.doc_id, r.page, r.key, r.role) for r in found) == [(d, p, k, r) for d in (1, 2) for p in (1, 2, 3) for k, r in (("Head", "header"), ("body", "header"))]
+
+
+def test_a_line_is_keyed_alike_whether_or_not_it_is_taken_apart(spark):
+    r = random.Random(3)
+    pieces = ["Acme", "12", "iv", "Page", "of", "é", "(3)", "X", "report7", "mix", "-", "#", "a1b2", "Ünder", "mm", "", "十二"]
+    rows = [(" ".join(r.choice(pieces) for _ in range(r.randrange(1, 5))),) for _ in range(600)]
+    df = spark.createDataFrame(rows, "text string").select(tk.text_key(F.col("text")).alias("a"), tk.line_key(F.split("text", " ")).alias("b"))
+    assert df.where("not (a <=> b)").count() == 0
