@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafloom.config import Profile
 from leafloom.functions import tokens as tk
-from leafloom.operators import furniture, grids, layout, scoring, verify
+from leafloom.operators import checks, furniture, grids, layout, scoring, verify
 from leafloom.plans import catalog
 from leafloom.sources import formats, typeset
 
@@ -184,3 +184,13 @@ def test_a_line_is_keyed_alike_whether_or_not_it_is_taken_apart(spark):
     rows = [(" ".join(r.choice(pieces) for _ in range(r.randrange(1, 5))),) for _ in range(600)]
     df = spark.createDataFrame(rows, "text string").select(tk.text_key(F.col("text")).alias("a"), tk.line_key(F.split("text", " ")).alias("b"))
     assert df.where("not (a <=> b)").count() == 0
+
+
+def test_words_are_looked_at_once_to_prove_their_partition(spark):
+    words = spark.createDataFrame([(1, k, 1, k // 2, f"w{k}", 10.0 * k, 0.0, 10.0 * k + 5, 9.0) for k in range(6)], "doc_id long, id long, page long, line long, text string, x0 double, y0 double, x1 double, y1 double")
+    block = lambda b, first, n, text: (1, b, 1, first, n, 0.0, 100.0, 0.0, 9.0, text, "k", "paragraph")
+    # two blocks begin at one line; the last line is in none
+    blocks = spark.createDataFrame([block(1, 0, 1, "w0 w1"), block(2, 1, 1, "w2 w3"), block(3, 1, 1, "other")], "doc_id long, block long, page long, first_line long, n_lines long, x0 double, x1 double, top double, bottom double, text string, key string, kind string")
+    found = checks.document_checks(words, blocks, None)
+    assert {r.rule: r.violations for r in found.collect()} == {"word_ids": 0, "word_partition": 4, "block_keys": 3, "text_spelling": 1, "region_containment": 0, "text_shape": 0}
+    assert "Join" not in executed(found)  # words are joined with nothing
