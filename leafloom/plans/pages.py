@@ -71,10 +71,26 @@ def glyphs(spark, sf):
     return c.select("doc_id", "page", "line", (F.col("id") * 2 + F.when((F.col("n") >= 6) & (F.col("i") >= 3), 1).otherwise(0)).alias("span"), (F.col("id") * 100_000 + F.col("i")).alias("char"), "c", x.alias("x0"), "y0", (x + F.col("size") / 2).alias("x1"), "y1", "size", "bold")
 
 
+def glyph_lines(spark, sf):
+    """``glyphs``, a line's in one row."""
+    far = lambda w, i: w.x0 + F.col("size") / 2 * i
+    split = lambda t: F.concat(F.split(t, ""), F.array(F.lit(" ")))
+
+    def drawn(w):
+        n = F.length(w.text)
+        char = lambda c, i: F.struct(
+            (w.id * 2 + F.when((n >= 6) & (i >= 3), 1).otherwise(0)).alias("span"), (w.id * 100_000 + i).alias("char"), c.alias("c"), far(w, i).alias("x0"), F.col("y0"),
+            (far(w, i) + F.col("size") / 2).alias("x1"), F.col("y1"), F.col("size"), F.col("bold"),
+        )
+        return F.transform(split(w.text), char)
+
+    return ts.prose_set(table(spark, sf, "documents")).select("doc_id", "page", "line", F.flatten(F.transform("words", drawn)).alias("chars"))
+
+
 @R.add(f"WITH {ts.PROSE_WORDS_SQL} SELECT doc_id, page, line, row_number() OVER (PARTITION BY doc_id, page, line ORDER BY id) AS nth, x0, y0, x1, y1, text, size, bold FROM words")
 def words_from_glyphs(spark, sf):
     """The words put together again from their characters."""
-    w = reader.build_words(glyphs(spark, sf))
+    w = reader.line_words(glyph_lines(spark, sf)).repartition("doc_id")
     nth = F.row_number().over(Window.partitionBy("doc_id", "page", "line").orderBy("word"))
     return w.select("doc_id", "page", "line", nth.cast("long").alias("nth"), *(F.round(c, 2).alias(c) for c in ("x0", "y0", "x1", "y1")), "text", "size", "bold")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafloom.config import Profile
 from leafloom.functions import tokens as tk
-from leafloom.operators import checks, furniture, grids, layout, scoring, verify
+from leafloom.operators import checks, furniture, grids, layout, reader, scoring, verify
 from leafloom.plans import catalog
 from leafloom.sources import formats, typeset
 
@@ -160,7 +160,7 @@ def test_texts_are_set_without_a_sort_of_their_words(spark):
     odd = [(1, "a  b\n\nc,  d"), (2, None), (3, ""), (None, "x"), (4, "T\n\n\n\n" + "word, " * 40 + "\n \nz" * 130), (5, "w" * 300 + " v " + "u" * 200)]
     documents = spark.createDataFrame(odd, "doc_id long, text string")
     words = typeset.prose_words(documents)
-    assert "Sort" not in executed(words) and "Window" not in executed(words) and executed(words).count("Exchange") == 1
+    assert "Sort" not in executed(words) and "Window" not in executed(words) and executed(words.groupBy("doc_id", "page").count()).count("Exchange") == 2  # of texts and of lines
     import duckdb
 
     frame = documents.toPandas()  # noqa: F841
@@ -194,3 +194,42 @@ def test_words_are_looked_at_once_to_prove_their_partition(spark):
     found = checks.document_checks(words, blocks, None)
     assert {r.rule: r.violations for r in found.collect()} == {"word_ids": 0, "word_partition": 4, "block_keys": 3, "text_spelling": 1, "region_containment": 0, "text_shape": 0}
     assert "Join" not in executed(found)  # words are joined with nothing
+
+
+def test_characters_of_a_line_make_words_without_a_sort_among_lines(spark):
+    r = random.Random(11)
+    rows = []
+    for line in range(40):
+        x, drawn = 0.0, []
+        for k in range(r.randrange(1, 25)):
+            wide, mark = r.choice((5.0, 3.0)), r.random() < 0.2
+            drawn.append((1, 1, line, k // 4, k, r.choice("ab é ,"), x, 2.0 if mark else 4.0, x + wide, 8.0 if mark else 14.0, 6.0 if mark else 10.0, r.random() < 0.5, mark))
+            x += wide + r.choice((0.0, 0.0, 0.5, 3.0, -2.0))
+        r.shuffle(drawn)
+        rows += drawn
+    names = "doc_id long, page long, line long, span long, char long, c string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, superscript boolean"
+    chars = spark.createDataFrame(rows, names)
+    found = sorted((w.line, w.word, w.text, w.x0, w.x1, w.y0, w.y1, w.size) for w in reader.build_words(chars).collect())
+    wanted = []
+    for line in range(40):
+        word, last, runs = 0, None, {}
+        for c in sorted((c for c in rows if c[2] == line), key=lambda c: c[4]):
+            blank = c[5] in "  "
+            if last is not None:
+                over, low, gap = min(last[9], c[9]) - max(last[7], c[7]), min(last[9] - last[7], c[9] - c[7]), c[6] - last[8]
+                near = -1 - 1e-6 <= gap <= 0.6 + 1e-6 and over >= 0.3 * low - 1e-6
+                raised = last[10] <= 0.92 * c[10] and c[9] - last[9] > 0.2 * c[10]
+                word += last[5] in "  " or (last[3] != c[3] and (not near or raised or last[12] != c[12]))
+            else:
+                word = 1
+            if not blank:
+                runs.setdefault(word, []).append(c)
+            last = c
+        for k, cs in runs.items():
+            spans = sorted({c[3] for c in cs}, key=lambda s: (-sum(c[3] == s for c in cs), s))
+            sizes = {c[10] for c in cs if c[3] == spans[0]}
+            wanted.append((line, k, "".join(c[5] for c in cs), min(c[6] for c in cs), max(c[8] for c in cs), min(c[7] for c in cs), max(c[9] for c in cs), sizes))
+    assert [f[:7] for f in found] == [w[:7] for w in sorted(wanted, key=lambda w: w[:2])]
+    assert all(f[7] in w[7] for f, w in zip(found, sorted(wanted, key=lambda w: w[:2]), strict=True))
+    lines = chars.groupBy("doc_id", "page", "line").agg(F.collect_list(F.struct(*reader.CHAR)).alias("chars")).localCheckpoint()
+    assert "Sort" not in executed(reader.line_words(lines)) and "Exchange" not in executed(reader.line_words(lines))
