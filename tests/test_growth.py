@@ -233,3 +233,9 @@ def test_characters_of_a_line_make_words_without_a_sort_among_lines(spark):
     assert all(f[7] in w[7] for f, w in zip(found, sorted(wanted, key=lambda w: w[:2]), strict=True))
     lines = chars.groupBy("doc_id", "page", "line").agg(F.collect_list(F.struct(*reader.CHAR)).alias("chars")).localCheckpoint()
     assert "Sort" not in executed(reader.line_words(lines)) and "Exchange" not in executed(reader.line_words(lines))
+
+
+def test_lines_are_not_shuffled_by_size_to_be_put_in_blocks(spark, data):
+    p = executed(catalog.QUERIES["typed_blocks"](spark, data))
+    exchanges = [line for line in p.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and all("half" not in line for line in exchanges)
