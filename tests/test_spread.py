@@ -9,7 +9,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["kinds_of_sections"])
+@pytest.mark.parametrize("name", ["kinds_of_sections", "folded_rows", "wrapped_corridors"])
 def test_pages_are_dealt_over_all_tasks_and_never_broadcast(spark, data, name):
     p = plan(catalog.QUERIES[name](spark, data))
     assert "Broadcast" not in p
