@@ -16,3 +16,19 @@ def test_pages_are_dealt_over_all_tasks_and_never_broadcast(spark, data, name):
     # Spark puts no tasks together where the number of partitions was asked for
     below = p[p.index("ArrowEvalPython") :]
     assert "REPARTITION_BY_NUM" in below
+
+
+def test_what_is_kept_is_joined_by_sorting(spark):
+    """Pages of two words each come from a few bytes: Spark estimates them as small, whatever they have become."""
+    from pyspark.sql import functions as F
+
+    from leafloom.sources import stored
+
+    words = stored.kept(spark.range(3).select("id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("k")))
+    p = plan(words.where("k = 0").join(spark.range(3), "id"))
+    assert "SortMergeJoin" in p and "Broadcast" not in p
+
+
+@pytest.mark.parametrize("name", ["tables_on_pages", "tables_left_as_text"])
+def test_no_words_of_pages_are_broadcast(spark, data, name):
+    assert "Broadcast" not in plan(catalog.QUERIES[name](spark, data))
