@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leafloom.functions import tokens as tk
 from leafloom.operators import checks
-from leafloom.plans.registry import Registry, table
+from leafloom.plans.registry import Registry, spread, table
 
 R = Registry()
 
@@ -180,23 +180,23 @@ def stated(faults: list) -> str:
     return f"SELECT p_partkey AS doc, f.rule FROM part JOIN (VALUES {rows}) f(fault, rule) ON p_partkey % {len(faults)} = f.fault"
 
 
-def faulty(spark, sf, valid: dict, faults: list, kind: str):
-    """doc, d: a document for each part, with the fault of its key."""
+def faulty(spark, sf, valid: dict, faults: list, kind: str, made: Callable = lambda d: d):
+    """doc, d: a document for each part, with the fault of its key. Each fault's is read (and ``made`` of what was read) once, and goes to the parts as it is; the parts are dealt over all tasks."""
     stored = []
     for fault, _ in faults:
         d = copy.deepcopy(valid)
         fault(d)
         stored.append(json.dumps(d))
-    held = spark.createDataFrame(list(enumerate(stored)), "fault long, json string")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc"), (F.col("p_partkey") % len(faults)).alias("fault")).join(F.broadcast(held), "fault").select("doc", F.from_json("json", kind).alias("d"))
+    held = spark.createDataFrame(list(enumerate(stored)), "fault long, json string").select("fault", F.from_json("json", kind).alias("d"))
+    parts = spread(table(spark, sf, "part").select(F.col("p_partkey").alias("doc"), (F.col("p_partkey") % len(faults)).alias("fault")))
+    return parts.join(F.broadcast(held.select("fault", made(F.col("d")).alias("d"))), "fault").select("doc", "d")
 
 
 @R.add(stated(FAULTS))
 def constraint_violations(spark, sf):
-    d = faulty(spark, sf, _document(), FAULTS, checks.DOCUMENT)
     key = lambda b: tk.content_key(b.kind, b.text)
-    keyed = F.transform("d.blocks", lambda b: b.withField("key", F.when(b.key == "twice", key(F.get("d.blocks", 1))).otherwise(F.coalesce(b.key, key(b)))))
-    return checks.document_violations(d.select("doc", F.col("d").withField("blocks", keyed).alias("document")))
+    keyed = lambda d: d.withField("blocks", F.transform(d.blocks, lambda b: b.withField("key", F.when(b.key == "twice", key(F.get(d.blocks, 1))).otherwise(F.coalesce(b.key, key(b))))))
+    return checks.document_violations(faulty(spark, sf, _document(), FAULTS, checks.DOCUMENT, keyed).withColumnRenamed("d", "document"))
 
 
 @R.add(stated(REPORT_FAULTS))

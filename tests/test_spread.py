@@ -32,3 +32,12 @@ def test_what_is_kept_is_joined_by_sorting(spark):
 @pytest.mark.parametrize("name", ["tables_on_pages", "tables_left_as_text"])
 def test_no_words_of_pages_are_broadcast(spark, data, name):
     assert "Broadcast" not in plan(catalog.QUERIES[name](spark, data))
+
+
+@pytest.mark.parametrize("name", ["constraint_violations", "report_violations", "reading_violations"])
+def test_stored_documents_are_dealt_over_all_tasks_and_read_once(spark, data, name):
+    """A document of each fault is read before it meets the parts, not once for each of them."""
+    p = plan(catalog.QUERIES[name](spark, data))
+    assert "REPARTITION_BY_NUM" in p
+    assert p.index("BroadcastExchange") < p.index("from_json")
+    assert "from_json" not in p[: p.index("BroadcastExchange")]
