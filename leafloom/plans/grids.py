@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafloom.operators import grids
 from leafloom.plans import tables
-from leafloom.plans.registry import Registry, dealt, table, values
+from leafloom.plans.registry import Registry, dealt, spread, table, values
 
 R = Registry()
 
@@ -84,7 +84,7 @@ def cut_and_split(spark, sf):
     words = F.when(S % 3 == 0, inner).otherwise(F.concat(inner, F.array(point(5.0, 30.0))))
     both = F.when(S % 2 == 0, F.concat(inner, F.array(point(40.0, 20.0)))).otherwise(inner)
     rule = F.array(F.struct(F.lit("v").alias("axis"), F.lit(30.0).alias("at"), F.lit(10.0).alias("start"), F.lit(30.0).alias("end")))
-    return table(spark, sf, "part").select(P.alias("doc"), F.size(grids.in_core(rects, core, words)).cast("long").alias("core"), F.size(grids.split_at_rules(rects, rule, both)).cast("long").alias("split"))
+    return spread(table(spark, sf, "part")).select(P.alias("doc"), F.size(grids.in_core(rects, core, words)).cast("long").alias("core"), F.size(grids.split_at_rules(rects, rule, both)).cast("long").alias("split"))
 
 
 @R.add("""SELECT p_partkey AS doc, g.grid::BIGINT AS grid, CASE WHEN g.grid = 0 THEN 'covered' WHEN g.grid = 1 THEN CASE WHEN p_size % 2 = 0 THEN 'split table' ELSE 'table' END WHEN g.grid = 2 THEN 'no tiling' ELSE 'too small' END AS what FROM part, (VALUES (0), (1), (2), (3)) g(grid)""")
@@ -96,7 +96,7 @@ def lattice_order(spark, sf):
     held = F.array(*(F.array(*map(rect, g)) for g in (_grid([0, 100, 200], [0, 50, 100]), _grid([10, 50, 90], [10, 20, 30]), _grid([300, 310, 320], [0, 5, 9], drop=3), _grid([400, 410, 420], [0, 5]))))
     points = F.array(point(20.0, 15.0), point(60.0, 15.0), point(30.0, 25.0), point(44.0, 25.0), point(405.0, 2.0))
     rule = F.array(F.struct(F.lit("v").alias("axis"), F.lit(40.0).alias("at"), F.when(S % 2 == 0, 10.0).otherwise(26.0).alias("start"), F.lit(30.0).alias("end")), F.struct(F.lit("h").alias("axis"), F.lit(20.0).alias("at"), F.lit(10.0).alias("start"), F.lit(90.0).alias("end")))
-    got = table(spark, sf, "part").select(P.alias("doc"), F.explode(grids.lattice_tables(held, points, rule)).alias("g"))
+    got = spread(table(spark, sf, "part")).select(P.alias("doc"), F.explode(grids.lattice_tables(held, points, rule)).alias("g"))
     return got.select("doc", "g.grid", "g.what")
 
 
@@ -111,7 +111,7 @@ def boundary_votes(spark, sf):
     at = grids.boundary_vote(F.lit(20.0), F.lit(100.0), F.when(S % 3 == 0, wide).otherwise(narrow), F.lit(10.0))
     piece = F.array(F.array(word(20, 24), word(25, 30), F.when(S % 3 == 0, word(31, 49)).otherwise(word(40, 90))))
     cells = grids.banded_cells(piece, F.array("at"), F.lit(10.0))
-    d = table(spark, sf, "part").select(P.alias("doc"), S.alias("p_size"), at.alias("at"))
+    d = spread(table(spark, sf, "part")).select(P.alias("doc"), S.alias("p_size"), at.alias("at"))
     return d.select("doc", "at", F.array_join(F.transform(cells, lambda c: F.concat(c["first"].cast("string"), F.lit("-"), c["last"].cast("string"), F.lit(":"), c["n"].cast("string"))), ";").alias("cells"))
 
 
@@ -126,7 +126,7 @@ def chart_axes(spark, sf):
         labels.append(F.struct((x - 5).alias("x0"), F.lit(100.0).alias("y0"), (x + 5).alias("x1"), F.lit(108.0).alias("y1"), F.lit(8.0).alias("size"), (F.lit(10.0 * i) + F.when((kind == 2) & F.lit(i == 3), 5.0).otherwise(0.0)).alias("number")))
         rules.append(F.struct(F.lit("v").alias("axis"), x.alias("at"), F.when(kind == 3, 40.0).otherwise(90.0).alias("start"), F.when(kind == 3, 50.0).otherwise(96.0).alias("end")))
     title = F.struct(F.lit(200.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(240.0).alias("x1"), F.lit(28.0).alias("y1"), F.lit(8.0).alias("size"), F.lit(None).cast("double").alias("number"))
-    return table(spark, sf, "part").select(P.alias("doc"), grids.has_axis(F.array(*labels, title), F.array(*rules)).alias("axis"))
+    return spread(table(spark, sf, "part")).select(P.alias("doc"), grids.has_axis(F.array(*labels, title), F.array(*rules)).alias("axis"))
 
 
 @R.add("""SELECT p_partkey AS doc, c.r::BIGINT AS "row", c.c::BIGINT AS col, c.h::BIGINT AS "rows", c.w::BIGINT AS cols, c.t || p_partkey AS text FROM part, (VALUES (0, 0, 0, 1, 2, 'a'), (0, 1, 0, 1, 1, 'b'), (0, 1, 1, 1, 1, 'c'), (1, 0, 0, 1, 1, 'a'), (1, 1, 0, 1, 1, 'b'), (1, 1, 1, 1, 1, 'c')) c(v, r, c, h, w, t) WHERE p_size % 2 = v""")
@@ -138,7 +138,7 @@ def boxes_to_cells(spark, sf):
     low = F.array(box(0, 10, 20, 20), box(20, 10, 40, 20))
     plain, over = F.array(F.array(box(0, 0, 40.4, 10), none), low), F.array(F.array(box(0, 0, 20, 20), none), low)
     texts = F.array(F.array(F.concat(F.lit("a"), P.cast("string")), F.lit(None).cast("string")), F.array(F.concat(F.lit("b"), P.cast("string")), F.concat(F.lit("c"), P.cast("string"))))
-    d = table(spark, sf, "part").select(P.alias("doc"), F.explode(grids.box_cells(F.when(S % 2 == 0, plain).otherwise(over), texts)).alias("c"))
+    d = spread(table(spark, sf, "part")).select(P.alias("doc"), F.explode(grids.box_cells(F.when(S % 2 == 0, plain).otherwise(over), texts)).alias("c"))
     return d.select("doc", "c.*")
 
 
@@ -223,4 +223,4 @@ def bar_charts(spark, sf):
         value = F.when((kind == 2) & F.lit(i == 3), 1.0).otherwise(long * 10)
         labels.append(F.struct((pick(x + 2, 190 - long) + shift).alias("x0"), pick(90 - long, x + 2).alias("y0"), (pick(x + 8, 196 - long) + shift).alias("x1"), pick(98 - long, x + 8).alias("y1"), F.lit(8.0).alias("size"), value.alias("number")))
     extra = F.struct(F.lit(2.0).alias("x0"), F.lit(85.0).alias("y0"), F.lit(8.0).alias("x1"), F.lit(93.0).alias("y1"), F.lit(8.0).alias("size"), F.when(kind == 3, 7.0).alias("number"))
-    return table(spark, sf, "part").select(P.alias("doc"), grids.has_bars(F.array(*fills), F.array(*labels, extra)).alias("bars"))
+    return spread(table(spark, sf, "part")).select(P.alias("doc"), grids.has_bars(F.array(*fills), F.array(*labels, extra)).alias("bars"))

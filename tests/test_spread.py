@@ -41,3 +41,8 @@ def test_stored_documents_are_dealt_over_all_tasks_and_read_once(spark, data, na
     assert "REPARTITION_BY_NUM" in p
     assert p.index("BroadcastExchange") < p.index("from_json")
     assert "from_json" not in p[: p.index("BroadcastExchange")]
+
+
+@pytest.mark.parametrize("name", ["bar_charts", "lattice_order", "chart_axes", "merged_cells", "grid_tilings", "cut_and_split", "boundary_votes", "boxes_to_cells", "table_roles", "footnote_calls"])
+def test_fixtures_of_parts_are_dealt_over_all_tasks(spark, data, name):
+    assert "REPARTITION_BY_NUM" in plan(catalog.QUERIES[name](spark, data))
