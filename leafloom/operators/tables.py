@@ -97,15 +97,17 @@ def corridor_cells(words: DataFrame) -> DataFrame:
 
     words: tbl, x0, y0, x1, y1, text.
     """
-    w = Window.partitionBy("tbl").orderBy("y0")
-    lines = words.select("tbl", "y0", "y1").distinct()
-    reach = F.max("y1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = lines.withColumn("row", F.sum(F.when(reach.isNull() | (F.col("y0") >= reach), 1).otherwise(0)).over(w) - 1)
-    placed = words.join(rows.select("tbl", "y0", "y1", F.col("row").cast("long").alias("row")), ["tbl", "y0", "y1"])
-    columns = value_columns(placed).withColumnsRenamed({"x0": "a0", "x1": "a1"})
+    # all steps are by table, so that words move once; a line is the words of one top and bottom, and counts with its first
+    words = words.select("tbl", "x0", "y0", "x1", "y1", "text").repartition("tbl")
+    w = Window.partitionBy("tbl").orderBy("y0", "y1")
+    before, reach = F.lag(F.struct("y0", "y1")).over(w), F.max("y1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = before.isNull() | ((before != F.struct("y0", "y1")) & (F.col("y0") >= reach))
+    placed = words.withColumn("begins", begins.cast("int")).withColumn("row", (F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long")).select("tbl", "row", "x0", "x1", "text")
+    columns = value_columns(placed).groupBy("tbl").agg(F.collect_list(F.struct("column", "x0", "x1")).alias("columns"))
     # a piece belongs to the column that it overlaps most
-    both = placed.join(columns, "tbl").withColumn("over", F.least("x1", "a1") - F.greatest("x0", "a0"))
-    home = both.groupBy("tbl", "row", "x0", "x1", "text").agg(F.max_by("column", F.struct(F.col("over"), -F.col("column"))).alias("col"))
+    over = lambda c: F.least("x1", c.x1) - F.greatest("x0", c.x0)
+    best = F.array_max(F.transform("columns", lambda c: F.struct(over(c).alias("over"), (-c.column).alias("before"))))
+    home = placed.distinct().join(columns, "tbl").withColumn("col", -best.before)
     return home.select("tbl", "row", "col", "text")
 
 
