@@ -46,3 +46,30 @@ def test_stored_documents_are_dealt_over_all_tasks_and_read_once(spark, data, na
 @pytest.mark.parametrize("name", ["bar_charts", "lattice_order", "chart_axes", "merged_cells", "grid_tilings", "cut_and_split", "boundary_votes", "boxes_to_cells", "table_roles", "footnote_calls"])
 def test_fixtures_of_parts_are_dealt_over_all_tasks(spark, data, name):
     assert "REPARTITION_BY_NUM" in plan(catalog.QUERIES[name](spark, data))
+
+
+def test_words_of_corridors_move_by_table_alone(spark, data):
+    """Once shuffled by table, words stay where they are: nothing is shuffled by lines or pieces."""
+    import re
+
+    from leafloom.operators import tables
+
+    words = spark.range(40).selectExpr("id % 4 AS tbl", "double(id) AS x0", "double(id) AS y0", "id + 1.0D AS x1", "id + 1.0D AS y1", "string(id) AS text")
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(tables.corridor_cells(words)))
+    assert moved and all(re.fullmatch(r"tbl#\d+L?, \d+", m) for m in moved)
+
+
+def test_a_register_admits_labels_before_they_are_rows(spark):
+    """Blocks and registers are shuffled by document alone, and rows of one label and place are told once."""
+    import re
+
+    from leafloom.operators import links
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        blocks = spark.createDataFrame([(1, 1, "Fee (3) and (4) and (3)"), (1, 1, "Fee (3) and (4) and (3)"), (2, 1, "Fee (4)"), (3, 1, "Fee (5)")], "doc long, order long, text string")
+        got = links.parenthetical_calls(blocks, spark.createDataFrame([(1, "3"), (1, "3"), (2, "5"), (3, "5")], "doc long, label string"))
+        assert sorted((r.doc, r.label, r.at) for r in got.collect()) == [(1, "3", 4), (1, "3", 20), (3, "5", 4)]
+        assert all(re.match(r"doc#\d+L?, \d+", m) for m in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(got)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
