@@ -74,10 +74,23 @@ def _ranges(h: np.ndarray, count: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of one piece in as few bytes each as hold the largest: their width is told by the number of them."""
+    most = int(counts.max()) if len(counts) else 0
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def _counts(data: bytes, n: int) -> np.ndarray:
+    """n packed counts."""
+    return np.frombuffer(data, f"u{max(1, len(data) // max(1, n))}").astype(np.int64)
+
+
 def promising(documents: DataFrame, total: int, share: int, text_column: str = "text", salt: int = 0) -> DataFrame:
     """cls of the sets of which ``share`` hundredths of the shingles occur in another row's set, too.
 
-    A block of sets sends a piece to each range that it has shingles in: fewer pieces than shingles, whatever the sizes.
+    A block of sets sends a piece to each range that it has shingles in: fewer pieces than shingles, whatever the sizes. The more
+    ranges, the fewer of a set's shingles lie in one, so that places of sets (two bytes, as a block has 4,096 at most) and their
+    counts (mostly one byte) come to stand beside each shingle.
     """
     parts = max(8, math.ceil(total / RANGE))
 
@@ -96,7 +109,7 @@ def promising(documents: DataFrame, total: int, share: int, text_column: str = "
             place, doc, low = place[o], doc[o], every.astype(np.uint32)[o]
             runs = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
             counts = np.diff(np.concatenate([runs, [len(place)]])).astype(np.uint32)
-            docs, of_run = doc[runs].astype(np.uint32), place[runs]
+            docs, of_run = doc[runs].astype(np.uint16), place[runs]
             piece = np.flatnonzero(np.concatenate([[True], of_run[1:] != of_run[:-1]]))
             ends = np.concatenate([piece[1:], [len(runs)]])
             at = np.concatenate([runs, [len(place)]])
@@ -110,7 +123,7 @@ def promising(documents: DataFrame, total: int, share: int, text_column: str = "
                         pa.array(of_run[p]),
                         pa.array(np.full(len(p), block)),
                         pa.array([docs[i:j].tobytes() for i, j in zip(p, e, strict=True)], pa.binary()),
-                        pa.array([counts[i:j].tobytes() for i, j in zip(p, e, strict=True)], pa.binary()),
+                        pa.array([_packed(counts[i:j]) for i, j in zip(p, e, strict=True)], pa.binary()),
                         pa.array([low[at[i] : at[j]].tobytes() for i, j in zip(p, e, strict=True)], pa.binary()),
                         pa.array([names.tobytes() if f else None for f in first], pa.binary()),
                         pa.array([sizes.tobytes() if f else None for f in first], pa.binary()),
@@ -140,11 +153,11 @@ def promising(documents: DataFrame, total: int, share: int, text_column: str = "
         again[order[1:][same]] = True
         again[order[:-1][same]] = True
         out, at = [], 0
-        for counts in rows["counts"]:
-            c = np.frombuffer(counts.as_py(), np.uint32).astype(np.int64)
+        for docs, counts in zip(rows["docs"], rows["counts"], strict=True):
+            c = _counts(counts.as_py(), len(docs.as_py()) // 2)
             total = np.concatenate([[0], np.cumsum(again[at : at + c.sum()])])
             ends = np.cumsum(c)
-            out.append((total[ends] - total[ends - c]).astype(np.uint32).tobytes())
+            out.append(_packed(total[ends] - total[ends - c]))
             at += int(c.sum())
         return pa.table({"block": rows["block"], "docs": rows["docs"], "shared": pa.array(out, pa.binary()), "names": rows["names"], "sizes": rows["sizes"]})
 
@@ -153,7 +166,8 @@ def promising(documents: DataFrame, total: int, share: int, text_column: str = "
         names, sizes = np.frombuffer(rows["names"][at].as_py(), np.int64), np.frombuffer(rows["sizes"][at].as_py(), np.int64)
         n = np.zeros(len(names), np.int64)
         for docs, x in zip(rows["docs"], rows["shared"], strict=True):
-            n[np.frombuffer(docs.as_py(), np.uint32)] += np.frombuffer(x.as_py(), np.uint32)
+            places = np.frombuffer(docs.as_py(), np.uint16)
+            n[places] += _counts(x.as_py(), len(places))
         return pa.table({"cls": pa.array(np.unique(names[100 * n >= share * sizes]), pa.int64())})
 
     cuts = texts(documents.withColumn("_", F.lit(0)), "_", text_column).select(text_column).mapInArrow(cut, "part long, block long, docs binary, counts binary, low binary, names binary, sizes binary")

@@ -115,3 +115,10 @@ def test_stages_are_those_of_plain_code(spark, docs, rows, data, library):
     for r in stages["bpe"](spark, docs, data).collect():
         own = next(x.text for x in rows if x.doc_id == r.doc_id)
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(own or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("counts", "width"), [([], 1), ([0, 255, 1], 1), ([256, 1], 2), ([65_536, 0, 3], 4)])
+def test_counts_of_shingles_take_as_few_bytes_as_hold_them(counts, width):
+    data = ngram_join._packed(np.array(counts, np.int64))
+    assert len(data) == width * len(counts)
+    assert ngram_join._counts(data, len(counts)).tolist() == counts
