@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leafloom.config import Profile
 from leafloom.functions import tokens as tk
-from leafloom.operators import checks, furniture, grids, layout, reader, scoring, verify
+from leafloom.operators import checks, corridor, furniture, grids, layout, reader, scoring, verify
 from leafloom.plans import catalog
 from leafloom.sources import formats, typeset
 
@@ -238,3 +239,28 @@ def test_characters_of_a_line_make_words_without_a_sort_among_lines(spark):
 def test_lines_are_joined_by_document_alone_to_be_put_in_blocks(spark, data):
     joins = [line for line in executed(catalog.QUERIES["typed_blocks"](spark, data)).splitlines() if "Join" in line]
     assert joins and all("half" not in line for line in joins)
+
+
+def test_a_run_of_many_lines_needs_no_matrix_of_them():
+    """Six hundred rows of ten values, each wrapped once: matrices of their pieces took over 100 MB."""
+    n, columns = 1200, 10
+    words = []
+    for k in range(n):
+        for c in range(columns if k % 2 == 0 else 1):
+            words.append(layout.Word(len(words), 70.0 + 50 * c, 100.0 + 12 * k - k % 2, 100.0 + 50 * c, 110.0 + 12 * k - k % 2, "$5" if k % 2 == 0 and c else "label", 10.0))
+    lines = layout.lines_of(words, Profile())
+    tracemalloc.start()
+    rows = corridor.Fold(lines, [("h", 5.0, 0.0, 600.0)], Profile()).rows()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [[k, k + 1] for k in range(0, n, 2)] and peak < 20_000_000
+
+
+def test_columns_of_arrays_are_read_as_they_are():
+    one = {"id": 1, "x": 2.5, "t": "a", "b": True, "n": None, "of": [{"q": 1.0}, {"q": None}]}
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("x", pa.float64()), ("t", pa.string()), ("b", pa.bool_()), ("n", pa.int32()), ("of", pa.list_(pa.struct([("q", pa.float64())])))]))
+    held = [[one, one | {"of": None}], None, [], [one | {"of": []}, None], [one | {"n": 3, "t": None}]] * 7
+    column = pa.array(held, kind)
+    for k in range(len(held)):
+        assert grids._listed(column.slice(k, 9)) == held[k : k + 9]
+    assert grids._listed(pa.array([], kind)) == []
