@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leafloom.config import Profile
 from leafloom.functions import tokens as tk
-from leafloom.operators import checks, corridor, furniture, grids, layout, reader, scoring, verify
+from leafloom.operators import checks, corridor, furniture, grids, layout, links, reader, scoring, verify
 from leafloom.plans import catalog
 from leafloom.sources import formats, typeset
 
@@ -264,3 +264,24 @@ def test_columns_of_arrays_are_read_as_they_are():
     for k in range(len(held)):
         assert grids._listed(column.slice(k, 9)) == held[k : k + 9]
     assert grids._listed(pa.array([], kind)) == []
+
+
+def test_calls_meet_the_first_note_ahead_not_all(spark):
+    """Calls and notes of a label pass each other once, in order; also where pages don't follow the order."""
+    r = random.Random(3)
+    sites = [(d, k, None if k % 50 == 0 else r.randrange(40), r.randrange(5), r.choice("abcd"), r.randrange(7)) for d in (1, 2) for k in range(150)] + [(3, 1, 1, 1, None, 1)]
+    notes = [(d, r.choice("aaabbc"), r.randrange(40), r.randrange(5)) for d in (1, 2) for _ in range(25)] + [(1, "d", 20, 2), (3, None, 5, 1), (3, "a", None, 1)]
+    notes = list({(d, label, order): page for d, label, order, page in notes}.items())
+    notes = [(*key, page) for key, page in notes]
+    s = spark.createDataFrame(sites, "doc long, site long, order long, page long, label string, through long")
+    n = spark.createDataFrame(notes, "doc long, label string, order long, page long")
+    for through in (True, False):
+        got = links.resolve(s if through else s.drop("through"), n)
+        wanted = {}
+        for doc, site, order, page, label, last in sites:
+            own = [(o, p) for d, x, o, p in notes if d == doc and x == label and label is not None and o is not None]
+            first = min(((o, p) for o, p in own if order is not None and o > order and p >= page), default=None)
+            end = max(page, last) if through else page
+            wanted[doc, site] = first[0] if first and (len(own) == 1 or first[1] <= end + 1) else None
+        assert {(x.doc, x.site): x.note for x in got.collect()} == wanted and got.count() == len(sites)
+        assert plan(got).count("Join ") == 1 and "early" in plan(got)[plan(got).index("Join ") :].split("\n")[0]
