@@ -285,3 +285,15 @@ def test_calls_meet_the_first_note_ahead_not_all(spark):
             wanted[doc, site] = first[0] if first and (len(own) == 1 or first[1] <= end + 1) else None
         assert {(x.doc, x.site): x.note for x in got.collect()} == wanted and got.count() == len(sites)
         assert plan(got).count("Join ") == 1 and "early" in plan(got)[plan(got).index("Join ") :].split("\n")[0]
+
+
+def test_ink_meets_its_words_without_being_grouped(spark):
+    ink = spark.range(60).selectExpr("id % 2 AS doc_id", "1 AS page", "id AS ink", "'c' AS c", "id * 5.0D AS cx", "10.0D + id % 3 * 20 AS cy")
+    words = spark.range(12).selectExpr("id % 2 AS doc_id", "1 AS page", "id", "id * 25.0D AS x0", "5.0D AS y0", "id * 25.0D + 60 AS x1", "35.0D AS y1")
+    found = verify.owners(ink, words)
+    assert plan(found).count("Aggregate") == 1 and "ink" not in [x for x in plan(found).split("\n") if "Aggregate" in x][0]
+    boxes = [(w.doc_id, w.id, w.x0, w.y0, w.x1, w.y1) for w in words.collect()]
+    for i in ink.join(found, ["doc_id", "ink"]).collect():
+        held = [k for d, k, x0, y0, x1, y1 in boxes if d == i.doc_id and x0 <= i.cx < x1 and y0 <= i.cy < y1]
+        assert (i.n, i.word) == (len(held), held[0] if len(held) == 1 else None)
+    assert found.count() == 60
