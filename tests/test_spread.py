@@ -29,6 +29,12 @@ def test_what_is_kept_is_joined_by_sorting(spark):
     assert "SortMergeJoin" in p and "Broadcast" not in p
 
 
+@pytest.mark.parametrize("name", ["tabled_lines"])
+def test_cells_and_lines_are_not_broadcast(spark, data, name):
+    """A part's row becomes a dozen words and eight cells, of which Spark's estimate from the file tells nothing."""
+    assert "Broadcast" not in plan(catalog.QUERIES[name](spark, data))
+
+
 @pytest.mark.parametrize("name", ["tables_on_pages", "tables_left_as_text"])
 def test_no_words_of_pages_are_broadcast(spark, data, name):
     assert "Broadcast" not in plan(catalog.QUERIES[name](spark, data))
